@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, mixing, packing, quality, topk, urlfilter
+from . import licenses, linededup, mixing, ngramjoin, packing, quality, topk, urlfilter
 
 #: A public tokenizer's file; a parameter of the packing query.
 TOKENIZER = "word_bpe_49k.json"
@@ -44,6 +44,10 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngramjoin.join(table(spark, sf_dir, "documents"))
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = urlfilter.judge(table(spark, sf_dir, "pages"), URL_RULES, LISTED_TERM)
     return out.select("page_id", "host", "path", "rule", "verdict")
@@ -56,6 +60,12 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_lines (with a word), n_kept and the positions of removed lines."""
+    gone = linededup.removals(table(spark, sf_dir, "documents"))
+    return gone.select("doc_id", "n_lines", (F.col("n_lines") - F.size("removed")).alias("n_kept"), "removed")
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = packing.pieces(table(spark, sf_dir, "documents"), tokenizer_path())
     return packing.pack(cut)
@@ -65,9 +75,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_exact_topk": op2_exact_topk,
     "op3_mix_sources": op3_mix_sources,
+    "op4_ngram_jaccard": op4_ngram_jaccard,
     "op6_url_filter": op6_url_filter,
     "op8_quality_rules": op8_quality_rules,
     "op9_best_fit_packing": op9_best_fit_packing,
+    "op10_line_dedup": op10_line_dedup,
 }
 
 _HOST = "translate(regexp_extract(regexp_extract(url, '(?s)^.*?://(.*)$', 1), '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, linededup, mixing, ngramjoin, packing, quality, topk, urlfilter
+from . import htmltext, licenses, linededup, mixing, ngramjoin, packing, pii, quality, topk, urlfilter
 
 #: A public tokenizer's file; a parameter of the packing query.
 TOKENIZER = "word_bpe_49k.json"
@@ -48,11 +48,19 @@ def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngramjoin.join(table(spark, sf_dir, "documents"))
 
 
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract(table(spark, sf_dir, "pages"))
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = urlfilter.judge(table(spark, sf_dir, "pages"), URL_RULES, LISTED_TERM)
     return out.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op7_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.replace(table(spark, sf_dir, "documents"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return out.select(
@@ -76,7 +84,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_topk": op2_exact_topk,
     "op3_mix_sources": op3_mix_sources,
     "op4_ngram_jaccard": op4_ngram_jaccard,
+    "op5_html_text": op5_html_text,
     "op6_url_filter": op6_url_filter,
+    "op7_pii_surrogates": op7_pii_surrogates,
     "op8_quality_rules": op8_quality_rules,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_line_dedup": op10_line_dedup,

@@ -16,7 +16,11 @@ results. Repeated rows are packed each on its own.
 
 from __future__ import annotations
 
+import functools
+import re
+import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,14 +37,16 @@ GROUP_PIECES = 20_000
 REOPEN = 0.97
 #: Weights of the residual norm: tokens, documents, attention cost (each relative to its capacity).
 WEIGHTS = (1.0, 0.05, 0.1)
-#: Words kept with their ids in a task's cache, and the longest word that is kept.
-CACHE_WORDS, CACHE_LENGTH = 400_000, 48
+#: Words kept with their ids in a worker's cache, and the longest word that is kept.
+CACHE_WORDS, CACHE_LENGTH = 700_000, 48
 
 
 class _Ids(dict):
-    """Ids of a word without blanks as little-endian 32-bit bytes; looked up once a task.
+    """Ids of words as little-endian 32-bit bytes, looked up once a worker; a bounded cache.
 
     The tokenizer's pattern never joins what blanks part, so a text's ids are its words' ids in turn.
+    Nor does it join letters with ASCII marks or digits, apostrophes apart, so a new word is read as
+    its runs of each, which are fewer than the words.
     """
 
     def __init__(self, path: str):
@@ -48,16 +54,61 @@ class _Ids(dict):
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        self.runs: dict[bytes, bytes] = {}
 
     def __missing__(self, word: bytes) -> bytes:
-        ids = self.tokenizer.encode(word.decode(), add_special_tokens=False).ids
-        found = np.array(ids, "<u4").tobytes()
-        if len(word) <= CACHE_LENGTH:
-            if len(self) >= CACHE_WORDS:
-                self.clear()
-            self[word] = found
+        plain = b"'" not in word and b"<|" not in word and (word.isascii() or all(c.isalpha() for c in word.decode() if c > "\x7f"))
+        found = b"".join(map(self._run, RUNS.findall(word))) if plain else self._encode(word)
+        return _keep(self, word, found)
+
+    def _run(self, run: bytes) -> bytes:
+        found = self.runs.get(run)
+        if found is None:
+            found = _keep(self.runs, run, self._apart(run))
         return found
 
+    def _apart(self, run: bytes) -> bytes:
+        """The model's ids of a run that the normalizer leaves as it is; else by the whole tokenizer."""
+        if run.isdigit():
+            return b"".join(map(self._model, run.decode()))  # digits stand alone
+        text = run.decode()
+        if run.isascii():
+            same = text.isprintable() and run == run.lower()
+        else:
+            same = unicodedata.is_normalized("NFC", text) and all(c == c.lower() for c in text)
+            text = run.decode("latin-1").translate(BYTE_CHARS)
+        return self._model(text) if same else self._encode(run)
+
+    def _model(self, text: str) -> bytes:
+        return array("I", [t.id for t in self.model.tokenize(text)]).tobytes()
+
+    def _encode(self, part: bytes) -> bytes:
+        return array("I", self.tokenizer.encode(part.decode(), add_special_tokens=False).ids).tobytes()
+
+
+#: Bytes as a byte-level vocabulary spells them: printable Latin-1 as it is, the others in turn from 256.
+BYTE_CHARS = {b: 256 + i for i, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174))}
+RUNS = re.compile(rb"[a-zA-Z\x80-\xff]+|[0-9]+|[^a-zA-Z0-9\x80-\xff]+")
+
+
+def _keep(cache: dict, word: bytes, found: bytes) -> bytes:
+    if len(word) <= CACHE_LENGTH:
+        if len(cache) >= CACHE_WORDS:
+            cache.clear()
+        cache[word] = found
+    return found
+
+
+@functools.lru_cache(maxsize=1)
+def _ids(path: str) -> _Ids:
+    return _Ids(path)
+
+
+def _lowered(text: bytes) -> bytes:
+    """A-Z lower-cased, as the tokenizer does, unless a combining mark might join with a letter first."""
+    return text if b"\xcc" in text or b"\xcd" in text else text.lower()
+
 
 def pieces(
     docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", end_id: int = 0, seq: int = SEQ_TOKENS, with_ids: bool = False
@@ -71,11 +122,11 @@ def pieces(
     end, step = np.array([end_id], "<u4").tobytes(), 4 * seq
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = _Ids(tokenizer)
+        ids = _ids(tokenizer)
         for batch in batches:
             at, rows = [], []
             for i, t in enumerate(batch.column(1)):
-                words = (t.as_py() or "").encode().split()
+                words = _lowered((t.as_py() or "").encode()).split()
                 whole = b"".join(map(ids.__getitem__, words)) + end
                 for k in range(0, len(whole), step):
                     part = whole[k : k + step]

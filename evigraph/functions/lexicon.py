@@ -76,7 +76,7 @@ LATIN = Lexicon(
         (("what", "is", "means"), "definition"),
     ],
     actions=[(("merge", "join"), "merge"), (("keep", "the"), "keep"), (("remove", "drop", "le"), "remove"), (("refine", "un"), "refine"), (("conflict", "que"), "conflict")],
-    term_patterns=(r"\b([A-Z][a-z]{4,14})\b", r"\b([a-z]{4,16}(?:tion|ment|heit|ción))\b"),
+    term_patterns=("([A-Z][a-z]{4,14})", "([a-z]{4,16}(?:tion|ment|heit|ción))"),
     definition_markers=(" is ", " are ", " est ", " ist ", " es "),
     relations=[((" is ", " est ", " ist "), "IS_A"), ((" of ", " de ", " von "), "PART_OF"), ((" for ", " pour ", " für "), "APPLIES_TO"), ((" that ", " que "), "CAUSES"), ((" or ", " ou "), "CONTRASTS_WITH")],
     prerequisite=(" from ", " by ", " par "),

@@ -52,7 +52,7 @@ def rerank(evidence: DataFrame, k: int, qkey: str = "question_id", key: str = "c
         order = F.when(F.col("source") == name, i).otherwise(order)
         factor = F.when(F.col("source") == name, f).otherwise(factor)
     rows = evidence.withColumn("source_rank", order).withColumn("relevance", F.round(F.col("relevance") * factor, 4))
-    once = rows.withColumn("r", F.row_number().over(Window.partitionBy(qkey, key).orderBy("source_rank", "seq"))).where("r = 1")
+    once = rows.withColumn("r", F.row_number().over(Window.partitionBy(qkey, key).orderBy("source_rank", "seq", F.desc("relevance")))).where("r = 1")
     best = Window.partitionBy(qkey).orderBy(F.desc("relevance"), "source_rank", "seq", key)
     return once.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= max(k, 1)).select(qkey, key, "source", "relevance", "rank")
 

@@ -17,10 +17,11 @@ PATH_PRIORITY = ("PREREQUISITE_OF", "CAUSES", "LEADS_TO", "EXPLAINS", "APPLIES_T
 def clean_term(term: Column) -> Column:
     out = T.collapse(term)
     out = F.regexp_replace(out, r"^[第\d一二三四五六七八九十百章节篇、\s.．]+", "")
+    # each step names its input once, so the expression stays linear
     for marker in ("被称为", "称为", "叫做"):
-        out = F.when(F.contains(out, F.lit(marker)) & ~F.endswith(out, F.lit(marker)), F.trim(F.substring_index(out, marker, -1))).otherwise(out)
+        out = F.regexp_replace(out, rf"^(?!.*{marker}$).*{marker}\s*", "")
     for prefix in ("但严重者可导致", "严重者可导致", "可导致", "导致", "中的", "也与"):
-        out = F.when(F.startswith(out, F.lit(prefix)), F.trim(F.substring(out, F.lit(len(prefix) + 1), F.length(out)))).otherwise(out)
+        out = F.regexp_replace(out, rf"^{prefix}\s*", "")
     return F.regexp_replace(out, r"""^[ ：:，,。；;（）()\[\]【】"']+|[ ：:，,。；;（）()\[\]【】"']+$""", "")
 
 

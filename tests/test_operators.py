@@ -100,3 +100,29 @@ def test_override_keeps_content_without_one(spark):
     edits = spark.createDataFrame([(1, 1, "merge", 0.9, "x"), (1, 2, "remove", 0.8, None)], "id long, seq long, action string, confidence double, content string")
     got = {r.id: (r.action, r.content, r.edited) for r in integrate.apply_overrides(base, edits, "id").collect()}
     assert got == {1: ("remove", "old", True), 2: ("keep", "old", False)}
+
+
+def test_file_sources(spark, tmp_path):
+    from evigraph.sources import files
+
+    (tmp_path / "a.md").write_text("# 第一章\n正文\n", encoding="utf-8")
+    (tmp_path / "b.txt").write_bytes("中文文本".encode("gb18030"))
+    (tmp_path / "c.csv").write_text("name;value\n" + "".join(f"r{i};{i}\n" for i in range(45)))
+    (tmp_path / "d.doc").write_bytes(b"x")
+    raw = files.raw_files(spark, str(tmp_path))
+    assert {r.filename: r.text for r in files.text_documents(raw).collect()} == {"a.md": "# 第一章\n正文\n", "b.txt": "中文文本"}
+    windows = sorted(files.sheet_windows(files.sheet_rows(raw)).collect(), key=lambda r: r.window_no)
+    assert [(r.row_start, r.row_end) for r in windows] == [(2, 41), (42, 46)] and windows[1].text.startswith("| name | value |\n| --- | --- |\n| r40 | 40 |")
+    assert [r.filename for r in files.rejects(raw).collect()] == ["d.doc"]
+
+
+def test_edit_stream_appends_once(spark, tmp_path):
+    from evigraph.streaming import edits
+
+    (tmp_path / "in").mkdir()
+    for i in range(3):
+        (tmp_path / "in" / f"{i}.json").write_text(f'{{"decision_id": "d", "seq": {i}, "at": "2024-01-01T00:00:0{i}Z", "action": "keep", "confidence": 0.5}}\n')
+    for _ in range(2):
+        edits.append_log(edits.edit_stream(spark, str(tmp_path / "in")), str(tmp_path / "log"), str(tmp_path / "cp")).awaitTermination()
+    log = spark.read.parquet(str(tmp_path / "log"))
+    assert log.count() == 3 and edits.latest_edits(log).first().n_edits == 3

@@ -16,27 +16,30 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
-HUB_ROUNDS = 3
+#: Rounds with one hub a group before pairs of different classes are listed.
+HUB_ROUNDS = 2
+#: Keys (16 bytes each) that may be sent to every executor; above, the join is dealt by key.
+BROADCAST_KEYS = 1_000_000
 
 
 def components(links: DataFrame) -> DataFrame:
     """links (a, b long) -> id, comp: the class of every linked id, named by one of its ids.
 
-    Each round every node joins the neighbour (or itself) that a fresh random order puts first, and
-    edges are renamed; the number of nodes with edges falls by a constant factor a round, whatever
-    the shape of the graph. Rounds are written tables, so no lineage grows.
+    Each round every node moves to the neighbour that ranks highest, by number of neighbours and then
+    by a fresh random order, unless it ranks higher itself, and edges are renamed. Of any edge the
+    lower end moves, so the number of nodes with edges falls by a constant factor a round, whatever
+    the shape of the graph, and a star goes in one. Rounds are written tables, so no lineage grows.
     """
-    edges = materialize(links.where("a <> b").select("a", "b").distinct())
-    names = materialize(edges.select(F.explode(F.array("a", "b")).alias("id")).distinct().withColumn("comp", F.col("id")))
+    edges = materialize(links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    names = edges.select(F.explode(F.array("a", "b")).alias("id")).distinct().withColumn("comp", F.col("id"))
     turn = 0
     while not edges.isEmpty():
         turn += 1
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        rank = lambda c: F.xxhash64(F.lit(turn), c)
-        # order by (rank, id) without structs, which hash aggregation cannot hold
-        first = both.groupBy("a").agg(F.min(rank(F.col("b"))).alias("r"))
-        move = first.where(F.col("r") < rank(F.col("a"))).join(both.withColumn("r", rank(F.col("b"))), ["a", "r"])
-        move = materialize(move.groupBy("a").agg(F.min("b").alias("to")))
+        chance = F.xxhash64(F.lit(turn), "a").bitwiseAND(F.lit(0xFFFFFFFF))
+        ranks = both.groupBy("a").agg(F.count("*").alias("d")).select("a", (F.shiftleft("d", 32) + chance).alias("r"))
+        seen = both.join(ranks.select(F.col("a").alias("b"), F.col("r").alias("rb")), "b").groupBy("a").agg(F.max("rb").alias("rb"), F.max_by("b", "rb").alias("to"))
+        move = materialize(seen.join(ranks, "a").where("rb > r").select("a", "to"))
         to_a, to_b = move.select("a", F.col("to").alias("ta")), move.select(F.col("a").alias("b"), F.col("to").alias("tb"))
         edges = edges.join(to_a, "a", "left").join(to_b, "b", "left")
         edges = edges.select(F.coalesce("ta", "a").alias("a"), F.coalesce("tb", "b").alias("b")).where("a <> b")
@@ -48,45 +51,50 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def link_groups(members: DataFrame, check: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """members: key, id (long, each pair once) -> id, comp of all ids with a link.
+    """members: key, id, n, cap (long) -> id, comp of all ids with a link.
 
-    check takes distinct pairs (a < b) and returns those that are links.
+    Two members of a key can only link if the n of each is at most the cap of the other; where there is
+    no such bound, give 0 for both. A pair must meet these bounds under one of its common keys at
+    least. check takes distinct pairs (a < b) and returns those that are links.
     """
-    keys = members.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi"))
+    keys = members.groupBy("key").agg(F.count("*").alias("c"), F.min("id").alias("lo"), F.max("id").alias("hi"), F.min("n").alias("least"))
     keys = materialize(keys.where("lo < hi"))
-    pairs = keys.where("n = 2").select(F.col("lo").alias("a"), F.col("hi").alias("b"))
-    held = materialize(members.join(keys.where("n > 2").select("key"), "key", "left_semi"))
-    links = materialize(check(pairs.distinct()))
-    comps = components(links)
+    # a member whose cap is below every n of its key has no partner there
+    shared = keys.select("key", "least")
+    shared = F.broadcast(shared) if keys.count() <= BROADCAST_KEYS else shared
+    held = members.join(shared, "key").where("cap >= least").select("key", "id", "n", "cap").distinct()
+    held = materialize(held)
+    links = comps = None
     for turn in range(HUB_ROUNDS + 1):
-        named = held.join(comps, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp"))
-        spread = named.groupBy("key").agg(
-            F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.min(F.xxhash64(F.lit(turn), "id")).alias("r")
-        )
-        spread = spread.where("c0 < c1")
-        held_now = materialize(named.join(spread.select("key", "r"), "key"))
-        if held_now.isEmpty():
+        named = held.withColumn("comp", F.col("id")) if comps is None else held.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+        # the member with the most room is the likeliest partner of the others
+        choice = F.col("cap") if turn == 0 else F.xxhash64(F.lit(turn), "id")
+        spread = named.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.max_by("id", choice).alias("h"))
+        spread = materialize(spread.where("c0 < c1"))
+        if turn and spread.isEmpty():
             return comps
+        held = materialize(named.join(spread.select("key"), "key", "left_semi").select("key", "id", "n", "cap", "comp"))
         if turn < HUB_ROUNDS:
-            hub = held_now.where(F.xxhash64(F.lit(turn), "id") == F.col("r")).select("key", F.col("id").alias("h"), F.col("comp").alias("hc"))
-            pairs = held_now.join(hub, "key").where("comp <> hc").select(F.least("id", "h").alias("a"), F.greatest("id", "h").alias("b"))
+            hub = held.join(spread.select("key", F.col("h").alias("id")), ["key", "id"])
+            hub = hub.select("key", F.col("id").alias("h"), F.col("n").alias("hn"), F.col("cap").alias("hcap"), F.col("comp").alias("hc"))
+            pairs = held.join(hub, "key").where("comp <> hc and n <= hcap and hn <= cap")
+            pairs = pairs.select(F.least("id", "h").alias("a"), F.greatest("id", "h").alias("b"))
         else:
-            pairs = _across(held_now)
+            pairs = _across(held)
         new = materialize(check(pairs.distinct()))
-        links = links.unionByName(new)
-        if turn < HUB_ROUNDS and new.isEmpty():
-            continue
-        comps = components(links)
-        held = held_now.select("key", "id")
+        links = new if links is None else links.unionByName(new)
+        if comps is None or not new.isEmpty():
+            comps = components(links)
+        held = held.select("key", "id", "n", "cap")
     return comps
 
 
 def _across(named: DataFrame) -> DataFrame:
-    """All pairs of members of one key whose classes differ."""
-    classes = named.select("key", "comp").distinct()
-    other = classes.select("key", F.col("comp").alias("comp2"))
-    cross = classes.join(other, "key").where("comp < comp2")
-    left = named.select("key", "comp", F.col("id").alias("x"))
-    right = named.select("key", F.col("comp").alias("comp2"), F.col("id").alias("y"))
-    both = cross.join(left, ["key", "comp"]).join(right, ["key", "comp2"])
+    """All pairs of members of one key whose classes differ and whose bounds allow a link."""
+    classes = named.groupBy("key", "comp").agg(F.min("n").alias("n1"), F.max("cap").alias("cap1"))
+    other = classes.select("key", F.col("comp").alias("comp2"), F.col("n1").alias("n2"), F.col("cap1").alias("cap2"))
+    cross = classes.join(other, "key").where("comp < comp2 and n1 <= cap2 and n2 <= cap1").select("key", "comp", "comp2")
+    left = named.select("key", "comp", F.col("id").alias("x"), F.col("n").alias("xn"), F.col("cap").alias("xcap"))
+    right = named.select("key", F.col("comp").alias("comp2"), F.col("id").alias("y"), F.col("n").alias("yn"), F.col("cap").alias("ycap"))
+    both = cross.join(left, ["key", "comp"]).join(right, ["key", "comp2"]).where("xn <= ycap and yn <= xcap")
     return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))

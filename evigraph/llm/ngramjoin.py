@@ -36,7 +36,6 @@ NUM, DEN = 3, 4
 HOT_COUNT, HOT_SHARE, HOT_MAX = 4, 2000, 400_000
 #: Rows of ids that may be sent to every executor; above, the join is dealt by key.
 BROADCAST_ROWS = 1_000_000
-CACHE_WORDS = 500_000
 
 _C = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
@@ -47,30 +46,53 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-class _Words(dict):
-    """64-bit hashes of words; a bounded cache in each task."""
+class _Powers:
+    """Powers of an odd number and of its inverse modulo 2^64, as many as the longest text so far needs."""
 
-    def __missing__(self, word: bytes) -> int:
-        h = xxhash.xxh64_intdigest(word, seed=5)
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        self[word] = h
-        return h
+    BASE = 0x9E3779B97F4A7C15
 
+    def __init__(self):
+        self.n = 0
 
-def shingle_set(text: str | None, words: _Words) -> np.ndarray:
-    """The sorted distinct shingle hashes of a text (A-Z lower-cased, words parted by ASCII blanks)."""
-    parts = (text or "").encode().lower().split()
-    n = len(parts)
+    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if n > self.n:
+            self.n = max(n, 2 * self.n, 1 << 16)
+            grow = lambda x: np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(self.n - 1, x, np.uint64)]))
+            self.up, self.down = grow(self.BASE), grow(pow(self.BASE, -1, 1 << 64))
+        return self.up[:n], self.down[:n]
+
+
+_BYTES = _mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407))
+
+
+def shingle_set(text: str | None, powers: _Powers) -> np.ndarray:
+    """The sorted distinct shingle hashes of a text (A-Z lower-cased, words parted by ASCII blanks).
+
+    A word's hash is the sum of its bytes' values times powers of their places in it, got for all
+    words at once from running sums over the text.
+    """
+    raw = np.frombuffer((text or "").encode().lower(), np.uint8)
+    if not len(raw):
+        return np.empty(0, np.uint64)
+    inside = np.zeros(len(raw) + 2, np.int8)
+    inside[1:-1] = (raw != 32) & ((raw < 9) | (raw > 13))
+    edges = np.flatnonzero(np.diff(inside))
+    starts, ends = edges[::2], edges[1::2]
+    n = len(starts)
     if not n:
         return np.empty(0, np.uint64)
-    h = np.fromiter(map(words.__getitem__, parts), np.uint64, n)
+    up, down = powers.upto(len(raw))
+    sums = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum(_BYTES[raw] * up, out=sums[1:])
+    h = _mix((sums[ends] - sums[starts]) * down[starts])
     if n < SHINGLE:
         return _mix(np.array([(h * _C[:n]).sum(dtype=np.uint64) + np.uint64(n)], np.uint64))
     total = h[: n - SHINGLE + 1] * _C[0]
     for k in range(1, SHINGLE):
-        total = total + h[k : n - SHINGLE + 1 + k] * _C[k]
-    return np.unique(_mix(total))
+        total += h[k : n - SHINGLE + 1 + k] * _C[k]
+    total = _mix(total)
+    total.sort()
+    return total[np.concatenate([[True], total[1:] != total[:-1]])]
 
 
 def _name(s: np.ndarray) -> int:
@@ -91,8 +113,18 @@ def _parity(s: np.ndarray) -> list[int]:
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64).tolist()
 
 
-def _sets(batch: pa.RecordBatch, words: _Words) -> list[np.ndarray]:
-    return [shingle_set(t.as_py(), words) for t in batch.column(1)]
+def _sets(batch: pa.RecordBatch, powers: _Powers) -> list[np.ndarray]:
+    return [shingle_set(t.as_py(), powers) for t in batch.column(1)]
+
+
+#: Rows whose sets a task holds at once; bounds its memory.
+SLICE_ROWS = 1500
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE_ROWS):
+            yield batch.slice(at, SLICE_ROWS)
 
 
 def nodes_and_hot(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, np.ndarray]:
@@ -100,23 +132,28 @@ def nodes_and_hot(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, np.n
     fields = {"hot": pa.bool_(), "id": pa.int64(), "n": pa.int64(), "node": pa.int64(), "parity": pa.list_(pa.int64())}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _Words()
+        powers = _Powers()
         for batch in batches:
-            sets = _sets(batch, words)
-            seen: dict[int, np.ndarray] = {}
-            names = []
-            for s in sets:
-                names.append(_name(s))
-                seen.setdefault(names[-1], s)
-            parity = {k: _parity(s) for k, s in seen.items()}
-            ids = batch.column(0).cast(pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([False] * len(sets), pa.bool_()), ids, pa.array([len(s) for s in sets], pa.int64()), pa.array(_signed(names)), pa.array([parity[k] for k in names], fields["parity"])],
-                names=list(fields),
-            )
-            found, counts = np.unique(np.concatenate([*seen.values(), np.empty(0, np.uint64)]), return_counts=True)
-            many = counts >= max(HOT_COUNT, len(sets) / HOT_SHARE)
-            found, counts = found[many], counts[many]
+            own: list[np.ndarray] = []
+            done: set[int] = set()
+            for part in _slices(iter([batch])):
+                sets = _sets(part, powers)
+                names = [_name(x) for x in sets]
+                seen = dict(zip(names, sets))
+                parity = {k: _parity(x) for k, x in seen.items()}
+                own.append(np.concatenate([*(x for k, x in seen.items() if k not in done), np.empty(0, np.uint64)]))
+                done.update(seen)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([False] * len(sets), pa.bool_()), part.column(0).cast(pa.int64()), pa.array([len(x) for x in sets], pa.int64()), pa.array(_signed(names)), pa.array([parity[k] for k in names], fields["parity"])],
+                    names=list(fields),
+                )
+            everything = np.concatenate(own)
+            del own
+            everything.sort()
+            ends = np.flatnonzero(np.concatenate([everything[1:] != everything[:-1], [True] * (len(everything) > 0)]))
+            counts = np.diff(ends, prepend=-1)
+            many = counts >= max(HOT_COUNT, batch.num_rows / HOT_SHARE)
+            found, counts = everything[ends[many]], counts[many]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([True] * len(found), pa.bool_()), pa.array(_signed(found)), pa.array(counts), pa.nulls(len(found), pa.int64()), pa.nulls(len(found), fields["parity"])],
                 names=list(fields),
@@ -129,13 +166,14 @@ def nodes_and_hot(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, np.n
 
 
 def branches(docs: DataFrame, key: str, text: str, hot: np.ndarray) -> DataFrame:
-    """key (entry), id (node): each distinct set of a batch along the branches it may meet others on."""
+    """key (entry), id (node), n (entries), cap (entries that a partner may have if it first meets the
+    node here): each distinct set of a batch along the branches it may meet others on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _Words()
-        for batch in batches:
-            seen = {_name(s): s for s in _sets(batch, words) if len(s)}
-            keys, ids = [], []
+        powers = _Powers()
+        for batch in _slices(batches):
+            seen = {_name(s): s for s in _sets(batch, powers) if len(s)}
+            keys, ids, sizes, caps = [], [], [], []
             for name, s in seen.items():
                 depth = len(s) - -(-NUM * len(s) // DEN) + 1
                 if len(hot):
@@ -146,21 +184,23 @@ def branches(docs: DataFrame, key: str, text: str, hot: np.ndarray) -> DataFrame
                     path = s[:depth]
                 keys.append(path)
                 ids.append(np.full(len(path), name, np.uint64))
+                sizes.append(np.full(len(path), len(s), np.int64))
+                # if this is the first common entry, at most what follows it is common
+                caps.append((NUM + DEN) * (len(s) - np.arange(len(path), dtype=np.int64)) // NUM - len(s))
             none = [np.empty(0, np.uint64)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(keys or none).view(np.int64)), pa.array(np.concatenate(ids or none).view(np.int64))], names=["key", "id"]
-            )
+            columns = [np.concatenate(x or none).view(np.int64) for x in (keys, ids, sizes, caps)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "id", "n", "cap"])
 
-    return docs.select(key, text).mapInArrow(run, "key bigint, id bigint")
+    return docs.select(key, text).mapInArrow(run, "key bigint, id bigint, n bigint, cap bigint")
 
 
 def whole_sets(docs: DataFrame, key: str, text: str, needed: DataFrame) -> DataFrame:
     """node, entries of the nodes in `needed` (node, and one row id that has it)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _Words()
-        for batch in batches:
-            seen = {_name(s): s for s in _sets(batch, words)}
+        powers = _Powers()
+        for batch in _slices(batches):
+            seen = {_name(s): s for s in _sets(batch, powers)}
             yield pa.RecordBatch.from_arrays(
                 [pa.array(_signed(list(seen))), pa.array([s.view(np.int64) for s in seen.values()], pa.list_(pa.int64()))], names=["node", "entries"]
             )

@@ -1,9 +1,10 @@
 """Fuzzy line dedup, in DataFrame functions only.
 
-A line's words are the runs of letters and digits after lower-casing; lines with the same words are
-copies. Lines of `MIN_WORDS` words or more are also compared fuzzily: two are linked if their 64-bit
+A line's words are its runs of ASCII letters, digits and other characters beyond ASCII, after
+lower-casing; lines with the same words are copies. Lines of `MIN_WORDS` words or more are also compared fuzzily: two are linked if their 64-bit
 SimHashes differ in at most 3 bits and the edit similarity of their word sequences is at least
-`SIMILARITY`. SimHash sums the words' hashes bit by bit in byte-wide lanes of eight longs; lines of
+`SIMILARITY`. SimHash sums the hashes of words of four
+characters or more bit by bit in byte-wide lanes of eight longs; lines of
 more than `LANE` words are summed in blocks, whose hashes are summed again. With at most 3 differing
 bits in 5 blocks two blocks agree (pigeonhole), so lines that share any two of the 5 blocks are the
 candidates; `grouplinks` turns them into classes without all pairs of a group. Of each class the
@@ -17,6 +18,7 @@ are taken whole.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
@@ -28,6 +30,8 @@ from .grouplinks import link_groups
 MIN_WORDS, SIMILARITY, MAX_BITS = 5, 0.8, 3
 #: First bit and width of the five blocks of a SimHash.
 BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
+#: Places of lines (some 30 bytes) that may be sent to every executor; above, the join is dealt by key.
+BROADCAST_ROWS = 1_000_000
 #: Numbers that byte-wide lanes can sum with a bit to spare, so that no sum reaches the sign.
 LANE = 63
 _ONES, _HIGH = 0x0101010101010101, 0x4040404040404040
@@ -45,20 +49,53 @@ def _majority(hashes: str) -> str:
     return f"aggregate({hashes}, named_struct({zero}), (a, h) -> named_struct({step}), a -> {ends})"
 
 
-def simhash(words: str) -> str:
-    """SQL: the SimHash of an array of words, by up to three levels of majorities."""
-    level = f"transform({words}, w -> xxhash64(w))"
+def fold(hashes: str) -> str:
+    """SQL: one hash of an array<bigint>, by up to three levels of majorities of LANE elements."""
+    level = hashes
     for i in range(3):
         blocks = f"transform(sequence(1, greatest(size(v{i}), 1), {LANE}), k -> slice(v{i}, k, {LANE}))"
         level = f"transform(array({level}), v{i} -> if(size(v{i}) <= {LANE}, array({_majority(f'v{i}')}), transform({blocks}, b{i} -> {_majority(f'b{i}')})))[0]"
     return f"({level})[0]"
 
 
+def simhash(words: str) -> str:
+    """SQL: the SimHash of an array of words."""
+    return fold(f"transform({words}, w -> xxhash64(w))")
+
+
+def _words(line: Column) -> Column:
+    """Runs of ASCII letters, digits and all characters beyond ASCII, after lower-casing."""
+    return F.filter(F.split(F.lower(line), r"[\x00-/:-`{-\x7f]+"), lambda w: w != "")
+
+
+def hashed_lines(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """key, _t, pos, id (hash of the words), n (words), bits (SimHash) of every line that has a word.
+
+    The same SimHash as `simhash` gives, but words are summed up as rows, in blocks of LANE: the sums
+    stay in compiled code, and only lines of several blocks are folded by array functions.
+    """
+    lines = lines_of(docs, key, text).select(key, "_t", "pos", F.xxhash64("words").alias("id"), F.size("words").alias("n"), _features(F.col("words")).alias("words"))
+    names = [key, "_t", "pos", "id", "n", "_row"]
+    each = lines.withColumn("_row", F.monotonically_increasing_id()).select(*names, F.posexplode("words").alias("i", "w"))
+    each = each.select(*names, F.floor(F.col("i") / LANE).cast("int").alias("blk"), F.xxhash64("w").alias("h"))
+    sums = [F.sum(F.shiftrightunsigned("h", j).bitwiseAND(F.lit(_ONES))).alias(f"s{j}") for j in range(8)]
+    blocks = each.groupBy(*names, "blk").agg(F.count("*").alias("c"), *sums)
+    over = " | ".join(f"shiftleft(shiftrightunsigned((s{j} + ({LANE} - c div 2) * {_ONES}L) & {_HIGH}L, 6), {j})" for j in range(8))
+    blocks = blocks.select(*names, "blk", F.expr(over).alias("bits"))
+    whole = blocks.groupBy(*names).agg(F.min("bits").alias("one"), F.transform(F.sort_array(F.collect_list(F.struct("blk", "bits"))), lambda x: x["bits"]).alias("all"))
+    return whole.select(key, "_t", "pos", "id", "n", F.when(F.size("all") == 1, F.col("one")).otherwise(F.expr(fold("all"))).alias("bits"))
+
+
+def _features(words: Column) -> Column:
+    """Words of four characters or more, as short ones are in every line; all words if there are none."""
+    long_ = F.filter(words, lambda w: F.length(w) >= 4)
+    return F.when(F.exists(words, lambda w: F.length(w) >= 4), long_).otherwise(words)
+
+
 def lines_of(docs: DataFrame, key: str, text: str) -> DataFrame:
     """key, _t (hash of the text), pos, words of every line that has a word."""
     base = docs.select(F.col(key), F.xxhash64(text).alias("_t"), F.posexplode(F.split(text, "\n", -1)).alias("pos", "line"))
-    words = F.filter(F.split(F.lower("line"), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    return base.select(key, "_t", "pos", words.alias("words")).where(F.size("words") > 0)
+    return base.select(key, "_t", "pos", _words(F.col("line")).alias("words")).where(F.size("words") > 0)
 
 
 def _word_codes(words: Column) -> Column:
@@ -71,8 +108,8 @@ def _distance(bits: Column, other: Column) -> Column:
     return F.bit_count(bits.bitwiseXOR(other))
 
 
-def classes(lines: DataFrame, codes: DataFrame) -> DataFrame:
-    """lines: id, n, bits of distinct lines; codes: id, codes, which may repeat.
+def classes(lines: DataFrame, codes: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """lines: id, n, bits of distinct lines; codes gives id, codes of the ids of a table.
 
     Returns id, comp of the lines with a fuzzy link.
     """
@@ -82,7 +119,9 @@ def classes(lines: DataFrame, codes: DataFrame) -> DataFrame:
         F.shiftleft(F.lit(i).cast("long"), 32).bitwiseOR(F.shiftleft(cut(*x), 16)).bitwiseOR(cut(*y))
         for i, (x, y) in enumerate(combinations(BLOCKS, 2))
     ]
-    members = long_.select("id", F.explode(F.array(*keys)).alias("key"))
+    # lines of very different length are not similar
+    n, cap = F.col("n").cast("long"), F.floor(F.col("n") / SIMILARITY + 1e-9)
+    members = long_.select("id", F.explode(F.array(*keys)).alias("key"), n.alias("n"), cap.alias("cap"))
     side = lambda k: long_.select(F.col("id").alias(k), *[F.col(c).alias(f"{k}_{c}") for c in ("n", "bits")])
 
     def check(pairs: DataFrame) -> DataFrame:
@@ -91,8 +130,9 @@ def classes(lines: DataFrame, codes: DataFrame) -> DataFrame:
         allowed = F.floor(longest * F.lit(1 - SIMILARITY) + 1e-9).cast("int")
         near = near.where((_distance(F.col("a_bits"), F.col("b_bits")) <= MAX_BITS) & (longest - F.least("a_n", "b_n") <= allowed))
         near = materialize(near.select("a", "b", allowed.alias("allowed")))
-        needed = near.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        own = materialize(codes.join(needed, "id", "left_semi").dropDuplicates(["id"]))
+        if near.isEmpty():
+            return near.select("a", "b")
+        own = materialize(codes(near.select(F.explode(F.array("a", "b")).alias("id")).distinct()))
         both = near.join(own.select(F.col("id").alias("a"), F.col("codes").alias("a_codes")), "a")
         both = both.join(own.select(F.col("id").alias("b"), F.col("codes").alias("b_codes")), "b")
         return both.where(F.expr("levenshtein(a_codes, b_codes, allowed) >= 0")).select("a", "b")
@@ -102,15 +142,21 @@ def classes(lines: DataFrame, codes: DataFrame) -> DataFrame:
 
 def removals(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, _t, n_lines and removed (positions of lines to drop, ascending) of each text with lines."""
-    lines = lines_of(docs, key, text)
-    hashed = lines.select(
-        key, "_t", "pos", F.xxhash64("words").alias("id"), F.size("words").alias("n"), F.expr(simhash("words")).alias("bits"), _word_codes(F.col("words")).alias("codes")
-    )
-    # one written table holds every occurrence; codes of copies compress to one another
-    held = materialize(hashed)
+    held = materialize(hashed_lines(docs, key, text))
+
+    def codes(ids: DataFrame) -> DataFrame:
+        """Reads one occurrence of each line again."""
+        places = materialize(held.select("id", key, "_t", "pos").join(ids, "id", "left_semi").dropDuplicates(["id"]))
+        places = places.select("id", F.col(key).alias("_k"), F.col("_t").alias("_h"), "pos")
+        places = F.broadcast(places) if places.count() <= BROADCAST_ROWS else places
+        whole = docs.select(F.col(key).alias("_k2"), F.xxhash64(text).alias("_h2"), F.col(text).alias("_x"))
+        found = whole.join(places, F.col("_k2").eqNullSafe(F.col("_k")) & (F.col("_h2") == F.col("_h")))
+        line = F.get(F.split("_x", "\n", -1), F.col("pos"))
+        return found.select("id", _word_codes(_words(line)).alias("codes")).dropDuplicates(["id"])
+
     first = held.groupBy("id").agg(F.min("n").alias("n"), F.min("bits").alias("bits"), F.count("*").alias("c"))
     distinct = materialize(first)
-    comps = classes(distinct, held.select("id", "codes"))
+    comps = classes(distinct, codes)
     place = held.select(key, "_t", "pos", "id").join(comps, "id", "left").withColumn("cls", F.coalesce("comp", "id"))
     place = place.join(distinct.select("id", "c"), "id")
     # only classes with two occurrences or more lose any
@@ -133,8 +179,8 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     """docs with the text of the lines that stay; rows that lose all their lines go, rows that had
     none (no word at all) stay as they are."""
     gone = materialize(removals(docs, key, text)).where(F.size("removed") > 0)
-    gone = gone.select(F.col(key).alias("_k"), F.col("_t").alias("_h"), "n_lines", "removed")
+    gone = gone.select(F.col(key).alias("_k"), F.col("_t").alias("_h"), F.col("n_lines").alias("_lines"), F.col("removed").alias("_gone"))
     out = docs.withColumn("_t", F.xxhash64(text)).join(gone, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_t") == F.col("_h")), "left")
-    out = out.where(F.col("removed").isNull() | (F.size("removed") < F.col("n_lines")))
-    kept = F.expr(f"array_join(filter(split(`{text}`, '\\n', -1), (x, i) -> not array_contains(removed, i)), '\\n')")
-    return out.withColumn(text, F.when(F.col("removed").isNull(), F.col(text)).otherwise(kept)).select(docs.columns)
+    out = out.where(F.col("_gone").isNull() | (F.size("_gone") < F.col("_lines")))
+    kept = F.expr(f"array_join(filter(split(`{text}`, '\\n', -1), (x, i) -> not array_contains(_gone, i)), '\\n')")
+    return out.withColumn(text, F.when(F.col("_gone").isNull(), F.col(text)).otherwise(kept)).select(docs.columns)

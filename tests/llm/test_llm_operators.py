@@ -340,6 +340,9 @@ def test_simhash_is_the_bitwise_majority(spark, n):
     row = df.select(F.expr("transform(words, w -> xxhash64(w))").alias("h"), F.expr(linededup.simhash("words")).alias("s")).first()
     major = lambda hs: sum((2 * sum(h >> b & 1 for h in hs) > len(hs)) << b for b in range(64))
     hashes = [h & (1 << 64) - 1 for h in row.h]
+    rows = df.select(F.lit(1).alias("doc_id"), F.array_join("words", " ").alias("text"))
+    plain = rows.select(F.expr(linededup.simhash("filter(split(text, ' '), w -> length(w) >= 4 or not exists(split(text, ' '), v -> length(v) >= 4))")).alias("s")).first().s
+    assert linededup.hashed_lines(rows, "doc_id", "text").first().bits == plain
     while len(hashes) > linededup.LANE:
         hashes = [major(hashes[i : i + linededup.LANE]) for i in range(0, len(hashes), linededup.LANE)]
     assert major(hashes) == row.s & (1 << 64) - 1
@@ -347,14 +350,14 @@ def test_simhash_is_the_bitwise_majority(spark, n):
 
 def test_fuzzy_lines_match_brute_force(spark):
     rng = random.Random(8)
-    base = [[f"w{rng.randrange(5000)}" for _ in range(200)] for _ in range(4)]
+    base = [[f"word{rng.randrange(5000)}" for _ in range(200)] for _ in range(4)]
     rows = []
     for i in range(40):
         own = list(base[i % 4])
-        own[rng.randrange(200)] = f"v{i}"
+        own[rng.randrange(200)] = f"vary{i}"
         rows.append((i, " ".join(own)))
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    sims = {r.doc_id: r.s & (1 << 64) - 1 for r in df.select("doc_id", F.expr(linededup.simhash("split(text, ' ')")).alias("s")).collect()}
+    sims = {r.doc_id: r.s & (1 << 64) - 1 for r in df.select("doc_id", F.expr(linededup.simhash("filter(split(text, ' '), w -> length(w) >= 4)")).alias("s")).collect()}
     at = {i: i for i in sims}
 
     def find(x):

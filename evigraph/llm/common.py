@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +28,10 @@ def scratch_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+#: Paths of tables written since recording began; None: not recording.
+_recorded: list[str] | None = None
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write df as a table in the shared folder and read it back, which cuts its lineage.
 
@@ -33,9 +39,30 @@ def materialize(df: DataFrame) -> DataFrame:
     """
     path = f"{scratch_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if _recorded is not None:
+        _recorded.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def recording(paths: list[str]) -> Iterator[None]:
+    """Adds the tables that are written meanwhile to paths."""
+    global _recorded
+    before, _recorded = _recorded, paths
+    try:
+        yield
+    finally:
+        _recorded = before
+
+
+def delete(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes tables by Hadoop's file systems and empties the list."""
+    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    while paths:
+        path = jvm.org.apache.hadoop.fs.Path(paths.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-cases A-Z and nothing else."""
     return F.translate(c, UPPER, LOWER)

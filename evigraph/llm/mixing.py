@@ -113,7 +113,6 @@ def mix(
 ) -> DataFrame:
     """key, source, the carried columns, size, source_size, target, taken and copies of every document."""
     more = [c for c in carry if c not in (key, source)]
-    sized = docs.select(key, source, *more, word_count(F.col(text)).alias("size"))
-    sized = sized if text in more else materialize(sized)
+    sized = materialize(docs.select(key, source, *more, word_count(F.col(text)).alias("size")))
     shared = materialize(cycle_weights(sized.groupBy(source).agg(F.sum("size").alias("source_size")), source))
     return take(sized, targets(shared, budget_share=budget_share, max_epochs=max_epochs), key, source, "size", seed)

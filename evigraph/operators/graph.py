@@ -197,3 +197,36 @@ def layer_summary(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     n = nodes.groupBy("layer").agg(F.count("*").alias("n_nodes"))
     e = edges.groupBy("layer").agg(F.count("*").alias("n_edges"))
     return dim.join(n, "layer", "left").join(e, "layer", "left").select("layer_order", "layer", "status", F.coalesce("n_nodes", F.lit(0)).alias("n_nodes"), F.coalesce("n_edges", F.lit(0)).alias("n_edges"))
+
+
+def display_nodes(nodes: DataFrame, scored_edges: DataFrame, n: int) -> DataFrame:
+    """The n nodes with the highest own score plus the scores of their edges. nodes: id, base;
+    scored_edges: source, target, score."""
+    ends = scored_edges.select(F.col("source").alias("id"), "score").unionAll(scored_edges.select(F.col("target").alias("id"), "score"))
+    gain = ends.groupBy("id").agg(F.sum("score").alias("gain"))
+    out = nodes.join(gain, "id", "left").select("id", F.round(F.col("base") + F.coalesce("gain", F.lit(0.0)), 4).alias("score"))
+    return out.orderBy(F.desc("score"), "id").limit(n)
+
+
+def display_edges(scored_edges: DataFrame, kept: DataFrame, n: int) -> DataFrame:
+    """The best edges between kept nodes, at most max(60, 2.35 n)."""
+    ids = kept.select("id")
+    inside = scored_edges.join(ids.withColumnRenamed("id", "source"), "source", "left_semi").join(ids.withColumnRenamed("id", "target"), "target", "left_semi")
+    return inside.orderBy(F.desc("score"), "source", "target").limit(max(60, int(2.35 * n)))
+
+
+def node_details(edges: DataFrame, ids: DataFrame) -> DataFrame:
+    """id, other, direction, relation, confidence of every edge at the given nodes."""
+    out = edges.join(ids.select(F.col("id").alias("source")), "source").select(F.col("source").alias("id"), F.col("target").alias("other"), F.lit("out").alias("direction"), "relation", "confidence")
+    back = edges.join(ids.select(F.col("id").alias("target")), "target").select(F.col("target").alias("id"), F.col("source").alias("other"), F.lit("in").alias("direction"), "relation", "confidence")
+    return out.unionByName(back)
+
+
+def evidence_edges(grounded: DataFrame, section: str = "section_id") -> DataFrame:
+    """Edges of the evidence layer: a concept is evidenced by a chunk and has a quote that derives from it."""
+    quote = T.stable_id("quote", F.col("chunk_id"), T.quote_hash(F.col("quote")))
+    concept = T.stable_id("node", F.col(section), T.normalize_name(F.col("name")))
+    rows = grounded.select(concept.alias("concept"), "chunk_id", quote.alias("quote_id"))
+    kinds = [("EVIDENCED_BY", "concept", "chunk_id"), ("HAS_SOURCE_QUOTE", "concept", "quote_id"), ("DERIVED_FROM", "quote_id", "chunk_id")]
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("relation"), F.col(a).alias("source"), F.col(b).alias("target")) for k, a, b in kinds]))
+    return rows.select(each.alias("e")).select("e.source", "e.target", "e.relation").distinct()

@@ -125,6 +125,33 @@ def edge_scores(spark: SparkSession, sf: str) -> DataFrame:
     return G.edge_scores(edges, weights).select("l_partkey", "l_suppkey", "relation", F.round("score", 6).alias("score"))
 
 
+def _star_scored(spark: SparkSession, sf: str) -> DataFrame:
+    weights = spark.createDataFrame([("PART_OF", 0.9), ("CONTAINS", 0.7), ("IS_A", 0.8)], "relation string, weight double")
+    edges = _star(spark, sf).withColumns({"contextual": F.col("relation") == "CONTAINS", "verified": F.col("confidence") > 0.6, "n_evidence": F.lit(1)})
+    return G.edge_scores(edges, weights).select("source", "target", F.round("score", 6).alias("score"))
+
+
+def _star_nodes(spark: SparkSession, sf: str) -> DataFrame:
+    return G.degrees(_star(spark, sf)).select("id", (F.col("degree") * 0.1).alias("base"))
+
+
+def display_nodes(spark: SparkSession, sf: str) -> DataFrame:
+    return G.display_nodes(_star_nodes(spark, sf), _star_scored(spark, sf), 100)
+
+
+def display_edges(spark: SparkSession, sf: str) -> DataFrame:
+    return G.display_edges(_star_scored(spark, sf), G.display_nodes(_star_nodes(spark, sf), _star_scored(spark, sf), 100), 100)
+
+
+def node_details(spark: SparkSession, sf: str) -> DataFrame:
+    ids = table(spark, sf, "nation").select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("id"))
+    return G.node_details(_star(spark, sf), ids)
+
+
+def evidence_edges(spark: SparkSession, sf: str) -> DataFrame:
+    return G.evidence_edges(G.ground(_terms(spark, sf), _chunks(spark, sf), "doc_id"), "doc_id")
+
+
 def layer_summary(spark: SparkSession, sf: str) -> DataFrame:
     docs, chunks, terms = table(spark, sf, "documents"), _chunks(spark, sf), _terms(spark, sf)
     grounded = G.ground(terms, chunks, "doc_id")
@@ -142,7 +169,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         term_filter, section_terms, ground_evidence, keyword_edges, node_merge, edge_first_wins, context_hub, context_adjacent, next_previous, node_degree,
-        orphan_rollup, neighbour_top3, bfs_depth, shortest_path, components, edge_scores, layer_summary,
+        orphan_rollup, neighbour_top3, bfs_depth, shortest_path, components, edge_scores, display_nodes, display_edges, node_details, evidence_edges, layer_summary,
     )
 }
 
@@ -200,7 +227,20 @@ _MARKERS = " UNION ALL ".join(
     f"SELECT '{r}' AS relation, doc_id, s, sentence FROM said WHERE chunk_no = 0 AND ({' OR '.join(f'contains(sentence, {chr(39)}{m}{chr(39)})' for m in ms)})" for ms, r in LATIN.relations
 )
 
+_SHOWN = f"""{_STAR}, se AS (
+  SELECT source, target, round(confidence * CASE relation WHEN 'PART_OF' THEN CAST(0.9 AS DOUBLE) WHEN 'CONTAINS' THEN CAST(0.7 AS DOUBLE) ELSE CAST(0.8 AS DOUBLE) END
+    * CASE WHEN relation = 'CONTAINS' THEN CAST(0.48 AS DOUBLE) ELSE CAST(1.0 AS DOUBLE) END + CASE WHEN confidence > CAST(0.6 AS DOUBLE) THEN CAST(0.35 AS DOUBLE) ELSE 0.0 END + CAST(0.08 AS DOUBLE), 6) AS score FROM star),
+ends2 AS (SELECT source AS id, score FROM se UNION ALL SELECT target, score FROM se),
+shown AS (SELECT id, round(count(*) * CAST(0.1 AS DOUBLE) + sum(score), 4) AS score FROM ends2 GROUP BY id ORDER BY score DESC, id LIMIT 100)"""
+
 ORACLE_SQL = {
+    "display_nodes": f"WITH {_SHOWN} SELECT id, score FROM shown",
+    "display_edges": f"WITH {_SHOWN} SELECT source, target, score FROM se WHERE source IN (SELECT id FROM shown) AND target IN (SELECT id FROM shown) ORDER BY score DESC, source, target LIMIT 235",
+    "node_details": f"""WITH {_STAR} SELECT source AS id, target AS other, 'out' AS direction, relation, confidence FROM star WHERE starts_with(source, 'n')
+UNION ALL SELECT target, source, 'in', relation, confidence FROM star WHERE starts_with(target, 'n')""",
+    "evidence_edges": f"""WITH {_TERMS}, {_CHUNKS}, {_GROUND}, x AS (
+  SELECT 'node_' || substring(sha256(doc_id || '|' || lower(regexp_replace(name, '\\s+', '', 'g'))), 1, 16) AS concept, chunk_id, 'quote_' || substring(sha256(chunk_id || '|' || substring(sha256(quote), 1, 16)), 1, 16) AS quote_id FROM grounded)
+SELECT concept AS source, chunk_id AS target, 'EVIDENCED_BY' AS relation FROM x UNION SELECT concept, quote_id, 'HAS_SOURCE_QUOTE' FROM x UNION SELECT quote_id, chunk_id, 'DERIVED_FROM' FROM x""",
     "term_filter": f"SELECT raw, {_clean('raw')} AS name, {_good(_clean('raw'))} AS good FROM (SELECT DISTINCT unnest([p_name, p_type, p_brand]) AS raw FROM part)",
     "section_terms": f"WITH {_TERMS} SELECT doc_id, pos, name FROM terms",
     "ground_evidence": f"WITH {_TERMS}, {_CHUNKS}, {_GROUND} SELECT * FROM grounded",

@@ -137,7 +137,7 @@ def classes(lines: DataFrame, codes: Callable[[DataFrame], DataFrame]) -> DataFr
         both = both.join(own.select(F.col("id").alias("b"), F.col("codes").alias("b_codes")), "b")
         return both.where(F.expr("levenshtein(a_codes, b_codes, allowed) >= 0")).select("a", "b")
 
-    return link_groups(members, check)
+    return link_groups(members, check, long_.select("id", F.col("bits").alias("mark")), MAX_BITS)
 
 
 def removals(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

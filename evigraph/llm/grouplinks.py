@@ -50,13 +50,13 @@ def components(links: DataFrame) -> DataFrame:
     return names
 
 
-def link_groups(members: DataFrame, check: Callable[[DataFrame], DataFrame], marks: DataFrame | None = None, max_bits: int = 64) -> DataFrame:
+def link_groups(members: DataFrame, check: Callable[[DataFrame], DataFrame], marks: DataFrame | None = None, max_bits: str = "64") -> DataFrame:
     """members: key, id, n, cap (long) -> id, comp of all ids with a link.
 
     Two members of a key can only link if the n of each is at most the cap of the other; where there is
     no such bound, give 0 for both. A pair must meet these bounds under one of its common keys at
     least. marks (id, mark long), if given, rule out pairs whose marks differ in more than max_bits
-    bits before they are listed. check takes distinct pairs (a < b) and returns those that are links.
+    bits before they are listed; max_bits is SQL with {0} and {1} for the n of both. check takes distinct pairs (a < b) and returns those that are links.
     """
     keys = members.groupBy("key").agg(F.count("*").alias("c"), F.min("id").alias("lo"), F.max("id").alias("hi"), F.min("n").alias("least"))
     keys = materialize(keys.where("lo < hi"))
@@ -79,7 +79,7 @@ def link_groups(members: DataFrame, check: Callable[[DataFrame], DataFrame], mar
         if turn < HUB_ROUNDS:
             hub = held.join(spread.select("key", F.col("h").alias("id")), ["key", "id"])
             hub = hub.select("key", F.col("id").alias("h"), F.col("n").alias("hn"), F.col("cap").alias("hcap"), F.col("mark").alias("hmark"), F.col("comp").alias("hc"))
-            pairs = held.join(hub, "key").where(f"comp <> hc and n <= hcap and hn <= cap and bit_count(mark ^ hmark) <= {max_bits}")
+            pairs = held.join(hub, "key").where(f"comp <> hc and n <= hcap and hn <= cap and bit_count(mark ^ hmark) <= {max_bits.format('n', 'hn')}")
             pairs = pairs.select(F.least("id", "h").alias("a"), F.greatest("id", "h").alias("b"))
         else:
             pairs = _across(held, max_bits)
@@ -91,16 +91,16 @@ def link_groups(members: DataFrame, check: Callable[[DataFrame], DataFrame], mar
     return comps
 
 
-def _across(named: DataFrame, max_bits: int) -> DataFrame:
+def _across(named: DataFrame, max_bits: str) -> DataFrame:
     """All pairs of members of one key whose classes differ and whose bounds and marks allow a link.
 
     Classes with one mark are compared by it before their members are listed.
     """
-    classes = named.groupBy("key", "comp").agg(F.min("n").alias("n1"), F.max("cap").alias("cap1"), F.min("mark").alias("lo1"), F.max("mark").alias("hi1"))
-    other = classes.toDF("key", "comp2", "n2", "cap2", "lo2", "hi2")
-    meet = f"comp < comp2 and n1 <= cap2 and n2 <= cap1 and (lo1 <> hi1 or lo2 <> hi2 or bit_count(lo1 ^ lo2) <= {max_bits})"
+    classes = named.groupBy("key", "comp").agg(F.min("n").alias("n1"), F.max("cap").alias("cap1"), F.max("n").alias("m1"), F.min("mark").alias("lo1"), F.max("mark").alias("hi1"))
+    other = classes.toDF("key", "comp2", "n2", "cap2", "m2", "lo2", "hi2")
+    meet = f"comp < comp2 and n1 <= cap2 and n2 <= cap1 and (lo1 <> hi1 or lo2 <> hi2 or bit_count(lo1 ^ lo2) <= {max_bits.format('m1', 'm2')})"
     cross = classes.join(other, "key").where(meet).select("key", "comp", "comp2")
     left = named.select("key", "comp", F.col("id").alias("x"), F.col("n").alias("xn"), F.col("cap").alias("xcap"), F.col("mark").alias("xmark"))
     right = named.select("key", F.col("comp").alias("comp2"), F.col("id").alias("y"), F.col("n").alias("yn"), F.col("cap").alias("ycap"), F.col("mark").alias("ymark"))
-    both = cross.join(left, ["key", "comp"]).join(right, ["key", "comp2"]).where(f"xn <= ycap and yn <= xcap and bit_count(xmark ^ ymark) <= {max_bits}")
+    both = cross.join(left, ["key", "comp"]).join(right, ["key", "comp2"]).where(f"xn <= ycap and yn <= xcap and bit_count(xmark ^ ymark) <= {max_bits.format('xn', 'yn')}")
     return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))

@@ -1,14 +1,15 @@
 """Fuzzy line dedup, in DataFrame functions only.
 
 A line's words are its runs of ASCII letters, digits and other characters beyond ASCII, after
-lower-casing; lines with the same words are copies. Lines of `MIN_WORDS` words or more are also compared fuzzily: two are linked if their 64-bit
-SimHashes differ in at most 3 bits and the edit similarity of their word sequences is at least
-`SIMILARITY`. SimHash sums the hashes of words of four
-characters or more bit by bit in byte-wide lanes of eight longs; lines of
-more than `LANE` words are summed in blocks, whose hashes are summed again. With at most 3 differing
-bits in 5 blocks two blocks agree (pigeonhole), so lines that share any two of the 5 blocks are the
-candidates; `grouplinks` turns them into classes without all pairs of a group. Of each class the
-first occurrence, by doc_id and position, stays.
+lower-casing; lines with the same words are copies. Lines of `MIN_WORDS` words or more are also
+compared fuzzily: two are linked if the edit similarity of their word sequences is at least
+`SIMILARITY`, whatever their length. Candidates come by an exact prefix filter: d edits leave all but
+some 2 d of a line's pairs of neighbouring words (`_lost`), so if every line lists that many pairs and
+one more in one order of all pairs, similar lines share a listed one. The order puts pairs of rare
+words first; it only decides how many candidates there are, so word counts from a part of the lines
+will do. A parity bitmap of the words, of which an edit flips at most two bits, rules out most of the
+others before they are listed; `grouplinks` turns candidates into classes without all pairs of a
+group. Of each class the first occurrence, by doc_id and position, stays.
 
 Lines are named by a 64-bit hash of their words. Nulls: a null text has no lines; a null doc_id
 comes first in the order. Lines without a word are never removed. Empty tables give empty results.
@@ -18,8 +19,8 @@ are taken whole.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
-from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,9 +28,9 @@ from pyspark.sql import functions as F
 from .common import materialize
 from .grouplinks import link_groups
 
-MIN_WORDS, SIMILARITY, MAX_BITS = 5, 0.8, 3
-#: First bit and width of the five blocks of a SimHash.
-BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
+MIN_WORDS, SIMILARITY = 5, 0.8
+#: Buckets of word counts, of which one byte each goes into the plan, and the part of lines counted.
+BUCKETS, COUNTED = 1 << 16, 8
 #: Places of lines (some 30 bytes) that may be sent to every executor; above, the join is dealt by key.
 BROADCAST_ROWS = 1_000_000
 #: Numbers that byte-wide lanes can sum with a bit to spare, so that no sum reaches the sign.
@@ -71,6 +72,7 @@ def _words(line: Column) -> Column:
 def hashed_lines(docs: DataFrame, key: str, text: str) -> DataFrame:
     """key, _t, pos, id (hash of the words), n (words), bits (SimHash) of every line that has a word.
 
+    A SimHash for estimates: no link depends on it, as it misses most near copies of short lines.
     The same SimHash as `simhash` gives, but words are summed up as rows, in blocks of LANE: the sums
     stay in compiled code, and only lines of several blocks are folded by array functions.
     """
@@ -104,32 +106,59 @@ def _word_codes(words: Column) -> Column:
     return F.decode(F.unhex(F.array_join(code, "")), "UTF-16BE")
 
 
-def _distance(bits: Column, other: Column) -> Column:
-    return F.bit_count(bits.bitwiseXOR(other))
+def _edits(n: str) -> str:
+    """SQL: the edits that similar lines may be apart, of which the longer has n words."""
+    return f"cast(floor(({n}) * {1 - SIMILARITY:.6f} + 1e-9) as int)"
+
+
+def _lost(n: str) -> str:
+    """SQL: the pairs of neighbours of a line of n words that a similar line may lack.
+
+    An edit breaks two pairs at most. Where the other line has x words more, at least x edits are
+    insertions, which break one: 2 edits(n + x) - x, and that is greatest for x = 0 or 1.
+    """
+    return f"greatest(2 * {_edits(n)}, 2 * {_edits(f'{n} + 1')} - 1)"
+
+
+def _word_levels(held: DataFrame) -> bytearray:
+    """The frequency of the words of each bucket as a level below 64, growing with its logarithm."""
+    some = held.where(F.pmod("id", F.lit(COUNTED)) == 0).select(F.explode("h").alias("h"))
+    counts = some.groupBy(F.col("h").bitwiseAND(F.lit(BUCKETS - 1)).alias("b")).agg(F.count("*").alias("c"))
+    out = bytearray(BUCKETS)
+    for r in counts.collect():
+        out[r.b] = min(63, int(2 * math.log2(1 + r.c)))
+    return out
+
+
+def listed_pairs(held: DataFrame) -> DataFrame:
+    """id, n, mark (parity bitmap of the words), keys (listed pairs of neighbours) of long lines. held: id, n, h."""
+    long_ = held.where(F.col("n") >= MIN_WORDS).select("id", "n", "h")
+    table = F.lit(_word_levels(long_))
+    level = lambda x: F.ascii(F.substring(table, x.bitwiseAND(F.lit(BUCKETS - 1)) + 1, F.lit(1)).cast("string")).cast("long")
+    rated = long_.withColumn("w", F.transform("h", lambda x: F.struct(x.alias("h"), level(x).alias("l"))))
+    pair = lambda a, b: F.shiftleft(a["l"] + b["l"], 56).bitwiseOR(F.xxhash64(a["h"], b["h"]).bitwiseAND(F.lit((1 << 56) - 1)))
+    pairs = F.zip_with(F.slice("w", F.lit(1), F.col("n") - 1), F.slice("w", F.lit(2), F.col("n") - 1), pair)
+    return rated.select(
+        "id", F.col("n").cast("long").alias("n"), F.expr("aggregate(h, 0L, (a, x) -> a ^ shiftleft(1L, shiftrightunsigned(x, 16) & 63))").alias("mark"),
+        F.slice(F.sort_array(F.array_distinct(pairs)), F.lit(1), F.expr(f"{_lost('n')} + 1")).alias("keys"),
+    )
 
 
 def classes(lines: DataFrame, codes: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """lines: id, n, bits of distinct lines; codes gives id, codes of the ids of a table.
+    """lines: id, n, mark, keys as `listed_pairs` gives them; codes gives id, codes of the ids of a table.
 
     Returns id, comp of the lines with a fuzzy link.
     """
-    long_ = lines.where(F.col("n") >= MIN_WORDS)
-    cut = lambda start, width: F.shiftrightunsigned("bits", start).bitwiseAND(F.lit((1 << width) - 1))
-    keys = [
-        F.shiftleft(F.lit(i).cast("long"), 32).bitwiseOR(F.shiftleft(cut(*x), 16)).bitwiseOR(cut(*y))
-        for i, (x, y) in enumerate(combinations(BLOCKS, 2))
-    ]
     # lines of very different length are not similar
-    n, cap = F.col("n").cast("long"), F.floor(F.col("n") / SIMILARITY + 1e-9)
-    members = long_.select("id", F.explode(F.array(*keys)).alias("key"), n.alias("n"), cap.alias("cap"))
-    side = lambda k: long_.select(F.col("id").alias(k), *[F.col(c).alias(f"{k}_{c}") for c in ("n", "bits")])
+    cap = F.floor(F.col("n") / SIMILARITY + 1e-9)
+    members = lines.select("id", F.explode("keys").alias("key"), "n", cap.alias("cap"))
+    marks = lines.select("id", "n", "mark").distinct()
+    side = lambda k: marks.select(F.col("id").alias(k), F.col("n").alias(f"{k}_n"))
 
     def check(pairs: DataFrame) -> DataFrame:
         near = pairs.join(side("a"), "a").join(side("b"), "b")
-        longest = F.greatest("a_n", "b_n")
-        allowed = F.floor(longest * F.lit(1 - SIMILARITY) + 1e-9).cast("int")
-        near = near.where((_distance(F.col("a_bits"), F.col("b_bits")) <= MAX_BITS) & (longest - F.least("a_n", "b_n") <= allowed))
-        near = materialize(near.select("a", "b", allowed.alias("allowed")))
+        near = near.withColumn("allowed", F.expr(_edits("greatest(a_n, b_n)"))).where("abs(a_n - b_n) <= allowed")
+        near = materialize(near.select("a", "b", "allowed"))
         if near.isEmpty():
             return near.select("a", "b")
         own = materialize(codes(near.select(F.explode(F.array("a", "b")).alias("id")).distinct()))
@@ -137,26 +166,31 @@ def classes(lines: DataFrame, codes: Callable[[DataFrame], DataFrame]) -> DataFr
         both = both.join(own.select(F.col("id").alias("b"), F.col("codes").alias("b_codes")), "b")
         return both.where(F.expr("levenshtein(a_codes, b_codes, allowed) >= 0")).select("a", "b")
 
-    return link_groups(members, check, long_.select("id", F.col("bits").alias("mark")), MAX_BITS)
+    return link_groups(members, check, marks.select("id", "mark"), f"2 * {_edits('greatest({0}, {1})')}")
 
 
 def removals(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, _t, n_lines and removed (positions of lines to drop, ascending) of each text with lines."""
-    held = materialize(hashed_lines(docs, key, text))
+    words = F.col("words")
+    read = lines_of(docs, key, text).select(
+        key, "_t", "pos", F.xxhash64("words").alias("id"), F.size("words").alias("n"), F.when(F.size("words") >= MIN_WORDS, F.transform(words, lambda w: F.hash(w))).alias("h")
+    )
+    whole = materialize(read)
+    held = whole.drop("h")
 
     def codes(ids: DataFrame) -> DataFrame:
         """Reads one occurrence of each line again."""
         places = materialize(held.select("id", key, "_t", "pos").join(ids, "id", "left_semi").dropDuplicates(["id"]))
         places = places.select("id", F.col(key).alias("_k"), F.col("_t").alias("_h"), "pos")
         places = F.broadcast(places) if places.count() <= BROADCAST_ROWS else places
-        whole = docs.select(F.col(key).alias("_k2"), F.xxhash64(text).alias("_h2"), F.col(text).alias("_x"))
-        found = whole.join(places, F.col("_k2").eqNullSafe(F.col("_k")) & (F.col("_h2") == F.col("_h")))
+        texts = docs.select(F.col(key).alias("_k2"), F.xxhash64(text).alias("_h2"), F.col(text).alias("_x"))
+        found = texts.join(places, F.col("_k2").eqNullSafe(F.col("_k")) & (F.col("_h2") == F.col("_h")))
         line = F.get(F.split("_x", "\n", -1), F.col("pos"))
         return found.select("id", _word_codes(_words(line)).alias("codes")).dropDuplicates(["id"])
 
-    first = held.groupBy("id").agg(F.min("n").alias("n"), F.min("bits").alias("bits"), F.count("*").alias("c"))
+    first = held.groupBy("id").agg(F.count("*").alias("c"))
     distinct = materialize(first)
-    comps = classes(distinct, codes)
+    comps = classes(materialize(listed_pairs(whole)), codes)
     place = held.select(key, "_t", "pos", "id").join(comps, "id", "left").withColumn("cls", F.coalesce("comp", "id"))
     place = place.join(distinct.select("id", "c"), "id")
     # only classes with two occurrences or more lose any

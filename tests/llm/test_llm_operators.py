@@ -370,3 +370,43 @@ def test_fuzzy_lines_match_brute_force(spark):
             at[max(find(i), find(j))] = min(find(i), find(j))
     kept = {r.doc_id for r in linededup.dedup(df).collect()}
     assert kept == {i for i in at if find(i) == i}
+
+
+def word_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row = row, [i]
+        for j, y in enumerate(b, 1):
+            row.append(min(row[-1] + 1, last[j] + 1, last[j - 1] + (x != y)))
+    return row[-1]
+
+
+def test_fuzzy_links_of_short_lines_match_edit_distance(spark):
+    rng = random.Random(11)
+    rows = []
+    for n in [5, 6, 9, 10, 13, 14, 19, 27, 40] * 4:
+        base = [f"w{rng.randrange(60)}" for _ in range(n)]
+        rows.append(base)
+        for _ in range(5):
+            own = list(base)
+            for _ in range(rng.randrange(1, n // 4 + 2)):
+                at, kind = rng.randrange(len(own)), rng.randrange(3)
+                own[at : at + (kind != 1)] = [f"w{rng.randrange(60)}"] if kind < 2 else []
+            rows.append(own)
+    rows += [["aa", "bb"] * 4, ["aa", "bb"] * 3 + ["bb", "aa"], ["aa"] * 5, ["aa"] * 6, ["front"] + rows[40], ["front"] + rows[200]]
+    at = list(range(len(rows)))
+
+    def find(x):
+        while at[x] != x:
+            x = at[x]
+        return x
+
+    for i, j in itertools.combinations(range(len(rows)), 2):
+        a, b = rows[i], rows[j]
+        longest = max(len(a), len(b))
+        if a == b or min(len(a), len(b)) >= 5 and 5 * word_distance(a, b) <= longest:
+            at[max(find(i), find(j))] = min(find(i), find(j))
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(rows)], "doc_id long, text string")
+    kept = {r.doc_id for r in linededup.dedup(df).collect()}
+    assert kept == {i for i in at if find(i) == i}
+    assert len(kept) < len(rows) / 2

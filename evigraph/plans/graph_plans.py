@@ -43,7 +43,8 @@ def ground_evidence(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def keyword_edges(spark: SparkSession, sf: str) -> DataFrame:
-    said = _chunks(spark, sf).where("chunk_no = 0").select("doc_id", F.posexplode(T.sentences(F.col("chunk"))).alias("s", "sentence"))
+    marked = F.regexp_replace("text", r"\.", "；")
+    said = table(spark, sf, "documents").select("doc_id", F.posexplode(T.sentences(marked)).alias("s", "sentence"))
     return G.keyword_edges(_terms(spark, sf), said, LATIN.relations, "doc_id")
 
 

@@ -113,8 +113,8 @@ def shortest_path(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def components(spark: SparkSession, sf: str) -> DataFrame:
-    """Classes of parts that share a supplier or line through orders of more than 45 units."""
-    lines = table(spark, sf, "lineitem").where("l_quantity >= 49").select(F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("a"), F.concat(F.lit("o"), F.col("l_orderkey").cast("string")).alias("b"))
+    """Classes of parts and orders that order lines link."""
+    lines = table(spark, sf, "lineitem").select(F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("a"), F.concat(F.lit("o"), F.col("l_orderkey").cast("string")).alias("b"))
     return connected_components(lines)
 
 

@@ -25,3 +25,18 @@ def test_keyword_edges_read_whole_documents(spark):
                 break
     assert {tuple(r[c] for c in ("doc_id", "source", "target", "relation", "quote")) for r in graph_plans.keyword_edges(spark, SF).collect()} == want
     assert late
+
+
+def test_components_hold_all_order_lines(spark):
+    at: dict[str, str] = {}
+
+    def find(x):
+        while at.setdefault(x, x) != x:
+            at[x] = at[at[x]]
+            x = at[x]
+        return x
+
+    for r in spark.read.parquet(f"{SF}/lineitem.parquet").select("l_partkey", "l_orderkey").collect():
+        a, b = find(f"p{r.l_partkey}"), find(f"o{r.l_orderkey}")
+        at[max(a, b)] = min(a, b)
+    assert {r.id: r.component for r in graph_plans.components(spark, SF).collect()} == {x: find(x) for x in at}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +12,8 @@ from ..functions.lexicon import Lexicon
 
 K1, B, MIN_COVERAGE, DIMS, VECTOR_WEIGHT = 1.5, 0.75, 0.12, 256, 2.0
 LITERAL_BONUS, LITERAL_CHARS = 2.0, 3
+#: Vectors and queries of one tile of the vector search.
+SHARD_ROWS, BLOCK_ROWS = 8192, 2048
 
 
 def term_counts(df: DataFrame, key: str, text: str, stop: tuple[str, ...] = ()) -> DataFrame:
@@ -123,13 +127,38 @@ def refusals(questions: DataFrame, terms: DataFrame, best: DataFrame, qkey: str)
     return out.select(qkey, F.when(F.col("t").isNull(), "query_has_no_terms").otherwise("no_grounded_match").alias("reason"))
 
 
+def _tile(q: pd.DataFrame, c: pd.DataFrame, k: int) -> pd.DataFrame:
+    """query_id, id, cosine of the k nearest of c to each row of q; vectors that cannot be compared have 0."""
+    c = c.sort_values("id", kind="stable")
+    ids, found = c["id"].to_numpy(), []
+    matrix = lambda vs, dims: np.nan_to_num(np.array([np.asarray(v, float) for v in vs]).reshape(len(vs), dims))
+    unit = lambda m: m / np.maximum(np.sqrt((m * m).sum(axis=1, keepdims=True)), np.finfo(float).tiny)
+    for dims, mine in q.groupby(q["v"].map(len)):
+        cosine = np.zeros((len(mine), len(c)))
+        same = np.flatnonzero(c["v"].map(len).to_numpy() == dims)
+        cosine[:, same] = unit(matrix(mine["v"], dims)) @ unit(matrix(c["v"].iloc[same], dims)).T
+        cosine = np.round(np.maximum(cosine, 0.0), 6)
+        for own, row in zip(mine["id"].to_numpy(), cosine):
+            row = np.where(ids == own, -1.0, row)
+            best = [i for i in np.argsort(-row, kind="stable")[:k] if row[i] >= 0]
+            found += [(own, ids[i], row[i]) for i in best]
+    return pd.DataFrame(found, columns=["query_id", "id", "cosine"]).astype({"query_id": "int64", "id": "int64", "cosine": "float64"})
+
+
 def vector_top_k(queries: DataFrame, vectors: DataFrame, k: int, key: str, vector: str) -> DataFrame:
-    """query_id, key, cosine (not below 0) and rank of the k nearest of each query vector."""
-    norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    left = queries.select(F.col(key).alias("query_id"), F.col(vector).alias("qv"), norm(F.col(vector)).alias("qn"))
-    right = vectors.select(F.col(key), F.col(vector).alias("v"), norm(F.col(vector)).alias("vn"))
-    pairs = right.join(F.broadcast(left)) if queries.count() * len(queries.columns) <= 10_000 else right.crossJoin(left)
-    dot = F.aggregate(F.zip_with("qv", "v", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    scored = pairs.where(F.col("query_id") != F.col(key)).withColumn("cosine", F.round(F.greatest(F.lit(0.0), dot / (F.col("qn") * F.col("vn"))), 6))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("cosine"), key))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", key, "cosine", "rank")
+    """query_id, key, cosine (not below 0) and rank of the k nearest of each query vector.
+
+    Vectors are dealt by hash into shards, queries into blocks; a tile of both is one matrix product
+    and keeps each query's k best, so only k rows a shard come to a query's window.
+    """
+    ready = lambda df: df.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(vector).cast("array<double>"), F.array().cast("array<double>")).alias("v")).where("id is not null")
+    left, right = ready(queries), ready(vectors)
+    blocks, shards = max(1, -(-left.count() // BLOCK_ROWS)), max(1, -(-right.count() // SHARD_ROWS))
+    part = lambda n: F.pmod(F.xxhash64("id", "v"), F.lit(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = left.withColumn("block", part(blocks)).withColumn("shard", each(shards))
+    right = right.withColumn("shard", part(shards)).withColumn("block", each(blocks))
+    tiles = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block"))
+    best = tiles.applyInPandas(lambda q, c: _tile(q, c, k), "query_id long, id long, cosine double")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("cosine"), "id"))
+    return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("id").alias(key), "cosine", "rank")

@@ -103,7 +103,7 @@ def best_quote(spark: SparkSession, sf: str) -> DataFrame:
 
 def vector_topk(spark: SparkSession, sf: str) -> DataFrame:
     vectors = table(spark, sf, "embeddings")
-    return I.vector_top_k(vectors.where("vec_id % 100 = 0"), vectors, 5, "vec_id", "embedding")
+    return I.vector_top_k(vectors.where("vec_id % 20 = 0"), vectors, 5, "vec_id", "embedding")
 
 
 def locator_coverage(spark: SparkSession, sf: str) -> DataFrame:

@@ -2,8 +2,11 @@
 
 import re
 
+import numpy as np
+
 from evigraph.functions.lexicon import LATIN
-from evigraph.plans import graph_plans
+from evigraph.operators import index
+from evigraph.plans import graph_plans, text_plans
 
 SF = "/root/testdata/sf0.001"
 
@@ -40,3 +43,19 @@ def test_components_hold_all_order_lines(spark):
         a, b = find(f"p{r.l_partkey}"), find(f"o{r.l_orderkey}")
         at[max(a, b)] = min(a, b)
     assert {r.id: r.component for r in graph_plans.components(spark, SF).collect()} == {x: find(x) for x in at}
+
+
+def test_vector_search_takes_every_twentieth_vector_over_tiles(spark, monkeypatch):
+    monkeypatch.setattr(index, "SHARD_ROWS", 60)
+    monkeypatch.setattr(index, "BLOCK_ROWS", 10)
+    rows = spark.read.parquet(f"{SF}/embeddings.parquet").orderBy("vec_id").collect()
+    ids, m = [r.vec_id for r in rows], np.array([r.embedding for r in rows], float)
+    m /= np.sqrt((m * m).sum(axis=1, keepdims=True))
+    want = {}
+    for i, own in enumerate(ids):
+        if own % 20 == 0:
+            scored = sorted((-round(max(0.0, float(m[i] @ m[j])), 6), x) for j, x in enumerate(ids) if x != own)[:5]
+            want |= {(own, n): (x, -s) for n, (s, x) in enumerate(scored, 1)}
+    got = {(r.query_id, r["rank"]): (r.vec_id, r.cosine) for r in text_plans.vector_topk(spark, SF).collect()}
+    assert got.keys() == want.keys() and len(got) == 5 * 25
+    assert all(got[x][0] == want[x][0] and abs(got[x][1] - want[x][1]) < 2e-6 for x in want)

@@ -43,7 +43,7 @@ def align_signals(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _candidates(spark: SparkSession, sf: str) -> DataFrame:
-    return L.candidates(_signals(spark, sf), ("SMALL",), ("LARGE",), 0.80)
+    return L.candidates(_signals(spark, sf), ("SMALL",), ("LARGE",))
 
 
 def align_candidates(spark: SparkSession, sf: str) -> DataFrame:
@@ -51,7 +51,7 @@ def align_candidates(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _members(spark: SparkSession, sf: str) -> DataFrame:
-    return L.clusters(_candidates(spark, sf).where("s_name = 1"), _nodes(spark, sf), 0.80)
+    return L.clusters(_candidates(spark, sf), _nodes(spark, sf))
 
 
 def align_clusters(spark: SparkSession, sf: str) -> DataFrame:
@@ -59,7 +59,7 @@ def align_clusters(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def cluster_confidence(spark: SparkSession, sf: str) -> DataFrame:
-    out = L.cluster_confidence(_members(spark, sf), _candidates(spark, sf).where("s_name = 1"))
+    out = L.cluster_confidence(_members(spark, sf), _candidates(spark, sf))
     return out.select("cluster", F.round("confidence", 3).alias("confidence"))
 
 
@@ -127,7 +127,8 @@ def integration_decisions(spark: SparkSession, sf: str) -> DataFrame:
     """An action for every part name: conflicts, then merges and refinements, evicted or kept ones."""
     nodes = _nodes(spark, sf)
     members = nodes.groupBy(F.col("name").alias("unit")).agg(F.count_distinct("book").alias("n_books"), F.max(F.length("definition")).alias("longest"), F.min(F.length("definition")).alias("shortest"))
-    conflicts = _candidates(spark, sf).where("relation = 'CONFLICTS_WITH' and s_name = 1").join(nodes.select(F.col("node_id").alias("l"), F.col("name").alias("unit")), "l").select("unit")
+    ends = _candidates(spark, sf).where("relation = 'CONFLICTS_WITH'").select(F.explode(F.array("l", "r")).alias("node_id")).distinct()
+    conflicts = ends.join(nodes.select("node_id", F.col("name").alias("unit")), "node_id").select("unit")
     evicted = nodes.groupBy(F.col("name").alias("unit")).agg(F.sum("frequency").alias("f")).where("f < 25").select("unit")
     return N.decide(members, conflicts, evicted)
 

@@ -1,12 +1,13 @@
 """Queries on whole tables against brute force of our own."""
 
+import itertools
 import re
 
 import numpy as np
 
 from evigraph.functions.lexicon import LATIN
 from evigraph.operators import index
-from evigraph.plans import graph_plans, text_plans
+from evigraph.plans import graph_plans, merge_plans, text_plans
 
 SF = "/root/testdata/sf0.001"
 
@@ -59,3 +60,39 @@ def test_vector_search_takes_every_twentieth_vector_over_tiles(spark, monkeypatc
     got = {(r.query_id, r["rank"]): (r.vec_id, r.cosine) for r in text_plans.vector_topk(spark, SF).collect()}
     assert got.keys() == want.keys() and len(got) == 5 * 25
     assert all(got[x][0] == want[x][0] and abs(got[x][1] - want[x][1]) < 2e-6 for x in want)
+
+
+def test_alignment_keeps_alias_pairs_in_classes_and_decisions(spark):
+    nodes = merge_plans._nodes(spark, SF).collect()
+    norm = lambda x: re.sub(r"[\s_-]+", "", x.lower())
+    keys = {n.node_id: {norm(n.name), norm(n.name.split(" ")[-1])} for n in nodes}
+    text = {n.node_id: f"{n.name} {n.definition}" for n in nodes}
+    at = {n.node_id: n.node_id for n in nodes}
+
+    def find(x):
+        while at[x] != x:
+            x = at[x]
+        return x
+
+    pairs, conflicts = {}, set()
+    for a, b in itertools.combinations(sorted(nodes, key=lambda n: n.node_id), 2):
+        l, r = a.node_id, b.node_id
+        if a.book != b.book and keys[l] & keys[r]:
+            if "SMALL" in text[l] and "LARGE" in text[r] or "SMALL" in text[r] and "LARGE" in text[l]:
+                pairs[l, r] = "CONFLICTS_WITH"
+                conflicts |= {a.name, b.name}
+            else:
+                pairs[l, r] = "ALIAS_OF" if norm(a.name) != norm(b.name) else "same"
+                at[max(find(l), find(r))] = min(find(l), find(r))
+    found = {(r.l, r.r): r for r in merge_plans.align_candidates(spark, SF).collect()}
+    assert found.keys() == pairs.keys() and "ALIAS_OF" in pairs.values()
+    assert all(found[x].relation == y for x, y in pairs.items() if y != "same")
+    linked = {x for p, y in pairs.items() if y != "CONFLICTS_WITH" for x in p}
+    assert {r.node_id: r.cluster for r in merge_plans.align_clusters(spark, SF).collect()} == {x: find(x) for x in linked}
+    means: dict[int, list[float]] = {}
+    for (l, r), row in found.items():
+        if l in linked and r in linked and find(l) == find(r):
+            means.setdefault(find(l), []).append(row.confidence)
+    got = {r.cluster: r.confidence for r in merge_plans.cluster_confidence(spark, SF).collect()}
+    assert got.keys() == means.keys() and all(abs(got[c] - sum(v) / len(v)) < 1e-3 for c, v in means.items())
+    assert {r.unit for r in merge_plans.integration_decisions(spark, SF).where("action = 'conflict'").collect()} == conflicts

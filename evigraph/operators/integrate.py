@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .components import _checkpointed
+
 RATIO, MIN_NEED, MIN_CHARS, FORCE_RETAIN = 0.30, 48, 12, 4.5
 
 
@@ -26,42 +32,73 @@ def evict(drafts: DataFrame, limits: DataFrame, group: str, order: list[str], ne
     """drafts with `evicted`: of each group the cheapest evictable drafts go while the need exceeds its limit.
 
     The order of victims is fixed, so the loop is a running sum: a draft goes if the need that is left
-    before it is still over the limit. limits: group, limit.
+    before it is still over the limit: the sums of the earlier ranges of the order and a running sum
+    in its own range. limits: group, limit.
     """
     total = drafts.groupBy(group).agg(F.sum(need).alias("_total"))
-    rows = drafts.join(total.join(limits, group), group)
-    before = Window.partitionBy(group).orderBy(F.when(F.col(evictable), 0).otherwise(1), *order).rowsBetween(Window.unboundedPreceding, -1)
-    freed = F.coalesce(F.sum(F.when(F.col(evictable), F.col(need)).otherwise(0)).over(before), F.lit(0))
-    return rows.withColumn("evicted", F.col(evictable) & (F.col("_total") - freed > F.col("limit"))).drop("_total", "limit")
+    flagged = drafts.withColumn("_last", F.when(F.col(evictable), 0).otherwise(1)).withColumn("_free", F.when(F.col(evictable), F.col(need)).otherwise(0))
+    # ranges of the order, written so that they stay as they are; a large group is many of them
+    dealt = _checkpointed(flagged.repartitionByRange(group, "_last", *order).withColumn("_range", F.spark_partition_id()))
+    sums = dealt.groupBy(group, "_range").agg(F.sum("_free").alias("_sum"))
+    earlier = Window.partitionBy(group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(group, "_range", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_before"))
+    own = Window.partitionBy(group, "_range").orderBy("_last", *order).rowsBetween(Window.unboundedPreceding, -1)
+    placed = dealt.withColumn("_own", F.coalesce(F.sum("_free").over(own), F.lit(0)))
+    rows = placed.join(sums, [group, "_range"]).join(total.join(limits, group), group)
+    out = rows.withColumn("evicted", F.col(evictable) & (F.col("_total") - F.col("_before") - F.col("_own") > F.col("limit")))
+    return out.select(*drafts.columns, *[c for c in limits.columns if c not in (group, "limit")], "evicted")
 
 
 def allocate(drafts: DataFrame, limits: DataFrame, group: str, key: str, weight: str = "importance", length: str = "length", least: int = MIN_CHARS) -> DataFrame:
     """group, key, chars: how many characters each draft of a group may keep, in order of importance.
 
     Each draft gets its share by weight of what is left, at least `least` and never so much that those
-    after it could not have `least`; what it does not use passes on. A fold over each group's sorted
-    drafts, whose number is the number of concepts of one report.
+    after it could not have `least`; what it does not use passes on. What is left depends on every
+    draft before, so a group's sorted drafts stream through one task, which holds three numbers and
+    emits each row; weights are summed up in the same order first.
     """
-    item = F.struct((-F.col(weight)).alias("o"), F.col(key).alias("k"), F.greatest(F.lit(1.0), F.col(weight)).alias("w"), F.col(length).alias("n"))
-    listed = drafts.groupBy(group).agg(F.sort_array(F.collect_list(item)).alias("items")).join(limits, group)
-
-    def step(acc: Column, x: Column) -> Column:
-        after = acc["rest"] - 1
-        share = F.greatest(F.lit(least).cast("long"), F.floor(acc["left"] * x["w"] / acc["weight"]).cast("long"))
-        most = F.when(after == 0, acc["left"]).otherwise(F.least(share, acc["left"] - least * after))
-        used = F.least(F.greatest(F.lit(1).cast("long"), most), x["n"].cast("long"))
-        return F.struct(
-            (acc["left"] - used).alias("left"), (acc["weight"] - x["w"]).alias("weight"), after.alias("rest"),
-            F.concat(acc["out"], F.array(F.struct(x["k"].alias("k"), used.alias("c")))).alias("out"),
-        )
-
-    key_type = dict(drafts.dtypes)[key]
-    start = F.struct(
-        F.col("limit").cast("long").alias("left"), F.aggregate("items", F.lit(0.0), lambda s, x: s + x["w"]).alias("weight"),
-        F.size("items").cast("int").alias("rest"), F.array().cast(f"array<struct<k:{key_type},c:bigint>>").alias("out"),
-    )
-    folded = listed.select(group, F.explode(F.aggregate("items", start, step)["out"]).alias("x"))
-    return folded.select(group, F.col("x.k").alias(key), F.col("x.c").alias("chars"))
+    types = dict(drafts.dtypes)
+    items = drafts.select(
+        group, (-F.col(weight)).cast("double").alias("_o"), F.col(key), F.greatest(F.lit(1.0), F.col(weight)).cast("double").alias("_w"), F.col(length).cast("long").alias("_n")
+    ).join(limits.select(group, F.col("limit").cast("long").alias("_limit")), group)
+    ordered = lambda df: df.repartition(group).sortWithinPartitions(group, "_o", key, "_w", "_n")
+    totals = ordered(items).mapInArrow(lambda batches: _weights(batches, group), f"`{group}` {types[group]}, _weight double, _rest long")
+    return ordered(items.join(totals, group)).mapInArrow(lambda batches: _shares(batches, group, key, least), f"`{group}` {types[group]}, `{key}` {types[key]}, chars long")
+
+
+def _weights(batches: Iterator[pa.RecordBatch], group: str) -> Iterator[pa.RecordBatch]:
+    """group, _weight, _rest (number of drafts) of rows sorted by group."""
+    at, weight, n, kind = None, 0.0, 0, None
+
+    def row() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([at], kind), pa.array([weight], pa.float64()), pa.array([n], pa.int64())], [group, "_weight", "_rest"])
+
+    for batch in batches:
+        kind = batch.column(group).type
+        for g, w in zip(batch.column(group).to_pylist(), batch.column("_w").to_pylist()):
+            if n and g != at:
+                yield row()
+                weight, n = 0.0, 0
+            at, weight, n = g, weight + w, n + 1
+    if n:
+        yield row()
+
+
+def _shares(batches: Iterator[pa.RecordBatch], group: str, key: str, least: int) -> Iterator[pa.RecordBatch]:
+    """group, key, chars of rows sorted by group and order."""
+    at, left, weight, rest = None, 0, 0.0, 0
+    for batch in batches:
+        own, chars = [batch.column(c) for c in (group, key)], []
+        columns = (batch.column(c).to_pylist() for c in (group, "_w", "_n", "_limit", "_weight", "_rest"))
+        for g, w, n, limit, total, count in zip(*columns):
+            if rest == 0 or g != at:
+                at, left, weight, rest = g, limit, total, count
+            rest -= 1
+            most = min(max(least, math.floor(left * w / weight)), left - least * rest) if rest else left
+            used = max(1, most) if n is None else min(max(1, most), n)
+            left, weight = left - used, weight - w
+            chars.append(used)
+        yield pa.RecordBatch.from_arrays([*own, pa.array(chars, pa.int64())], [group, key, "chars"])
 
 
 def compression_stats(decisions: DataFrame, group: str, original: str = "original", retained: str = "retained") -> DataFrame:

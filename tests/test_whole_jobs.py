@@ -1,12 +1,16 @@
 """Queries on whole tables against brute force of our own."""
 
+import contextlib
+import io
 import itertools
+import math
+import random
 import re
 
 import numpy as np
 
 from evigraph.functions.lexicon import LATIN
-from evigraph.operators import index
+from evigraph.operators import index, integrate
 from evigraph.plans import graph_plans, merge_plans, text_plans
 
 SF = "/root/testdata/sf0.001"
@@ -96,3 +100,43 @@ def test_alignment_keeps_alias_pairs_in_classes_and_decisions(spark):
     got = {r.cluster: r.confidence for r in merge_plans.cluster_confidence(spark, SF).collect()}
     assert got.keys() == means.keys() and all(abs(got[c] - sum(v) / len(v)) < 1e-3 for c, v in means.items())
     assert {r.unit for r in merge_plans.integration_decisions(spark, SF).where("action = 'conflict'").collect()} == conflicts
+
+
+def plan(df):
+    with contextlib.redirect_stdout(io.StringIO()) as out:
+        df.explain()
+    return out.getvalue()
+
+
+def test_budgets_of_a_large_group_take_no_array_and_no_window_of_all_its_rows(spark):
+    rng = random.Random(9)
+    rows = [("ab"[i % 7 == 0], i, rng.randrange(1, 400), rng.randrange(1, 49), round(rng.random() * 5, 2), rng.random() < 0.7) for i in range(6000)]
+    limits = {"a": 150_000, "b": 9_000}
+    df = spark.createDataFrame(rows, "g string, id long, length long, need long, importance double, evictable boolean").repartition(4)
+    lim = spark.createDataFrame(list(limits.items()), "g string, limit long")
+    gone, chars = set(), {}
+    for g, limit in limits.items():
+        own = [r for r in rows if r[0] == g]
+        left = sum(r[3] for r in own)
+        for r in sorted((r for r in own if r[5]), key=lambda r: (r[4], r[1])):
+            if left <= limit // 3:
+                break
+            left -= r[3]
+            gone.add(r[1])
+        own.sort(key=lambda r: (-r[4], r[1]))
+        weight = 0.0
+        for r in own:
+            weight += max(1.0, r[4])
+        left = limit
+        for i, r in enumerate(own):
+            rest, w = len(own) - i - 1, max(1.0, r[4])
+            most = min(max(12, math.floor(left * w / weight)), left - 12 * rest) if rest else left
+            chars[g, r[1]] = min(max(1, most), r[2])
+            left, weight = left - chars[g, r[1]], weight - w
+    out = integrate.evict(df, lim.withColumn("limit", (lim["limit"] / 3).cast("long")), "g", ["importance", "id"])
+    assert {r.id for r in out.where("evicted").collect()} == gone and out.count() == len(rows)
+    windows = [x for x in plan(out).splitlines() if " Window " in x and "importance" in x]
+    assert windows and all("_range" in x for x in windows)
+    shares = integrate.allocate(df, lim, "g", "id")
+    assert {(r.g, r.id): r.chars for r in shares.collect()} == chars
+    assert "collect_list" not in plan(shares)

@@ -251,7 +251,15 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs without the rows whose id is not the smallest of its class."""
-    gone = materialize(join(docs, key, text).where(F.col(key) != F.col("component_id")).select(F.col(key).alias("_j_id")).distinct())
+    """docs with one row of each class, the first by key; a row with a null key stays.
+
+    Rows are told apart by a number of their own, so a repeated key takes no other row along, and of
+    identical rows one stays. The written table fixes the numbers.
+    """
+    rows = materialize(docs.withColumn("_j_row", F.monotonically_increasing_id()))
+    own = classes(rows, "_j_row", text).where("cls is not null").select(F.col("id").alias("_j_row"), "cls")
+    own = own.join(rows.where(F.col(key).isNotNull()).select("_j_row", F.col(key).alias("_j_key")), "_j_row")
+    least = own.groupBy("cls").agg(F.min(F.struct("_j_key", "_j_row"))["_j_row"].alias("_j_kept"))
+    gone = materialize(own.join(least, "cls").where("_j_row <> _j_kept").select("_j_row"))
     gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
-    return docs.join(gone, F.col(key) == F.col("_j_id"), "left_anti")
+    return rows.join(gone, "_j_row", "left_anti").drop("_j_row")

@@ -410,3 +410,11 @@ def test_fuzzy_links_of_short_lines_match_edit_distance(spark):
     kept = {r.doc_id for r in linededup.dedup(df).collect()}
     assert kept == {i for i in at if find(i) == i}
     assert len(kept) < len(rows) / 2
+
+
+def test_keep_one_decides_by_row_where_ids_repeat(spark):
+    near, other = " ".join(f"near{i}" for i in range(60)), " ".join(f"other{i}" for i in range(60))
+    rows = [(1, near), (5, near + " end"), (5, other), (7, near), (8, "same words again"), (8, "same words again"), (None, near), (9, None), (9, None)]
+    kept = ngramjoin.keep_one(docs(spark, rows)).collect()
+    want = [(1, near), (5, other), (8, "same words again"), (None, near), (9, None), (9, None)]
+    assert collections.Counter((r.doc_id, r.text) for r in kept) == collections.Counter(want)

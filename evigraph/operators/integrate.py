@@ -44,7 +44,8 @@ def evict(drafts: DataFrame, limits: DataFrame, group: str, order: list[str], ne
     sums = sums.select(group, "_range", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_before"))
     own = Window.partitionBy(group, "_range").orderBy("_last", *order).rowsBetween(Window.unboundedPreceding, -1)
     placed = dealt.withColumn("_own", F.coalesce(F.sum("_free").over(own), F.lit(0)))
-    rows = placed.join(sums, [group, "_range"]).join(total.join(limits, group), group)
+    # limits go to the few ranges, so that no rows are dealt by group alone
+    rows = placed.join(sums.join(total.join(limits, group), group), [group, "_range"])
     out = rows.withColumn("evicted", F.col(evictable) & (F.col("_total") - F.col("_before") - F.col("_own") > F.col("limit")))
     return out.select(*drafts.columns, *[c for c in limits.columns if c not in (group, "limit")], "evicted")
 

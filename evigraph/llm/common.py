@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import contextlib
 import tempfile
 import uuid
-from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,50 +15,51 @@ BLANKS = "\t\n\x0b\x0c\r "
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a temporary one only where none is set (tests)."""
+    """The shared folder of the cluster; a temporary one only where none is set on a local master (tests)."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not base:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         base = held.get() if held.isDefined() else None
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-scratch-")
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
 
 
-#: Paths of tables written since recording began; None: not recording.
-_recorded: list[str] | None = None
+class Scratch:
+    """Tables of one job in the shared folder, by name. Writing a name anew deletes its last table.
 
+    A written table cuts lineage: lost executors lose nothing of it, and what follows does not compute
+    it again. Two jobs never share a folder.
+    """
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write df as a table in the shared folder and read it back, which cuts its lineage.
+    def __init__(self, spark: SparkSession):
+        self.spark, self.dir, self.at = spark, f"{scratch_dir(spark)}/job-{uuid.uuid4().hex}", {}
 
-    Lost executors lose nothing of it, and what follows does not compute it again.
-    """
-    path = f"{scratch_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    if _recorded is not None:
-        _recorded.append(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-@contextlib.contextmanager
-def recording(paths: list[str]) -> Iterator[None]:
-    """Adds the tables that are written meanwhile to paths."""
-    global _recorded
-    before, _recorded = _recorded, paths
-    try:
-        yield
-    finally:
-        _recorded = before
-
-
-def delete(spark: SparkSession, paths: list[str]) -> None:
-    """Deletes tables by Hadoop's file systems and empties the list."""
-    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    while paths:
-        path = jvm.org.apache.hadoop.fs.Path(paths.pop())
-        path.getFileSystem(conf).delete(path, True)
+    def put(self, name: str, df: DataFrame) -> DataFrame:
+        path = f"{self.dir}/{name}-{uuid.uuid4().hex[:8]}"
+        df.write.parquet(path)
+        self.drop(name)
+        self.at[name] = path
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *names: str) -> None:
+        """Deletes these tables by Hadoop's file systems; what reads them must be done."""
+        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
+        for name in names:
+            if name in self.at:
+                path = self.spark._jvm.org.apache.hadoop.fs.Path(self.at.pop(name))
+                path.getFileSystem(conf).delete(path, True)
+
+    def drop_all(self, but: tuple[str, ...] = ()) -> None:
+        self.drop(*[n for n in self.at if n not in but])
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """df as a table of its own in the shared folder, for results that stay."""
+    return Scratch(df.sparkSession).put("table", df)
 
 
 def ascii_lower(c: Column) -> Column:

@@ -1,37 +1,38 @@
 """Links between the members of overlapping groups, and the classes that they form.
 
-Candidate groups (rows of one key) may be as large as a third of the input, so no step emits all
-pairs of a group: each round checks one hub of a group against the members that are not yet in its
-class, and only then are pairs of members of different classes, which are few once the copies of a
-text are one class, checked one by one. No pair of members of one group that could join two classes
-is left unchecked, so the classes are those of all links.
+Candidate groups (rows of one key) may be as large as a third of the input. Each hub round checks one
+member of a group against those that are not yet in its class, so the copies of a text become one
+class in work that is linear in the group. What then still lies in several classes of one group is
+checked by `finish`, without regard to how large the group is, so that no link between two classes is
+lost and the classes are those of all links.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import Scratch
 
-#: Rounds with one hub a group before pairs of different classes are listed.
+#: Rounds with one hub a group before `finish`.
 HUB_ROUNDS = 2
-#: Keys (16 bytes each) that may be sent to every executor; above, the join is dealt by key.
-BROADCAST_KEYS = 1_000_000
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """links (a, b long) -> id, comp: the class of every linked id, named by one of its ids.
 
     Each round every node moves to the neighbour that ranks highest, by number of neighbours and then
     by a fresh random order, unless it ranks higher itself, and edges are renamed. Of any edge the
     lower end moves, so the number of nodes with edges falls by a constant factor a round, whatever
-    the shape of the graph, and a star goes in one. Rounds are written tables, so no lineage grows.
+    the shape of the graph, and a star goes in one. Rounds are written tables, so no lineage grows;
+    each replaces that of the round before.
     """
-    edges = materialize(links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    scratch = scratch or Scratch(links.sparkSession)
+    edges = scratch.put("edges", links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     names = edges.select(F.explode(F.array("a", "b")).alias("id")).distinct().withColumn("comp", F.col("id"))
+    names = scratch.put("names", names)
     turn = 0
     while not edges.isEmpty():
         turn += 1
@@ -39,68 +40,83 @@ def components(links: DataFrame) -> DataFrame:
         chance = F.xxhash64(F.lit(turn), "a").bitwiseAND(F.lit(0xFFFFFFFF))
         ranks = both.groupBy("a").agg(F.count("*").alias("d")).select("a", (F.shiftleft("d", 32) + chance).alias("r"))
         seen = both.join(ranks.select(F.col("a").alias("b"), F.col("r").alias("rb")), "b").groupBy("a").agg(F.max("rb").alias("rb"), F.max_by("b", "rb").alias("to"))
-        move = materialize(seen.join(ranks, "a").where("rb > r").select("a", "to"))
+        move = scratch.put("move", seen.join(ranks, "a").where("rb > r").select("a", "to"))
         to_a, to_b = move.select("a", F.col("to").alias("ta")), move.select(F.col("a").alias("b"), F.col("to").alias("tb"))
         edges = edges.join(to_a, "a", "left").join(to_b, "b", "left")
         edges = edges.select(F.coalesce("ta", "a").alias("a"), F.coalesce("tb", "b").alias("b")).where("a <> b")
-        edges = materialize(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-        names = materialize(
-            names.join(move.withColumnRenamed("a", "comp"), "comp", "left").select("id", F.coalesce("to", "comp").alias("comp"))
-        )
+        edges = scratch.put("edges", edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        names = names.join(move.withColumnRenamed("a", "comp"), "comp", "left").select("id", F.coalesce("to", "comp").alias("comp"))
+        names = scratch.put("names", names)
+    scratch.drop("edges", "move")
     return names
 
 
-def link_groups(members: DataFrame, check: Callable[[DataFrame], DataFrame], marks: DataFrame | None = None, max_bits: str = "64") -> DataFrame:
-    """members: key, id, n, cap (long) -> id, comp of all ids with a link.
+def shared(members: DataFrame, cap: Column) -> DataFrame:
+    """The members (key, id, n and more) of keys with two ids or more, with their cap, each once.
+
+    Members go through one exchange, by key; a member whose cap is below every n of its key has no
+    partner there and goes too.
+    """
+    own = Window.partitionBy("key")
+    seen = members.withColumns({"_lo": F.min("id").over(own), "_hi": F.max("id").over(own), "_least": F.min("n").over(own)})
+    return seen.where("_lo < _hi").withColumn("cap", cap).where("cap >= _least").drop("_lo", "_hi", "_least").dropDuplicates(["key", "id"])
+
+
+def link_groups(
+    held: DataFrame, check: Callable[[DataFrame], DataFrame], finish: Callable[[DataFrame], DataFrame], scratch: Scratch, max_bits: str = "64"
+) -> DataFrame:
+    """held: key, id, n, cap, mark (long) -> id, comp of all ids with a link.
 
     Two members of a key can only link if the n of each is at most the cap of the other; where there is
-    no such bound, give 0 for both. A pair must meet these bounds under one of its common keys at
-    least. marks (id, mark long), if given, rule out pairs whose marks differ in more than max_bits
-    bits before they are listed; max_bits is SQL with {0} and {1} for the n of both. check takes distinct pairs (a < b) and returns those that are links.
+    no such bound, give 0 for both. Marks that differ in more than max_bits bits rule a link out;
+    max_bits is SQL with {0} and {1} for the n of both. check takes distinct pairs (a < b) and returns
+    those that are links. finish takes the members (with comp) of groups that still hold several
+    classes and returns all links (a, b) between members of one key and of different classes.
     """
-    keys = members.groupBy("key").agg(F.count("*").alias("c"), F.min("id").alias("lo"), F.max("id").alias("hi"), F.min("n").alias("least"))
-    keys = materialize(keys.where("lo < hi"))
-    # a member whose cap is below every n of its key has no partner there
-    shared = keys.select("key", "least")
-    shared = F.broadcast(shared) if keys.count() <= BROADCAST_KEYS else shared
-    held = members.join(shared, "key").where("cap >= least").select("key", "id", "n", "cap").distinct()
-    held = held.withColumn("mark", F.lit(0).cast("long")) if marks is None else held.join(marks, "id")
-    held = materialize(held)
-    links = comps = None
+    comps = None
+    own = Window.partitionBy("key")
+    member = F.struct("id", "n", "cap", "mark", "comp")
     for turn in range(HUB_ROUNDS + 1):
         named = held.withColumn("comp", F.col("id")) if comps is None else held.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-        # the member with the most room is the likeliest partner of the others
-        choice = F.col("cap") if turn == 0 else F.xxhash64(F.lit(turn), "id")
-        spread = named.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.max_by("id", choice).alias("h"))
-        spread = materialize(spread.where("c0 < c1"))
-        if turn and spread.isEmpty():
-            return comps
-        held = materialize(named.join(spread.select("key"), "key", "left_semi").select("key", "id", "n", "cap", "mark", "comp"))
+        if turn:
+            named = named.withColumns({"_c0": F.min("comp").over(own), "_c1": F.max("comp").over(own)}).where("_c0 < _c1").drop("_c0", "_c1")
+            named = scratch.put("held", named)
+            if named.isEmpty():
+                break
         if turn < HUB_ROUNDS:
-            hub = held.join(spread.select("key", F.col("h").alias("id")), ["key", "id"])
-            hub = hub.select("key", F.col("id").alias("h"), F.col("n").alias("hn"), F.col("cap").alias("hcap"), F.col("mark").alias("hmark"), F.col("comp").alias("hc"))
-            pairs = held.join(hub, "key").where(f"comp <> hc and n <= hcap and hn <= cap and bit_count(mark ^ hmark) <= {max_bits.format('n', 'hn')}")
-            pairs = pairs.select(F.least("id", "h").alias("a"), F.greatest("id", "h").alias("b"))
+            # the member with the most room is the likeliest partner of the others
+            choice = F.col("cap") if turn == 0 else F.xxhash64(F.lit(turn), "id")
+            pairs = named.withColumn("hub", F.max_by(member, choice).over(own))
+            pairs = pairs.where(f"comp <> hub.comp and n <= hub.cap and hub.n <= cap and bit_count(mark ^ hub.mark) <= {max_bits.format('n', 'hub.n')}")
+            new = check(pairs.select(F.least("id", "hub.id").alias("a"), F.greatest("id", "hub.id").alias("b")).distinct())
         else:
-            pairs = _across(held, max_bits)
-        new = materialize(check(pairs.distinct()))
-        links = new if links is None else links.unionByName(new)
-        if comps is None or not new.isEmpty():
-            comps = components(links)
-        held = held.select("key", "id", "n", "cap", "mark")
+            new = finish(named)
+        new = scratch.put("links", new)
+        if not new.isEmpty() or comps is None:
+            comps = scratch.put("comps", _merged(comps, new, scratch))
+        held = named.drop("comp")
+    scratch.drop_all(but=("comps",))
     return comps
 
 
-def _across(named: DataFrame, max_bits: str) -> DataFrame:
-    """All pairs of members of one key whose classes differ and whose bounds and marks allow a link.
+def _merged(comps: DataFrame | None, new: DataFrame, scratch: Scratch) -> DataFrame:
+    """comps (None: none yet) with the classes that the new links join."""
+    if comps is None:
+        return components(new, scratch)
+    side = lambda k: comps.select(F.col("id").alias(k), F.col("comp").alias(f"{k}_c"))
+    edges = new.join(side("a"), "a", "left").join(side("b"), "b", "left").select(F.coalesce("a_c", "a").alias("a"), F.coalesce("b_c", "b").alias("b"))
+    moves = components(edges, scratch).select(F.col("id").alias("comp"), F.col("comp").alias("to"))
+    # a class that had one member until now has no row yet
+    first = moves.select(F.col("comp").alias("id")).join(comps.select("id"), "id", "left_anti").withColumn("comp", F.col("id"))
+    return comps.unionByName(first).join(moves, "comp", "left").select("id", F.coalesce("to", "comp").alias("comp"))
+
+
+def pairs_across(named: DataFrame, max_bits: str = "64", more: str = "true") -> DataFrame:
+    """The pairs of members of one key in different classes that bounds and marks allow to link.
 
-    Classes with one mark are compared by it before their members are listed.
+    Pairs are compared inside the join; only those that pass are listed. more is a further condition in
+    SQL; of the other member, columns end in 2.
     """
-    classes = named.groupBy("key", "comp").agg(F.min("n").alias("n1"), F.max("cap").alias("cap1"), F.max("n").alias("m1"), F.min("mark").alias("lo1"), F.max("mark").alias("hi1"))
-    other = classes.toDF("key", "comp2", "n2", "cap2", "m2", "lo2", "hi2")
-    meet = f"comp < comp2 and n1 <= cap2 and n2 <= cap1 and (lo1 <> hi1 or lo2 <> hi2 or bit_count(lo1 ^ lo2) <= {max_bits.format('m1', 'm2')})"
-    cross = classes.join(other, "key").where(meet).select("key", "comp", "comp2")
-    left = named.select("key", "comp", F.col("id").alias("x"), F.col("n").alias("xn"), F.col("cap").alias("xcap"), F.col("mark").alias("xmark"))
-    right = named.select("key", F.col("comp").alias("comp2"), F.col("id").alias("y"), F.col("n").alias("yn"), F.col("cap").alias("ycap"), F.col("mark").alias("ymark"))
-    both = cross.join(left, ["key", "comp"]).join(right, ["key", "comp2"]).where(f"xn <= ycap and yn <= xcap and bit_count(xmark ^ ymark) <= {max_bits.format('xn', 'yn')}")
-    return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    other = named.toDF(*[c if c == "key" else f"{c}2" for c in named.columns])
+    meet = f"comp < comp2 and n <= cap2 and n2 <= cap and bit_count(mark ^ mark2) <= {max_bits.format('n', 'n2')} and {more}"
+    return named.join(other, "key").where(meet).select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()

@@ -3,107 +3,70 @@
 A line's words are its runs of ASCII letters, digits and other characters beyond ASCII, after
 lower-casing; lines with the same words are copies. Lines of `MIN_WORDS` words or more are also
 compared fuzzily: two are linked if the edit similarity of their word sequences is at least
-`SIMILARITY`, whatever their length. Candidates come by an exact prefix filter: d edits leave all but
-some 2 d of a line's pairs of neighbouring words (`_lost`), so if every line lists that many pairs and
-one more in one order of all pairs, similar lines share a listed one. The order puts pairs of rare
-words first; it only decides how many candidates there are, so word counts from a part of the lines
-will do. A parity bitmap of the words, of which an edit flips at most two bits, rules out most of the
-others before they are listed; `grouplinks` turns candidates into classes without all pairs of a
-group. Of each class the first occurrence, by doc_id and position, stays.
-
-Lines are named by a 64-bit hash of their words. Nulls: a null text has no lines; a null doc_id
-comes first in the order. Lines without a word are never removed. Empty tables give empty results.
-Rows equal in doc_id and text are one document and are treated alike. Texts and lines of any length
-are taken whole.
+`SIMILARITY`, whatever their length.
+
+Candidates come by pigeonhole on runs of words. Lines of up to `SHORT` words list pairs of neighbours:
+an edit breaks at most two, so lines d edits apart that both list 2 d + 1 pairs, in one order of all,
+share one. Lines of `BOTH` words or more list runs of `RUN` words that start at their `ANCHORS` first
+words in one order of all words; an edit breaks at most RUN of these and moves one out, so a link of one
+edit can't be hidden. With more edits a link is missed if none of the anchors is
+left, and tests hold the share that is found to 0.9 at the very similarity bound.
+Lines of `BOTH` to `SHORT` words list both, so that each linked pair shares a kind. In the order, short
+words come last, and so do runs that very many lines list, by counts over all lines. A SimHash of 64
+bits can't take the place of these runs: lines at this similarity differ in some 13 of its bits on
+average, and no blocks select by that (README).
+
+Parity bitmaps of the words, of which an edit flips at most two bits, rule out most other candidates
+before they are listed; `grouplinks` turns candidates into classes without all pairs of a group. Words
+are compared by 64-bit hashes; of each class the first occurrence, by doc_id and position, stays.
+
+Lines are named by a 64-bit hash of their words, and copies must also agree in a second hash. Nulls: a
+null text has no lines; a null doc_id comes first in the order. Lines without a word are never
+removed. Empty tables give empty results. Rows equal in doc_id and text are one document and are
+treated alike; of equal ids with different texts, the text with the lower hash comes first. Texts and
+lines of any length are taken whole. Extra columns of any name are kept as they are.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
-from .grouplinks import link_groups
+from .common import Scratch
+from .grouplinks import link_groups, pairs_across, shared
 
 MIN_WORDS, SIMILARITY = 5, 0.8
-#: Buckets of word counts, of which one byte each goes into the plan, and the part of lines counted.
-BUCKETS, COUNTED = 1 << 16, 8
-#: Places of lines (some 30 bytes) that may be sent to every executor; above, the join is dealt by key.
-BROADCAST_ROWS = 1_000_000
-#: Numbers that byte-wide lanes can sum with a bit to spare, so that no sum reaches the sign.
-LANE = 63
-_ONES, _HIGH = 0x0101010101010101, 0x4040404040404040
-
-
-def _majority(hashes: str) -> str:
-    """SQL: the bitwise majority of an array<bigint> of at most LANE elements."""
-    names = [f"s{j}" for j in range(8)]
-    zero = ", ".join(f"'{n}', 0L" for n in names)
-    step = ", ".join(f"'{n}', a.{n} + (shiftrightunsigned(h, {j}) & {_ONES}L)" for j, n in enumerate(names))
-    # bit 6 of a lane is set if its count is over half of the elements
-    ends = " | ".join(
-        f"shiftleft(shiftrightunsigned((a.{n} + ({LANE} - cast(size({hashes}) div 2 as bigint)) * {_ONES}L) & {_HIGH}L, 6), {j})" for j, n in enumerate(names)
-    )
-    return f"aggregate({hashes}, named_struct({zero}), (a, h) -> named_struct({step}), a -> {ends})"
-
-
-def fold(hashes: str) -> str:
-    """SQL: one hash of an array<bigint>, by up to three levels of majorities of LANE elements."""
-    level = hashes
-    for i in range(3):
-        blocks = f"transform(sequence(1, greatest(size(v{i}), 1), {LANE}), k -> slice(v{i}, k, {LANE}))"
-        level = f"transform(array({level}), v{i} -> if(size(v{i}) <= {LANE}, array({_majority(f'v{i}')}), transform({blocks}, b{i} -> {_majority(f'b{i}')})))[0]"
-    return f"({level})[0]"
-
-
-def simhash(words: str) -> str:
-    """SQL: the SimHash of an array of words."""
-    return fold(f"transform({words}, w -> xxhash64(w))")
+#: Lines of up to SHORT words list pairs of words, those of BOTH words or more runs of RUN at anchors.
+SHORT, BOTH, ANCHORS, RUN = 14, 11, 10, 4
+#: Runs in reserve for those that very many lines list.
+SPARE = 6
+#: Words with fewer characters than this come last in the order.
+COMMON_CHARS = 4
+#: Buckets of runs that are counted (one byte each goes into the plan).
+BUCKETS = 1 << 16
+#: Longs of the wider parity bitmap.
+WIDE = 4
+#: Copies of one line above which only its first occurrence lists runs; at most 1 / HEAVY of all lines.
+HEAVY = 1000
+#: Places of lines (one long each) that may be sent to every executor; above, the join is dealt by place.
+BROADCAST_ROWS = 2_000_000
 
 
 def _words(line: Column) -> Column:
     """Runs of ASCII letters, digits and all characters beyond ASCII, after lower-casing."""
-    return F.filter(F.split(F.lower(line), r"[\x00-/:-`{-\x7f]+"), lambda w: w != "")
-
+    return F.array_remove(F.split(F.lower(line), r"[\x00-/:-`{-\x7f]+"), F.lit(""))
 
-def hashed_lines(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """key, _t, pos, id (hash of the words), n (words), bits (SimHash) of every line that has a word.
 
-    A SimHash for estimates: no link depends on it, as it misses most near copies of short lines.
-    The same SimHash as `simhash` gives, but words are summed up as rows, in blocks of LANE: the sums
-    stay in compiled code, and only lines of several blocks are folded by array functions.
-    """
-    lines = lines_of(docs, key, text).select(key, "_t", "pos", F.xxhash64("words").alias("id"), F.size("words").alias("n"), _features(F.col("words")).alias("words"))
-    names = [key, "_t", "pos", "id", "n", "_row"]
-    each = lines.withColumn("_row", F.monotonically_increasing_id()).select(*names, F.posexplode("words").alias("i", "w"))
-    each = each.select(*names, F.floor(F.col("i") / LANE).cast("int").alias("blk"), F.xxhash64("w").alias("h"))
-    sums = [F.sum(F.shiftrightunsigned("h", j).bitwiseAND(F.lit(_ONES))).alias(f"s{j}") for j in range(8)]
-    blocks = each.groupBy(*names, "blk").agg(F.count("*").alias("c"), *sums)
-    over = " | ".join(f"shiftleft(shiftrightunsigned((s{j} + ({LANE} - c div 2) * {_ONES}L) & {_HIGH}L, 6), {j})" for j in range(8))
-    blocks = blocks.select(*names, "blk", F.expr(over).alias("bits"))
-    whole = blocks.groupBy(*names).agg(F.min("bits").alias("one"), F.transform(F.sort_array(F.collect_list(F.struct("blk", "bits"))), lambda x: x["bits"]).alias("all"))
-    return whole.select(key, "_t", "pos", "id", "n", F.when(F.size("all") == 1, F.col("one")).otherwise(F.expr(fold("all"))).alias("bits"))
+def _once(c: Column) -> Column:
+    """c as a generator of one row, so that what refers to it doesn't compute it again."""
+    return F.explode(F.array(c))
 
 
-def _features(words: Column) -> Column:
-    """Words of four characters or more, as short ones are in every line; all words if there are none."""
-    long_ = F.filter(words, lambda w: F.length(w) >= 4)
-    return F.when(F.exists(words, lambda w: F.length(w) >= 4), long_).otherwise(words)
-
-
-def lines_of(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """key, _t (hash of the text), pos, words of every line that has a word."""
-    base = docs.select(F.col(key), F.xxhash64(text).alias("_t"), F.posexplode(F.split(text, "\n", -1)).alias("pos", "line"))
-    return base.select(key, "_t", "pos", _words(F.col("line")).alias("words")).where(F.size("words") > 0)
-
-
-def _word_codes(words: Column) -> Column:
-    """A string with one character for each word, so that edits count whole words."""
-    code = F.transform(words, lambda w: F.hex(F.lit(0x4E00) + F.pmod(F.xxhash64(w), F.lit(20000))))
-    return F.decode(F.unhex(F.array_join(code, "")), "UTF-16BE")
+def _texts(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """_k (the key), _t (a hash of the text) and _x (the text); no other column can clash."""
+    return docs.select(F.col(key).alias("_k"), F.xxhash64(text).alias("_t"), F.col(text).alias("_x"))
 
 
 def _edits(n: str) -> str:
@@ -111,110 +74,140 @@ def _edits(n: str) -> str:
     return f"cast(floor(({n}) * {1 - SIMILARITY:.6f} + 1e-9) as int)"
 
 
-def _lost(n: str) -> str:
-    """SQL: the pairs of neighbours of a line of n words that a similar line may lack.
+def _listed(n: str) -> str:
+    """SQL: the pairs that a line of n words lists, one more than a similar line may lack.
 
     An edit breaks two pairs at most. Where the other line has x words more, at least x edits are
     insertions, which break one: 2 edits(n + x) - x, and that is greatest for x = 0 or 1.
     """
-    return f"greatest(2 * {_edits(n)}, 2 * {_edits(f'{n} + 1')} - 1)"
+    return f"1 + greatest(2 * {_edits(n)}, 2 * {_edits(f'{n} + 1')} - 1)"
 
 
-def _word_levels(held: DataFrame) -> bytearray:
-    """The frequency of the words of each bucket as a level below 64, growing with its logarithm."""
-    some = held.where(F.pmod("id", F.lit(COUNTED)) == 0).select(F.explode("h").alias("h"))
-    counts = some.groupBy(F.col("h").bitwiseAND(F.lit(BUCKETS - 1)).alias("b")).agg(F.count("*").alias("c"))
-    out = bytearray(BUCKETS)
-    for r in counts.collect():
-        out[r.b] = min(63, int(2 * math.log2(1 + r.c)))
-    return out
+def lines_of(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """_k, _t, pos, id, chk (hashes of the words), n (words), pairs and runs (that it lists, runs with some
+    in reserve) of every line with a word; a text without one has one row with a null id."""
+    lines = _texts(docs, key, text).select("_k", "_t", F.posexplode_outer(F.split("_x", "\n", -1)).alias("pos", "line"))
+    lines = lines.select("_k", "_t", "pos", _once(_words(F.col("line"))).alias("w")).where("size(w) > 0 or pos is null or pos = 0")
+    some = F.size("w") > 0
+    order = lambda x: F.shiftrightunsigned(F.xxhash64(x), 2).bitwiseOR(F.when(F.length(x) < COMMON_CHARS, F.lit(1 << 62)).otherwise(F.lit(0)))
+    order = f"if(length(x) < {COMMON_CHARS}, shiftrightunsigned(xxhash64(x), 1), xxhash64(x) | shiftleft(1L, 63))"
+    pairs = "zip_with(slice(h, 1, n - 1), slice(h, 2, n - 1), (x, y) -> xxhash64(2, x, y))"
+    pairs = f"if(n <= {SHORT}, slice(sort_array(array_distinct({pairs})), 1, {_listed('n')}), cast(array() as array<bigint>))"
+    runs = f"transform(slice(sort_array(array_distinct(h)), 1, {ANCHORS + SPARE}), x -> xxhash64({RUN}, slice(h, cast(array_position(h, x) as int), {RUN})))"
+    runs = f"if(n >= {BOTH}, {runs}, cast(array() as array<bigint>))"
+    made = f"named_struct('pairs', {pairs}, 'runs', {runs})"
+    # bound as a lambda's variable, h is computed once
+    made = f"if(n >= {MIN_WORDS}, transform(array(transform(w, x -> {order})), h -> {made})[0], null)"
+    base = lines.select("_k", "_t", "pos", F.when(some, F.xxhash64("w")).alias("id"), F.when(some, F.hash("w")).alias("chk"), F.size("w").alias("n"), "w")
+    base = base.select("_k", "_t", "pos", "id", "chk", "n", _once(F.expr(made)).alias("m"))
+    return base.select("_k", "_t", "pos", "id", "chk", "n", "m.pairs", "m.runs")
+
+
+def _common_runs(lines: DataFrame) -> str | None:
+    """SQL: whether a run x is in a bucket that stands out, by counts over the runs of all lines."""
+    bucket = F.col("x").bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
+    counts = lines.select(F.explode("runs").alias("x")).groupBy(bucket.alias("b")).agg(F.count("*").alias("c"))
+    found = [(r.b, r.c) for r in counts.collect()]
+    mean = sum(c for _, c in found) / BUCKETS
+    marks = bytearray(b"0" * BUCKETS)
+    for b, c in found:
+        if c > mean + max(8 * math.sqrt(mean), 32):
+            marks[b] = ord("1")
+    if b"1" not in marks:
+        return None
+    return f"substring(cast('{marks.decode()}' as binary), cast(x & {BUCKETS - 1} as int) + 1, 1) = X'31'"
+
+
+def _codes(h: str) -> str:
+    """SQL: a string with one character for each word of h, by its place among the pair's words."""
+    return f"decode(unhex(array_join(transform({h}, x -> lpad(hex(65536 + array_position(both, x)), 8, '0')), '')), 'UTF-32')"
+
+
+def classes(lines: DataFrame, first: DataFrame, docs: DataFrame, key: str, text: str, scratch: Scratch) -> DataFrame:
+    """id, comp of the lines with a fuzzy link. lines as `lines_of` gives them, first: id and its first place."""
+    long_ = lines.where("pairs is not null")
+    heavy = first.where(F.col("c") > F.greatest(F.lit(HEAVY), F.col("total") / F.lit(HEAVY))).select("id", "chk", F.col("at").alias("_at"))
+    place = F.struct("_k", "_t", "pos")
+    long_ = long_.join(F.broadcast(heavy), ["id", "chk"], "left").where(F.col("_at").isNull() | (F.col("_at.at") == place))
+    common = _common_runs(lines)
+    runs = "runs" if common is None else f"concat(filter(runs, x -> not ({common})), filter(runs, x -> {common}))"
+    members = long_.select("id", "n", F.explode(F.concat("pairs", F.expr(f"slice({runs}, 1, {ANCHORS})"))).alias("key"))
+    held = scratch.put("held", shared(members, F.floor(F.col("n") / SIMILARITY + 1e-9)))
+    own = scratch.put("own", _word_lists(held.select("id").distinct(), first, docs, key, text, scratch))
+    marks = scratch.put("marks", _marks(own))
+    held = scratch.put("held", held.join(marks.select("id", "mark"), "id"))
 
+    def check(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(own.select(F.col("id").alias("a"), F.col("h").alias("ha")), "a").join(own.select(F.col("id").alias("b"), F.col("h").alias("hb")), "b")
+        both = both.withColumn("most", F.expr(_edits("greatest(size(ha), size(hb))")))
+        # an edit changes at most one word of either line
+        both = both.where("size(array_except(ha, hb)) <= most and size(array_except(hb, ha)) <= most")
+        # bound as a lambda's variable, the words of both are listed once and not for each word
+        apart = f"transform(array(array_distinct(concat(ha, hb))), both -> levenshtein({_codes('ha')}, {_codes('hb')}, most))[0]"
+        return both.where(F.expr(f"{apart} >= 0")).select("a", "b")
 
-def listed_pairs(held: DataFrame) -> DataFrame:
-    """id, n, mark (parity bitmap of the words), keys (listed pairs of neighbours) of long lines. held: id, n, h."""
-    long_ = held.where(F.col("n") >= MIN_WORDS).select("id", "n", "h")
-    table = F.lit(_word_levels(long_))
-    level = lambda x: F.ascii(F.substring(table, x.bitwiseAND(F.lit(BUCKETS - 1)) + 1, F.lit(1)).cast("string")).cast("long")
-    rated = long_.withColumn("w", F.transform("h", lambda x: F.struct(x.alias("h"), level(x).alias("l"))))
-    pair = lambda a, b: F.shiftleft(a["l"] + b["l"], 56).bitwiseOR(F.xxhash64(a["h"], b["h"]).bitwiseAND(F.lit((1 << 56) - 1)))
-    pairs = F.zip_with(F.slice("w", F.lit(1), F.col("n") - 1), F.slice("w", F.lit(2), F.col("n") - 1), pair)
-    return rated.select(
-        "id", F.col("n").cast("long").alias("n"), F.expr("aggregate(h, 0L, (a, x) -> a ^ shiftleft(1L, shiftrightunsigned(x, 16) & 63))").alias("mark"),
-        F.slice(F.sort_array(F.array_distinct(pairs)), F.lit(1), F.expr(f"{_lost('n')} + 1")).alias("keys"),
-    )
+    def finish(named: DataFrame) -> DataFrame:
+        apart = " + ".join(f"bit_count(w{i} ^ w{i}2)" for i in range(WIDE))
+        near = pairs_across(named.join(marks.drop("mark"), "id"), bits, f"{apart} <= {bits.format('n', 'n2')}")
+        return check(scratch.put("near", near))
 
+    bits = f"2 * {_edits('greatest({0}, {1})')}"
+    return link_groups(held, check, finish, scratch, bits)
 
-def classes(lines: DataFrame, codes: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """lines: id, n, mark, keys as `listed_pairs` gives them; codes gives id, codes of the ids of a table.
 
-    Returns id, comp of the lines with a fuzzy link.
-    """
-    # lines of very different length are not similar
-    cap = F.floor(F.col("n") / SIMILARITY + 1e-9)
-    members = lines.select("id", F.explode("keys").alias("key"), "n", cap.alias("cap"))
-    marks = lines.select("id", "n", "mark").distinct()
-    side = lambda k: marks.select(F.col("id").alias(k), F.col("n").alias(f"{k}_n"))
+def _word_lists(ids: DataFrame, first: DataFrame, docs: DataFrame, key: str, text: str, scratch: Scratch) -> DataFrame:
+    """id and h (hashes of the words) of these lines, from the first place of each."""
+    one = first.groupBy("id").agg(F.min("at")["at"].alias("at")).join(ids, "id", "left_semi")
+    places = scratch.put("places", one.select(F.xxhash64("at._k", "at._t", "at.pos").alias("_p")))
+    places = F.broadcast(places) if places.count() <= BROADCAST_ROWS else places
+    own = _texts(docs, key, text).select("_k", "_t", F.posexplode(F.split("_x", "\n", -1)).alias("pos", "line"))
+    own = own.withColumn("_p", F.xxhash64("_k", "_t", "pos")).join(places, "_p", "left_semi").select(_once(_words(F.col("line"))).alias("w"))
+    return own.select(F.xxhash64("w").alias("id"), F.transform("w", lambda x: F.xxhash64(x)).alias("h")).dropDuplicates(["id"])
 
-    def check(pairs: DataFrame) -> DataFrame:
-        near = pairs.join(side("a"), "a").join(side("b"), "b")
-        near = near.withColumn("allowed", F.expr(_edits("greatest(a_n, b_n)"))).where("abs(a_n - b_n) <= allowed")
-        near = materialize(near.select("a", "b", "allowed"))
-        if near.isEmpty():
-            return near.select("a", "b")
-        own = materialize(codes(near.select(F.explode(F.array("a", "b")).alias("id")).distinct()))
-        both = near.join(own.select(F.col("id").alias("a"), F.col("codes").alias("a_codes")), "a")
-        both = both.join(own.select(F.col("id").alias("b"), F.col("codes").alias("b_codes")), "b")
-        return both.where(F.expr("levenshtein(a_codes, b_codes, allowed) >= 0")).select("a", "b")
 
-    return link_groups(members, check, marks.select("id", "mark"), f"2 * {_edits('greatest({0}, {1})')}")
+def _marks(own: DataFrame) -> DataFrame:
+    """id, mark and w0 to w3: parity bits of the words of each line, in one long and in WIDE of them."""
+    bit = lambda at: F.expr(f"shiftleft(1L, cast(shiftrightunsigned(x, {at}) & 63 as int))")
+    part = F.shiftrightunsigned("x", 12).bitwiseAND(F.lit(WIDE - 1))
+    wide = [F.bit_xor(F.when(part == i, bit(6)).otherwise(F.lit(0))).alias(f"w{i}") for i in range(WIDE)]
+    return own.select("id", F.explode("h").alias("x")).groupBy("id").agg(F.bit_xor(bit(0)).alias("mark"), *wide)
 
 
 def removals(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, _t, n_lines and removed (positions of lines to drop, ascending) of each text with lines."""
-    words = F.col("words")
-    read = lines_of(docs, key, text).select(
-        key, "_t", "pos", F.xxhash64("words").alias("id"), F.size("words").alias("n"), F.when(F.size("words") >= MIN_WORDS, F.transform(words, lambda w: F.hash(w))).alias("h")
-    )
-    whole = materialize(read)
-    held = whole.drop("h")
-
-    def codes(ids: DataFrame) -> DataFrame:
-        """Reads one occurrence of each line again."""
-        places = materialize(held.select("id", key, "_t", "pos").join(ids, "id", "left_semi").dropDuplicates(["id"]))
-        places = places.select("id", F.col(key).alias("_k"), F.col("_t").alias("_h"), "pos")
-        places = F.broadcast(places) if places.count() <= BROADCAST_ROWS else places
-        texts = docs.select(F.col(key).alias("_k2"), F.xxhash64(text).alias("_h2"), F.col(text).alias("_x"))
-        found = texts.join(places, F.col("_k2").eqNullSafe(F.col("_k")) & (F.col("_h2") == F.col("_h")))
-        line = F.get(F.split("_x", "\n", -1), F.col("pos"))
-        return found.select("id", _word_codes(_words(line)).alias("codes")).dropDuplicates(["id"])
-
-    first = held.groupBy("id").agg(F.count("*").alias("c"))
-    distinct = materialize(first)
-    comps = classes(materialize(listed_pairs(whole)), codes)
-    place = held.select(key, "_t", "pos", "id").join(comps, "id", "left").withColumn("cls", F.coalesce("comp", "id"))
-    place = place.join(distinct.select("id", "c"), "id")
+    """_k, _t, n_lines (with a word) and removed (positions of lines to drop, ascending) of each text."""
+    scratch = Scratch(docs.sparkSession)
+    lines = scratch.put("lines", lines_of(docs, key, text))
+    held = lines.where("id is not null")
+    # a null key comes first
+    at = F.struct(F.col("_k").isNotNull().alias("known"), F.struct("_k", "_t", "pos").alias("at"))
+    first = held.groupBy("id", "chk").agg(F.count("*").alias("c"), F.min(at).alias("at"))
+    total = lines.groupBy().agg(F.count("*").alias("total"))
+    first = scratch.put("first", first.join(F.broadcast(total)))
+    comps = classes(lines, first, docs, key, text, Scratch(docs.sparkSession))
     # only classes with two occurrences or more lose any
-    shared = place.where(F.col("comp").isNotNull() | (F.col("c") > 1)).select(key, "_t", "pos", "cls")
-    shared = materialize(shared)
-    own = shared.groupBy("cls").agg(F.min(key).alias("k0"), F.count_if(F.col(key).isNull()).alias("nulls"))
-    own = own.withColumn("k0", F.when(F.col("nulls") == 0, F.col("k0")))
-    keeper = shared.join(own, "cls").where(F.col(key).eqNullSafe(F.col("k0")))
-    keeper = keeper.groupBy("cls").agg(F.min(F.struct("_t", "pos")).alias("at")).select("cls", F.col("at._t").alias("t0"), F.col("at.pos").alias("p0"))
-    gone = shared.join(own.join(keeper, "cls"), "cls")
-    gone = gone.where(~(F.col(key).eqNullSafe(F.col("k0")) & (F.col("_t") == F.col("t0")) & (F.col("pos") == F.col("p0"))))
-    gone = gone.groupBy(key, "_t").agg(F.sort_array(F.collect_set("pos")).alias("removed"))
-    counts = held.groupBy(key, "_t").agg(F.count_distinct("pos").alias("n_lines"))
-    k2 = gone.select(F.col(key).alias("_k2"), F.col("_t").alias("_t2"), "removed")
-    out = counts.join(k2, F.col(key).eqNullSafe(F.col("_k2")) & (F.col("_t") == F.col("_t2")), "left")
-    return out.select(key, "_t", "n_lines", F.coalesce("removed", F.array().cast("array<int>")).alias("removed"))
+    cls = F.struct(F.coalesce("comp", "id").alias("cls"), F.when(F.col("comp").isNull(), F.col("chk")).alias("chk"))
+    named = first.join(comps, "id", "left").where("comp is not null or c > 1").select("id", "chk", "at", cls.alias("cls"))
+    kept = named.groupBy("cls").agg(F.min("at")["at"].alias("kept"))
+    named = named.join(kept, "cls").select("id", "chk", "kept")
+    gone = held.select("_k", "_t", "pos", "id", "chk").join(named, ["id", "chk"]).where(F.struct("_k", "_t", "pos") != F.col("kept"))
+    gone = gone.groupBy("_k", "_t").agg(F.sort_array(F.collect_set("pos")).alias("removed"))
+    counts = lines.groupBy("_k", "_t").agg(F.count_distinct(F.when(F.col("id").isNotNull(), F.col("pos"))).alias("n_lines"))
+    own = gone.select(F.col("_k").alias("_k2"), F.col("_t").alias("_t2"), "removed")
+    out = counts.join(own, F.col("_k").eqNullSafe(F.col("_k2")) & (F.col("_t") == F.col("_t2")), "left")
+    out = out.select("_k", "_t", "n_lines", F.coalesce("removed", F.array().cast("array<int>")).alias("removed"))
+    out = Scratch(docs.sparkSession).put("removals", out)
+    scratch.drop_all()
+    return out
 
 
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with the text of the lines that stay; rows that lose all their lines go, rows that had
     none (no word at all) stay as they are."""
-    gone = materialize(removals(docs, key, text)).where(F.size("removed") > 0)
-    gone = gone.select(F.col(key).alias("_k"), F.col("_t").alias("_h"), F.col("n_lines").alias("_lines"), F.col("removed").alias("_gone"))
-    out = docs.withColumn("_t", F.xxhash64(text)).join(gone, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_t") == F.col("_h")), "left")
-    out = out.where(F.col("_gone").isNull() | (F.size("_gone") < F.col("_lines")))
-    kept = F.expr(f"array_join(filter(split(`{text}`, '\\n', -1), (x, i) -> not array_contains(_gone, i)), '\\n')")
-    return out.withColumn(text, F.when(F.col("_gone").isNull(), F.col(text)).otherwise(kept)).select(docs.columns)
+    gone = removals(docs, key, text).where(F.size("removed") > 0)
+    gone = gone.select(F.col("_k").alias("_gone_k"), F.col("_t").alias("_gone_t"), "n_lines", "removed")
+    out = docs.select(F.struct(*docs.columns).alias("_doc"), F.col(key).alias("_own_k"), F.col(text).alias("_own_x"), F.xxhash64(text).alias("_own_t"))
+    out = out.join(gone, F.col("_own_k").eqNullSafe(F.col("_gone_k")) & (F.col("_own_t") == F.col("_gone_t")), "left")
+    out = out.where(F.col("removed").isNull() | (F.size("removed") < F.col("n_lines")))
+    kept = F.expr("array_join(filter(split(_own_x, '\\n', -1), (x, i) -> not array_contains(removed, i)), '\\n')")
+    new = F.when(F.col("removed").isNull(), F.col("_own_x")).otherwise(kept)
+    return out.select(*[new.alias(c) if c == text else F.col("_doc")[c].alias(c) for c in docs.columns])

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, word_array
+from .common import Scratch, materialize, word_array
 
 #: About so many documents share one task while positions in a source are summed up.
 CHUNK_ROWS = 4096
@@ -116,3 +116,50 @@ def mix(
     sized = materialize(docs.select(key, source, *more, word_count(F.col(text)).alias("size")))
     shared = materialize(cycle_weights(sized.groupBy(source).agg(F.sum("size").alias("source_size")), source))
     return take(sized, targets(shared, budget_share=budget_share, max_epochs=max_epochs), key, source, "size", seed)
+
+
+#: Ranges of the seeded order (as bits of the hash) and sources that may be sent to every executor.
+RANGE_BITS, BROADCAST_SOURCES = 16, 100_000
+
+
+def repeat(
+    docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", budget_share: tuple[int, int] = (3, 2), max_epochs: int = 2, seed: int = 17,
+) -> DataFrame:
+    """docs as the mix takes them: each document in whole copies, and of one document a source the first words.
+
+    Sizes are summed by source and range of the seeded order; in each source only the range that holds
+    the end of the last, partial round is sorted. The place of that end goes to all rows, so each row
+    is decided where it lies and no text is shuffled. Rows that tie at the end share what is left of
+    its words. Rows equal in key, or without one, tie; other columns of any name are kept as they are.
+    """
+    spark = docs.sparkSession
+    scratch, ends = Scratch(spark), Scratch(spark)
+    own = docs.select(
+        F.col(source).alias("_src"), F.xxhash64(F.lit(seed), F.col(key)).alias("_h"), F.col(text).alias("_text"), F.struct(*docs.columns).alias("_doc")
+    )
+    sized = scratch.put("sized", own.select("_src", "_h", word_count(F.col("_text")).alias("size")).withColumn("_r", F.shiftright("_h", 64 - RANGE_BITS)))
+    shared = scratch.put("shared", cycle_weights(sized.groupBy("_src").agg(F.sum("size").alias("source_size")), "_src"))
+    shared = targets(shared, budget_share=budget_share, max_epochs=max_epochs)
+    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
+    shared = shared.withColumn("whole", whole).withColumn("extra", F.floor("target").cast("long") - F.col("whole") * F.col("source_size"))
+    shared = scratch.put("extras", shared.select("_src", "whole", "extra"))
+    earlier = lambda by: Window.partitionBy("_src").orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
+    reach = lambda sums, by: sums.withColumn("before", F.coalesce(F.sum("s").over(earlier(by)), F.lit(0)))
+    at = lambda name: shared.select(F.col("_src").alias("_src2"), F.col("extra").alias(name))
+    same = F.col("_src").eqNullSafe(F.col("_src2"))
+    ranges = reach(sized.groupBy("_src", "_r").agg(F.sum("size").alias("s")), "_r").join(at("extra"), same)
+    ranges = ranges.where("before <= extra and extra < before + s").select("_src2", F.col("_r").alias("_r2"), (F.col("extra") - F.col("before")).alias("extra"))
+    last = sized.join(scratch.put("ranges", ranges), same & (F.col("_r") == F.col("_r2")))
+    last = reach(last.groupBy("_src", "_h", "extra").agg(F.sum("size").alias("s"), F.count("*").alias("k")), "_h")
+    last = last.where("before <= extra and extra < before + s")
+    last = last.select(F.col("_src").alias("_src2"), F.col("_h").alias("end"), F.floor((F.col("extra") - F.col("before")) / F.col("k")).alias("part"))
+    found = ends.put("ends", shared.select("_src", "whole").join(last, same, "left").select(F.col("_src").alias("_src3"), "whole", "end", "part"))
+    scratch.drop_all()
+    found = F.broadcast(found) if found.count() <= BROADCAST_SOURCES else found
+    out = own.join(found, F.col("_src").eqNullSafe(F.col("_src3")))
+    copies = (F.col("whole") + F.when(F.col("_h") < F.col("end"), 1).otherwise(0)).cast("int")
+    part = F.when((F.col("_h") == F.col("end")) & (F.col("part") > 0), F.array(F.col("part"))).otherwise(F.array().cast("array<bigint>"))
+    out = out.select("_doc", "_text", F.explode(F.concat(F.array_repeat(F.lit(-1).cast("long"), copies), part)).alias("_words"))
+    cut = F.array_join(F.slice(word_array(F.col("_text")), F.lit(1), F.col("_words").cast("int")), " ")
+    new = F.when(F.col("_words") < 0, F.col("_text")).otherwise(cut)
+    return out.select(*[new.alias(c) if c == text else F.col("_doc")[c].alias(c) for c in docs.columns])

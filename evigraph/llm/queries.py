@@ -71,7 +71,7 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_lines (with a word), n_kept and the positions of removed lines."""
     gone = linededup.removals(table(spark, sf_dir, "documents"))
-    return gone.select("doc_id", "n_lines", (F.col("n_lines") - F.size("removed")).alias("n_kept"), "removed")
+    return gone.select(F.col("_k").alias("doc_id"), "n_lines", (F.col("n_lines") - F.size("removed")).alias("n_kept"), "removed")
 
 
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

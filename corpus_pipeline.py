@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from evigraph.llm import stages
-from evigraph.llm.common import materialize
+from evigraph.llm.common import Scratch
 
 STAGES = [
     ("quality_rules", stages.quality_rules),
@@ -20,7 +20,7 @@ STAGES = [
     ("best_fit_packing", stages.best_fit_packing),
 ]
 
-#: The risk-controlled cutoffs, SimHash groups and packing are not expressible in SQL; tests hold the
+#: The risk-controlled cutoffs, edit classes and packing are not expressible in SQL; tests hold the
 #: stages against brute force.
 ORACLE_SQL = None
 
@@ -28,6 +28,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The packed pieces of the whole documents table."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    scratch = Scratch(spark)
     for _, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir))
+        # the table of the stage before goes once this one's is written
+        docs = scratch.put("docs", stage(spark, docs, sf_dir))
     return docs

@@ -216,6 +216,9 @@ said AS (
   SELECT doc_id, chunk_id, chunk_no, sentence, row_number() OVER (PARTITION BY chunk_id ORDER BY i) AS s FROM (
     SELECT doc_id, chunk_id, chunk_no, regexp_replace(unnest(xs), '^\\s+|\\s+$', '', 'g') AS sentence, generate_subscripts(xs, 1) AS i FROM (
       SELECT *, regexp_extract_all(chunk, '[^。！？!?；;]*[。！？!?；;]|[^。！？!?；;]+$') AS xs FROM chunks)) WHERE sentence <> '')"""
+_WHOLE = """whole AS (
+  SELECT doc_id, regexp_replace(unnest(xs), '^\\s+|\\s+$', '', 'g') AS sentence, generate_subscripts(xs, 1) AS s FROM (
+    SELECT doc_id, regexp_extract_all(replace(text, '.', '；'), '[^。！？!?；;]*[。！？!?；;]|[^。！？!?；;]+$') AS xs FROM documents))"""
 _QUOTE = "substring(trim(regexp_replace({}, '\\s+', ' ', 'g')), 1, 160)"
 _GROUND = f"""grounded AS (
   SELECT t.doc_id, t.pos, t.name, coalesce(b.chunk_id, c.chunk_id) AS chunk_id, coalesce({_QUOTE.format('b.sentence')}, {_QUOTE.format('c.chunk')}) AS quote,
@@ -225,7 +228,7 @@ _GROUND = f"""grounded AS (
     QUALIFY row_number() OVER (PARTITION BY t.doc_id, t.pos ORDER BY s.chunk_no, s.s) = 1) b USING (doc_id, pos)
   JOIN (SELECT doc_id, chunk_id, chunk FROM chunks QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY chunk_no) = 1) c USING (doc_id))"""
 _MARKERS = " UNION ALL ".join(
-    f"SELECT '{r}' AS relation, doc_id, s, sentence FROM said WHERE chunk_no = 0 AND ({' OR '.join(f'contains(sentence, {chr(39)}{m}{chr(39)})' for m in ms)})" for ms, r in LATIN.relations
+    f"SELECT '{r}' AS relation, doc_id, s, sentence FROM whole WHERE ({' OR '.join(f'contains(sentence, {chr(39)}{m}{chr(39)})' for m in ms)})" for ms, r in LATIN.relations
 )
 
 _SHOWN = f"""{_STAR}, se AS (
@@ -245,7 +248,7 @@ SELECT concept AS source, chunk_id AS target, 'EVIDENCED_BY' AS relation FROM x
     "term_filter": f"SELECT raw, {_clean('raw')} AS name, {_good(_clean('raw'))} AS good FROM (SELECT DISTINCT unnest([p_name, p_type, p_brand]) AS raw FROM part)",
     "section_terms": f"WITH {_TERMS} SELECT doc_id, pos, name FROM terms",
     "ground_evidence": f"WITH {_TERMS}, {_CHUNKS}, {_GROUND} SELECT * FROM grounded",
-    "keyword_edges": f"""WITH {_TERMS}, {_CHUNKS}, marked AS ({_MARKERS}),
+    "keyword_edges": f"""WITH {_TERMS}, {_WHOLE}, marked AS ({_MARKERS}),
 held AS (SELECT m.*, t.pos, t.name FROM marked m JOIN terms t ON t.doc_id = m.doc_id AND contains(m.sentence, t.name))
 SELECT a.doc_id, a.name AS source, b.name AS target, a.relation, {_QUOTE.format('a.sentence')} AS quote
 FROM held a JOIN held b ON a.doc_id = b.doc_id AND a.relation = b.relation AND a.s = b.s AND a.pos <> b.pos AND a.name <> b.name
@@ -280,9 +283,7 @@ walk AS (
   UNION ALL SELECT start, goal, other, hops + 1, path || '>' || other, prios || prio FROM walk JOIN e ON node = cur
   WHERE hops < 4 AND cur <> goal AND NOT list_contains(string_split(path, '>'), other))
 SELECT start, goal, CAST(hops AS INTEGER) AS hops, path FROM walk WHERE cur = goal QUALIFY row_number() OVER (PARTITION BY start, goal ORDER BY hops, prios, path) = 1""",
-    "components": """WITH RECURSIVE l AS (SELECT DISTINCT 'p' || l_partkey AS a, 'o' || l_orderkey AS b FROM lineitem WHERE l_quantity >= 49),
-e AS (SELECT a, b FROM l UNION SELECT b, a FROM l), c AS (SELECT a AS id, a AS component FROM e UNION SELECT e.b, c.component FROM c JOIN e ON e.a = c.id)
-SELECT id, min(component) AS component FROM c GROUP BY id""",
+    # components: recursion over classes as large as the table is too slow; tests hold it against union-find
     "edge_scores": """WITH l AS (SELECT l_partkey, l_suppkey, count(*) AS n, min(l_returnflag) AS flag, max(l_quantity) AS q FROM lineitem GROUP BY ALL)
 SELECT l_partkey, l_suppkey, CASE flag WHEN 'A' THEN 'CAUSES' WHEN 'N' THEN 'CONTAINS' ELSE 'MENTIONED_IN' END AS relation,
   round(q / 50 * CASE flag WHEN 'A' THEN CAST(1.4 AS DOUBLE) WHEN 'N' THEN CAST(0.7 AS DOUBLE) ELSE CAST(0.4 AS DOUBLE) END * CASE WHEN flag = 'R' THEN CAST(0.48 AS DOUBLE) ELSE CAST(1.0 AS DOUBLE) END

@@ -282,7 +282,7 @@ QUALIFY row_number() OVER (PARTITION BY question_id, chunk_id ORDER BY hits DESC
     "vector_topk": """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings)
 SELECT q.vec_id AS query_id, c.vec_id AS vec_id, round(greatest(0.0, list_dot_product(q.v, c.v) / (sqrt(list_dot_product(q.v, q.v)) * sqrt(list_dot_product(c.v, c.v)))), 6) AS cosine,
   CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY cosine DESC, c.vec_id) AS INTEGER) AS rank
-FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id QUALIFY rank <= 5""",
+FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id QUALIFY rank <= 5""",
     "locator_coverage": """SELECT lang, round(avg(CAST(text IS NOT NULL AS INTEGER)), 4) AS text, round(avg(CAST(quality IS NOT NULL AS INTEGER)), 4) AS labelled,
   round(avg(CAST(contains(text, chr(10)) AS INTEGER)), 4) AS line, round(avg(CAST(contains(text, ' | ') AS INTEGER)), 4) AS sheet_row
 FROM documents LEFT JOIN labels USING (doc_id) GROUP BY lang""",

@@ -8,7 +8,9 @@ from evigraph.plans import catalog
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 # those that take long even here are held against SQL by the driver at sf0.01
-QUICK = sorted(set(catalog.QUERIES) - {"best_quote", "hybrid_topk", "cluster_confidence", "components", "layer_summary"})
+# SQL is too slow over whole classes: test_whole_jobs.py has these against brute force
+NO_SQL = {"components", "align_clusters", "cluster_confidence"}
+QUICK = sorted(set(catalog.QUERIES) - NO_SQL - {"best_quote", "hybrid_topk", "layer_summary"})
 
 
 @pytest.fixture(scope="module")
@@ -38,4 +40,4 @@ def test_matches_sql(spark, duck, name):
 
 
 def test_every_query_has_sql():
-    assert set(catalog.QUERIES) == set(catalog.ORACLE_SQL)
+    assert set(catalog.QUERIES) - set(catalog.ORACLE_SQL) == NO_SQL and set(catalog.ORACLE_SQL) <= set(catalog.QUERIES)

@@ -55,13 +55,18 @@ def chunk_count(n: Column, size: int = CHUNK, overlap: int = OVERLAP) -> Column:
 
 def chunks(docs: DataFrame, keys: tuple[str, ...] = ("doc_id",), text: str = "text", size: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """keys, chunk_no, char_start, char_end, chunk (trimmed), char_count. Blank windows are left out."""
+    # the text is cut once into blocks of a step; a window is a block and the beginning of the next, so no
+    # window scans the text from its start
     step = size - overlap
     n = F.length(text)
-    windows = docs.where(n > 0).select(*keys, F.col(text).alias("_text"), n.alias("_n"), F.explode(F.sequence(F.lit(0), chunk_count(n, size, overlap) - 1)).alias("chunk_no"))
-    cut = F.regexp_replace(F.substring("_text", F.col("chunk_no") * step + 1, F.lit(size)), r"(?U)^\s+|\s+$", "")
+    blocks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{step}}}"), F.lit(0))
+    held = docs.where(n > 0).select(*keys, n.alias("_n"), chunk_count(n, size, overlap).alias("_windows"), blocks.alias("_blocks"))
+    whole = F.zip_with("_blocks", F.slice("_blocks", F.lit(2), F.size("_blocks")), lambda x, y: F.concat(x, F.substring(F.coalesce(y, F.lit("")), 1, overlap)))
+    windows = held.select(*keys, "_n", F.posexplode(F.slice(whole, F.lit(1), F.col("_windows"))).alias("chunk_no", "_cut"))
     out = windows.select(
-        *keys, "chunk_no", (F.col("chunk_no") * step).alias("char_start"), F.least(F.col("chunk_no") * step + size, "_n").alias("char_end"), cut.alias("chunk")
-    )
+        *keys, "chunk_no", (F.col("chunk_no") * step).alias("char_start"), F.least(F.col("chunk_no") * step + size, "_n").alias("char_end"),
+        F.regexp_replace("_cut", r"(?U)^\s+|\s+$", "").alias("chunk"),
+    )
     return out.withColumn("char_count", F.length("chunk")).where("char_count > 0")
 
 

@@ -62,8 +62,8 @@ def ground(terms: DataFrame, chunks: DataFrame, section: str = "section_id", chu
     term; a term that no sentence has falls back to the first chunk, unverified."""
     said = chunks.select(section, chunk, F.col("chunk_no"), F.posexplode(T.sentences(F.col(text))).alias("s", "sentence"))
     met = terms.join(said, section).where(F.contains("sentence", F.col("name")))
-    first = Window.partitionBy(section, "pos").orderBy("chunk_no", "s")
-    best = met.withColumn("r", F.row_number().over(first)).where("r = 1").select(section, "pos", chunk, T.trim_quote(F.col("sentence"), 160).alias("quote"))
+    best = met.groupBy(section, "pos").agg(F.min_by(F.struct(F.col(chunk), F.col("sentence")), F.struct("chunk_no", "s")).alias("b"))
+    best = best.select(section, "pos", F.col(f"b.{chunk}").alias(chunk), T.trim_quote(F.col("b.sentence"), 160).alias("quote"))
     start = chunks.groupBy(section).agg(F.min_by(F.struct(F.col(chunk), F.col(text)), "chunk_no").alias("c0"))
     out = terms.join(best, [section, "pos"], "left").join(start, section)
     return out.select(
@@ -83,7 +83,7 @@ def merge_nodes(drafts: DataFrame, book: str, name: str, seq: str, evidence: str
     )
 
 
-def first_wins(edges: DataFrame, keys: list[str], seq: list[str]) -> DataFrame:
+def first_wins(edges: DataFrame, keys: list[str], seq: list[str | Column]) -> DataFrame:
     """The first edge of each key in the given order."""
     r = F.row_number().over(Window.partitionBy(*keys).orderBy(*seq))
     return edges.withColumn("_r", r).where("_r = 1").drop("_r")
@@ -133,7 +133,7 @@ def degrees(edges: DataFrame, source: str = "source", target: str = "target") ->
 
 def edge_scores(edges: DataFrame, weights: DataFrame) -> DataFrame:
     """edges (relation, confidence, contextual, verified, n_evidence) with a display score."""
-    out = edges.join(F.broadcast(weights.hint("broadcast")), "relation", "left")
+    out = edges.join(weights, "relation", "left")
     base = F.col("confidence") * F.coalesce("weight", F.lit(1.0)) * F.when(F.col("contextual"), 0.48).otherwise(1.0)
     return out.withColumn("score", base + F.when(F.col("verified"), 0.35).otherwise(0.0) + F.least(F.col("n_evidence"), F.lit(3)) * 0.08)
 
@@ -153,11 +153,11 @@ def bfs(edges: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
 
 def shortest_paths(edges: DataFrame, pairs: DataFrame, depth: int) -> DataFrame:
     """start, goal, hops, path: one shortest undirected path of at most `depth` steps for each pair, the
-    first by relation priority, then confidence, then node. edges: source, target, prio, confidence."""
+    first by relation priority, then the highest confidence, then node. edges: source, target, prio, confidence."""
     both = edges.select("source", "target", "prio", "confidence").unionByName(
         edges.select(F.col("target").alias("source"), F.col("source").alias("target"), "prio", "confidence")
     )
-    both = first_wins(both, ["source", "target"], ["prio", "confidence"])
+    both = first_wins(both, ["source", "target"], ["prio", F.desc("confidence")])
     front = pairs.select("start", "goal", F.array("start").alias("path"), F.array().cast("array<int>").alias("prios"))
     seen = pairs.select("start", "goal", F.col("start").alias("at"))
     found = None

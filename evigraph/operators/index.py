@@ -74,9 +74,11 @@ def idf(n: Column, df: Column) -> Column:
     return F.log(1 + (n - df + 0.5) / (df + 0.5))
 
 
-def score(questions: DataFrame, records: DataFrame, pack: Lexicon, qkey: str = "question_id", question: str = "question", key: str = "chunk_id", text: str = "chunk") -> DataFrame:
+def score(questions: DataFrame, records: DataFrame, pack: Lexicon, qkey: str = "question_id", question: str = "question", key: str = "chunk_id", text: str = "chunk", vectors: bool = True) -> DataFrame:
     """qkey, key, bm25, vector, score, coverage of every pair that shares a term.
 
+    Without vectors, vector is 0 and no embedding is made.
+
     Corpus statistics are those of all records, whatever is filtered later.
     """
     tf = term_counts(records, key, text)
@@ -95,6 +97,8 @@ def score(questions: DataFrame, records: DataFrame, pack: Lexicon, qkey: str = "
     lexical = pairs.groupBy(qkey, key).agg(F.sum(part).alias("bm25"), F.sum("qc").alias("matched"))
     lexical = lexical.join(weight, qkey).withColumn("coverage", F.col("matched") / F.greatest(F.col("qsum"), F.lit(1)))
     gated = lexical.where(F.col("coverage") >= MIN_COVERAGE)
+    if not vectors:
+        return gated.select(qkey, key, "bm25", F.lit(0.0).alias("vector"), F.col("bm25").alias("score"), "coverage").where("score > 0")
     qvec = hash_embedding(terms.withColumnRenamed("qc", "tf"), qkey).withColumnRenamed("w", "qw")
     dots = gated.select(qkey, key).join(hash_embedding(tf, key), key).join(qvec, [qkey, "bucket"]).groupBy(qkey, key).agg(F.sum(F.col("w") * F.col("qw")).alias("dot"))
     out = gated.join(dots, [qkey, key], "left").withColumn("vector", F.greatest(F.lit(0.0), F.coalesce("dot", F.lit(0.0))))

@@ -75,7 +75,7 @@ def _scored(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
-    scored = _scored(spark, sf).withColumn("score", F.col("bm25"))
+    scored = I.score(_questions(spark, sf), _chunks(spark, sf), LATIN, vectors=False)
     return I.top_k(scored, 5).select("question_id", "chunk_id", "rank", F.round("bm25", 4).alias("bm25"), F.round("coverage", 4).alias("coverage"))
 
 

@@ -22,8 +22,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import StructField, StructType
 
+#: A quote opens a value only after an equals sign and if it is closed somewhere; else it is a stray character.
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S
+    r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]|=\s*\"[^\"]*\"|=\s*'[^']*'|=)*+)(?:>|\Z)", re.S
 )
 ATTRIBUTE = re.compile(r"""([^\s=/"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 
@@ -49,32 +50,64 @@ ASIDE_NAMES = {
 HEAD_NAMES = {"header"}
 MAIN_NAMES = {"article", "content", "main", "post", "entry", "story", "maincontent", "articlebody", "body", "text"}
 
-#: Log-odds of the classifier, in hundredths (capacities are whole numbers).
-W_ASIDE, W_MAIN, W_HEADER, W_LINKS, W_LONG, W_SHORT, W_SENTENCE, W_TEXTUAL, W_BASE = -900, 400, -500, -400, 120, -60, 80, 60, -40
+#: Parts of a name that say something of a page's state or layout, not of what the element is.
+STATE_NAMES = {"no", "not", "without", "has", "with", "is", "enabled", "disabled", "on", "off", "layout"}
+#: Log-odds of the classifier, in hundredths (capacities are whole numbers): by kind of element around a
+#: block, and by the block itself. W_PLAIN is added where a page marks no article at all.
+W_ASIDE, W_NAMED, W_MAIN, W_HEADER, W_LINKS, W_LONG, W_SHORT, W_SENTENCE, W_TEXTUAL, W_BASE, W_PLAIN = -900, -650, 400, -500, -400, 120, -60, 80, 60, -40, 110
+#: An element with more than this share of the page's text wraps the page, whatever its name.
+WRAPS = 0.6
 #: Smoothness of neighbours under one parent, under one grandparent, and farther apart.
 TIE_PARENT, TIE_NEAR, TIE_FAR = 120, 50, 10
 LONG_CHARS = 80
 
 
 class _Element:
-    __slots__ = ("tag", "parent", "aside", "main", "header", "depth")
+    """An element with the weights of its own tag and names; `held` is the text in it, in characters."""
+
+    __slots__ = ("tag", "parent", "aside", "main", "header", "held")
 
     def __init__(self, tag: str, parent: _Element | None, attributes: str):
-        self.tag, self.parent = tag, parent
-        self.depth = parent.depth + 1 if parent else 0
+        self.tag, self.parent, self.held = tag, parent, 0
         names: set[str] = set()
         hidden = False
         if attributes and tag not in ("html", "body"):
             for name, x, y, z in ATTRIBUTE.findall(attributes):
                 value, name = x or y or z, name.lower()
                 if name in ("class", "id", "role"):
-                    names.update(re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower()))
+                    for token in value.split():
+                        parts = re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", token).lower())
+                        if not STATE_NAMES.intersection(parts):
+                            names.update(parts)
                 elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
                     hidden = True
-        up = parent
-        self.aside = bool(up and up.aside) or hidden or tag in ASIDE_TAGS or bool(names & ASIDE_NAMES)
-        self.main = bool(up and up.main) or tag in MAIN_TAGS or bool(names & MAIN_NAMES)
-        self.header = bool(up and up.header) or (not self.main and (tag == "header" or bool(names & HEAD_NAMES)))
+        self.aside = W_ASIDE if hidden or tag in ASIDE_TAGS else W_NAMED if names & ASIDE_NAMES else 0
+        self.main = tag in MAIN_TAGS or bool(names & MAIN_NAMES)
+        self.header = tag == "header" or bool(names & HEAD_NAMES)
+
+    def odds(self, page: int) -> tuple[int, bool]:
+        """What the elements from this one up say of their text, and whether one marks an article.
+
+        An element that wraps the page counts for nothing but a mark; a header inside an article is its head.
+        """
+        aside = header = 0
+        main = False
+        e: _Element | None = self
+        while e is not None:
+            main = main or e.main
+            if e.held <= WRAPS * page or e.tag in ("nav", "footer"):
+                aside = min(aside, e.aside)
+                header = W_HEADER if e.header and not main and not _in_main(e) else header
+            e = e.parent
+        return aside + header + W_MAIN * main, main
+
+
+def _in_main(e: _Element | None) -> bool:
+    while e is not None:
+        if e.main:
+            return True
+        e = e.parent
+    return False
 
 
 class Block:
@@ -83,14 +116,14 @@ class Block:
     def __init__(self, text: str, element: _Element, linked: int):
         self.text, self.element, self.linked = text, element, linked
 
-    def odds(self) -> int:
-        e, n = self.element, len(self.text)
+    def odds(self, page: int, plain: bool) -> int:
+        n = len(self.text)
         share = self.linked / n
-        odds = W_BASE + (W_LONG if n >= LONG_CHARS else W_SHORT)
-        odds += W_ASIDE * e.aside + W_MAIN * e.main + W_HEADER * e.header
+        odds = W_BASE + (W_LONG if n >= LONG_CHARS else W_SHORT) + W_PLAIN * plain
+        odds += self.element.odds(page)[0]
         odds += int(W_LINKS * share) if share > 0.3 else 0
         odds += W_SENTENCE if self.text[-1] in ".!?…:;\"'”»。！？" else 0
-        odds += W_TEXTUAL if e.tag in ("p", "h1", "h2", "h3", "h4", "blockquote", "pre", "td", "dd", "figcaption") else 0
+        odds += W_TEXTUAL if self.element.tag in ("p", "h1", "h2", "h3", "h4", "blockquote", "pre", "td", "dd", "figcaption") else 0
         return odds
 
 
@@ -107,6 +140,10 @@ def blocks_of(page: str) -> list[Block]:
             words = " ".join("".join(entities.unescape(t) for t, _ in text).split())
             if words:
                 linked = sum(len(entities.unescape(t).strip()) for t, link in text if link)
+                e: _Element | None = here
+                while e is not None:
+                    e.held += len(words)
+                    e = e.parent
                 out.append(Block(words, here, min(linked, len(words))))
             text.clear()
 
@@ -231,8 +268,10 @@ def content(blocks: list[Block]) -> list[Block]:
     flow = Flow(n + 2)
     source, sink = n, n + 1
     last: dict[_Element | None, int] = {}
+    page = sum(len(b.text) for b in blocks)
+    plain = not any(b.element.odds(page)[1] for b in blocks)
     for i, b in enumerate(blocks):
-        odds = b.odds()
+        odds = b.odds(page, plain)
         flow.tie(source, i, odds) if odds > 0 else flow.tie(i, sink, -odds)
         if i:
             tie = _tie(blocks[i - 1].element, b.element)

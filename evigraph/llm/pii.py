@@ -19,13 +19,13 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
-#: Secret of the replacement; a parameter.
-KEY = "surrogate-key"
-MAX_DRAWS = 64
+#: Draws after which a value whose format is used up gets its type and a hash instead.
+MAX_DRAWS = 24
 
 # The patterns of the entity types, in the order in which they are tried.
 PATTERNS = (
-    ("email", r"[A-Za-z0-9._%+\-\u00C0-\u024F\u0370-\u052F]+@(?:[A-Za-z0-9\-]+\.)+[A-Za-z]{2,}"),
+    # bounds as an address has them (64 characters, labels of 63); tried only where a word begins, and never anew inside it
+    ("email", r"(?<![A-Za-z0-9._%+\-\u00C0-\u024F\u0370-\u052F])[A-Za-z0-9._%+\-\u00C0-\u024F\u0370-\u052F]{1,64}+@(?:[A-Za-z0-9\-]{1,63}+\.){1,126}[A-Za-z]{2,63}"),
     ("secret", r"\b(?:sk-|pk-|ghp_|gho_|xox[abp]-|AKIA)[A-Za-z0-9_\-]{12,}|\b(?=[0-9a-fA-F]*[0-9])(?=[0-9a-fA-F]*[a-fA-F])[0-9a-fA-F]{32,}\b"),
     ("iban", r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b"),
     ("ipv4", r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![0-9]|\.[0-9])"),
@@ -56,7 +56,8 @@ def _canonical(kind: Column, value: Column) -> Column:
     digits = F.regexp_replace(value, "[^0-9]", "")
     spaced = F.regexp_replace(F.regexp_replace(value, r"\.?\s+", " "), r"[ \-]", " ")
     return (
-        F.when(kind.isin("card", "ssn", "phone"), digits)
+        F.when(kind.isin("card", "ssn"), digits)
+        .when(kind == "phone", F.substring(digits, -10, 10))  # with or without the country's digits
         .when(kind == "email", F.lower(value))
         .when(kind == "iban", F.regexp_replace(value, " ", ""))
         .when(kind == "name", F.lower(spaced))
@@ -104,8 +105,7 @@ def _drawn() -> Column:
     )
     card = f"transform(array({body}), _b -> concat(_b, cast((10 - {luhn} % 10) % 10 as string)))[0]"
     iban = f"concat(substr(canon, 1, 2), {each.format(v='substr(canon, 3)')})"
-    # digits that say the country stay, if there are any before the last ten
-    phone = f"concat(substr(canon, 1, greatest(length(canon) - 10, 1)), array_join(transform(sequence(greatest(length(canon) - 10, 1), length(canon) - 1), i -> cast({byte('i')} % 10 as string)), ''))"
+    phone = f"concat(substr(canon, 1, 1), array_join(transform(sequence(1, length(canon) - 1), i -> cast({byte('i')} % 10 as string)), ''))"
     ssn = f"array_join(transform(sequence(0, 8), i -> cast({byte('i')} % 10 as string)), '')"
 
     def name(script: str) -> str:
@@ -125,8 +125,12 @@ def _tail(c: str) -> str:
     return f"regexp_replace({c}, '^(sk-|pk-|gh[po]_|xox[abp]-|AKIA)', '')"
 
 
-def surrogates(values: DataFrame, key: str = KEY) -> DataFrame:
-    """kind, canon (distinct) -> kind, canon, surrogate: distinct within a kind, and none a real value."""
+def surrogates(values: DataFrame, key: str) -> DataFrame:
+    """kind, canon (distinct) -> kind, canon, surrogate: distinct within a kind, and none a real value.
+
+    Where a format has no free surrogate left (short telephone numbers), a value gets its kind and 32
+    digits of its keyed hash.
+    """
     open_ = materialize(values.withColumn("draw", F.lit(0)))
     done: DataFrame | None = None
     for draw in range(MAX_DRAWS):
@@ -142,14 +146,19 @@ def surrogates(values: DataFrame, key: str = KEY) -> DataFrame:
         open_ = materialize(open_.join(won.select("kind", "canon"), ["kind", "canon"], "left_anti"))
         if open_.isEmpty():
             return done.withColumnRenamed("s", "surrogate")
-    raise ValueError("a type has more values than its format has surrogates")
+    rest = open_.select("kind", "canon", F.concat_ws("-", "kind", F.substring(_hex(key, F.col("kind"), F.col("canon"), F.lit("rest")), 1, 32)).alias("s"))
+    return done.unionByName(rest).withColumnRenamed("s", "surrogate")
 
 
 def _written(kind: Column, value: Column, surrogate: Column) -> Column:
-    """A surrogate in the format of the place: its digits fill the place's digits, and so on."""
+    """A surrogate in the format of the place: its digits fill the place's last digits, and so on.
+
+    Digits in front of those that a telephone number's surrogate has say the country, and stay.
+    """
+    spare = "length(regexp_replace(value, '[^0-9]', '')) - length(surrogate)"
+    nth = "length(regexp_replace(substr(value, 1, i + 1), '[^0-9]', ''))"
     digits = F.expr(
-        "array_join(transform(split(value, ''), (c, i) -> if(c rlike '[0-9]', "
-        "substr(surrogate, length(regexp_replace(substr(value, 1, i + 1), '[^0-9]', '')), 1), c)), '')"
+        f"array_join(transform(split(value, ''), (c, i) -> if(c rlike '[0-9]' and {nth} > {spare}, substr(surrogate, {nth} - ({spare}), 1), c)), '')"
     )
     letters = F.expr(
         "array_join(transform(split(value, ''), (c, i) -> if(c = ' ', c, "
@@ -158,7 +167,8 @@ def _written(kind: Column, value: Column, surrogate: Column) -> Column:
     upper = (value == F.upper(value)) & (value != F.lower(value))
     titled = F.concat(F.regexp_extract(value, r"^(\p{L}+\.?\s)", 1), F.initcap(F.regexp_replace(surrogate, r"^\S+ ", "")))
     return (
-        F.when(kind.isin("card", "ssn", "phone"), digits)
+        F.when(surrogate.startswith(F.concat(kind, F.lit("-"))), surrogate)
+        .when(kind.isin("card", "ssn", "phone"), digits)
         .when(kind == "iban", letters)
         .when(kind == "email", F.when(upper, F.upper(surrogate)).otherwise(surrogate))
         .when(kind == "name", F.when(upper, F.upper(titled)).otherwise(titled))
@@ -166,24 +176,26 @@ def _written(kind: Column, value: Column, surrogate: Column) -> Column:
     )
 
 
-def replace(docs: DataFrame, key: str = "doc_id", text: str = "text", secret: str = KEY) -> DataFrame:
+def replace(docs: DataFrame, key: str = "doc_id", text: str = "text", *, secret: str) -> DataFrame:
     """key, text with every entity replaced, n_entities long and kinds (sorted, comma-joined)."""
     base = docs.select(F.col(key), F.col(text).alias("text"))
     found = base.select(F.col(key).alias("k"), F.xxhash64("text").alias("t"), F.posexplode(F.regexp_extract_all("text", F.lit(ANY), F.lit(0))).alias("i", "value"))
-    found = found.withColumn("kind", _kind(F.col("value"))).withColumn("canon", _canonical(F.col("kind"), F.col("value")))
+    # a long number is a card's only if its checksum holds; other numbers stay
+    card = F.call_function("luhn_check", F.regexp_replace("value", "[^0-9]", ""))
+    found = found.withColumn("kind", _kind(F.col("value"))).withColumn("kind", F.when((F.col("kind") != "card") | card, F.col("kind"))).withColumn("canon", _canonical(F.col("kind"), F.col("value")))
     found = materialize(found.distinct())
     given = surrogates(found.where("kind is not null").select("kind", "canon").distinct(), secret)
     named = found.join(given, ["kind", "canon"], "left")
     written = named.select("k", "t", "i", "kind", F.coalesce(_written(F.col("kind"), F.col("value"), F.col("surrogate")), F.col("value")).alias("w"))
     listed = written.groupBy("k", "t").agg(
         F.transform(F.sort_array(F.collect_list(F.struct("i", "w"))), lambda x: x["w"]).alias("words"),
-        F.array_join(F.sort_array(F.collect_set("kind")), ",").alias("kinds"),
+        F.array_join(F.sort_array(F.collect_set("kind")), ",").alias("kinds"), F.count("kind").alias("n"),
     )
     out = base.withColumn("_t", F.xxhash64("text")).join(listed, F.col(key).eqNullSafe(F.col("k")) & (F.col("_t") == F.col("t")), "left")
     parts = F.split("text", ANY, -1)
     filled = F.array_join(F.transform(parts, lambda p, i: F.concat(p, F.coalesce(F.get("words", i), F.lit("")))), "")
     return out.select(
         key, F.when(F.col("words").isNull(), F.col("text")).otherwise(filled).alias("text"),
-        F.when(F.col("words").isNull(), 0).otherwise(F.size("words")).cast("long").alias("n_entities"),
+        F.coalesce("n", F.lit(0)).cast("long").alias("n_entities"),
         F.coalesce("kinds", F.lit("")).alias("kinds"),
     )

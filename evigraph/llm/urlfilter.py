@@ -15,6 +15,7 @@ Empty tables give empty results. Repeated urls are judged alike.
 
 from __future__ import annotations
 
+import itertools
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,12 +24,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
-from .common import ascii_lower, materialize
+from .common import Scratch, ascii_lower
 
 BITS_PER_KEY, HASHES = 8, 3
 SHARD_KEYS = 1_000_000
 INLINE_BYTES = 32 << 20
-MAX_LEVELS = 40
 
 
 def host(url: Column) -> Column:
@@ -66,19 +66,28 @@ class Cascade:
 
     shards: int
     levels: list[list[tuple[int, bytes]]]
+    seed: int = 0
 
     @classmethod
     def build(cls, universe: DataFrame, key: str, listed: str) -> Cascade:
         """universe: one row a key, with a boolean column that says whether it is listed.
 
-        Each level is one aggregation of (shard, word of bits) and one filter of the keys that err.
+        Each level is one aggregation of (shard, word of bits) and one filter of the keys that err. Levels
+        end when no key errs, however many that takes. Keys are told apart by a 64-bit hash; if a listed
+        and another key have the same, all are hashed anew with the next seed.
         """
-        keys = materialize(universe.select(F.xxhash64(key).alias("k"), F.col(listed).alias("on")).distinct())
+        seed = -1
+        scratch = Scratch(universe.sparkSession)
+        while True:
+            seed += 1
+            keys = scratch.put("keys", universe.select(F.xxhash64(F.lit(seed), key).alias("k"), F.col(listed).alias("on")).distinct())
+            if keys.groupBy("k").count().where("count > 1").isEmpty():
+                break
         shards = max(1, -(-keys.where("on").count() // SHARD_KEYS))
         keys = keys.withColumn("shard", F.pmod(F.col("k"), F.lit(shards)).cast("int"))
         levels: list[list[tuple[int, bytes]]] = [[] for _ in range(shards)]
         into, other = keys.where("on"), keys.where("not on")
-        for level in range(1, MAX_LEVELS + 1):
+        for level in itertools.count(1):
             sizes = {r.shard: r.n for r in into.groupBy("shard").agg(F.count("*").alias("n")).collect()}
             if not sizes:
                 break
@@ -93,11 +102,12 @@ class Cascade:
                 packed[r.shard][r.w] = r.b
             for s in range(shards):
                 levels[s].append((bits, packed[s].tobytes()))
-            now = cls(shards, [[lv[-1]] for lv in levels])
+            now = cls(shards, [[lv[-1]] for lv in levels], seed)
             passed = other.where(now._passes(level)("k", "shard"))
             # of the other kind, those that err must be told apart at the next level
-            into, other = materialize(passed), into
-        return cls(shards, levels)
+            into, other = scratch.put(f"kind{level % 2}", passed), into
+        scratch.drop_all()
+        return cls(shards, levels, seed)
 
     def _passes(self, first: int):
         """A UDF: whether a key passes the only level there is, which has number `first`."""
@@ -125,7 +135,7 @@ class Cascade:
         """df with a boolean column: whether the key, one of the universe, is listed; null is not."""
         if not self.levels or not self.levels[0]:
             return df.withColumn(name, F.lit(False))
-        df = df.withColumn("_u_k", F.xxhash64(key)).withColumn("_u_s", F.pmod("_u_k", F.lit(self.shards)).cast("int"))
+        df = df.withColumn("_u_k", F.xxhash64(F.lit(self.seed), key)).withColumn("_u_s", F.pmod("_u_k", F.lit(self.shards)).cast("int"))
         places = F.array(*[_positions(F.col("_u_k"), i + 1, lv[0]) for i, lv in enumerate(self.levels[0])])
         out = None
         for g in self.groups():
@@ -164,14 +174,15 @@ def _test(levels, i: int, pos: np.ndarray, shards: np.ndarray) -> np.ndarray:
     return out
 
 
-def judge(pages: DataFrame, rules: list, listed_term: str, key: str = "page_id", url: str = "url") -> DataFrame:
+def judge(pages: DataFrame, rules: list, listed: DataFrame, key: str = "page_id", url: str = "url") -> DataFrame:
     """key, url, host, path, rule, verdict of every page: the rule's verdict, else block for listed hosts.
 
-    The universe of the cascade is every host of the table; the list holds those with a label that
-    matches `listed_term`.
+    listed: any table with a column host; rows may repeat. The universe of the cascade is every host of
+    the pages, so hosts of the list that no page has take no room. Other columns are not read.
     """
     parts = pages.select(key, url, host(F.col(url)).alias("host"), path(F.col(url)).alias("path"))
-    universe = parts.select("host").distinct().withColumn("on", F.col("host").rlike(listed_term))
+    on = listed.select("host").distinct().withColumn("on", F.lit(True))
+    universe = parts.select("host").distinct().join(on, "host", "left").select("host", F.coalesce("on", F.lit(False)).alias("on"))
     cascade = Cascade.build(universe, "host", "on")
     found = rule_of(F.col("host"), F.col("path"), rules)
     out = cascade.mark(parts.withColumn("_u_r", found), "host", "_u_l")

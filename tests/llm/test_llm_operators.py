@@ -4,6 +4,7 @@ import collections
 import itertools
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -223,6 +224,42 @@ def test_html_reads_broken_pages(page):
     assert isinstance(htmltext.main_text(page), str)
 
 
+LONG = "This is a paragraph of the article that is long enough to say something of its own accord."
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        (f'<div class="content no-sidebar"><p>{LONG}</p></div>', LONG),
+        (f'<body><form action="/"><p>{LONG}</p><p>{LONG}</p></form></body>', f"{LONG}\n{LONG}"),
+        (f'<article class="post share-enabled"><p>{LONG}</p></article>', LONG),
+        ("<div>Hello there</div>", "Hello there"),
+        (f"<article><p><b title=don't>{LONG}</b></p></article>", LONG),
+        (f'<article><p><a href="x>{LONG}</p></article>', LONG),
+    ],
+)
+def test_html_names_do_not_veto_and_stray_quotes_are_no_text(page, want):
+    assert htmltext.main_text(page) == want
+
+
+def test_html_cut_differs_from_the_signs_of_single_blocks():
+    page = f"<div><p>{LONG}</p><div>and so</div><p>{LONG}</p></div><nav>Menu</nav><article></article>"
+    blocks = htmltext.blocks_of(page)
+    size = sum(len(b.text) for b in blocks)
+    signs = [b.odds(size, False) > 0 for b in blocks]
+    kept = htmltext.content(blocks)
+    assert [b.text for b in kept] == [LONG, "and so", LONG] and signs == [True, False, True, False]
+
+
+def test_html_rows(spark):
+    rows = [(1, "u", "<p>" + LONG), (1, "u", "<p>" + LONG), (None, None, LONG), (2, "v", None), (3, "w", "")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("clash")).withColumn("n_chars", F.lit("clash"))
+    out = htmltext.extract(df)
+    got = collections.Counter((r.page_id, r.url, r.text, r.n_chars) for r in out.collect())
+    assert got == collections.Counter((i, u, LONG if h else "", len(LONG) if h else 0) for i, u, h in rows)
+    assert htmltext.extract(df.limit(0)).count() == 0
+
+
 def test_flow_is_a_minimum_cut():
     rng = random.Random(6)
     for _ in range(40):
@@ -254,18 +291,31 @@ def test_cascade_is_exact_on_its_universe(spark):
 def test_url_rules(spark):
     urls = ["https://A.example.com/en/1?x", "http://www.example.com/en/", "https://x.net/es/#a", "https://x.net", None, "no scheme", "ftp://casino-win.example.org/"]
     df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumn("host", F.lit("clash"))
-    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in urlfilter.judge(df, queries.URL_RULES, queries.LISTED_TERM).collect()}
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in urlfilter.judge(df, queries.URL_RULES, queries.listed_hosts(df)).collect()}
     assert got[0] == ("a.example.com", "/en/1", "example.com/en/", "block") and got[1][2:] == ("www.example.com/en/", "allow")
     assert got[2][2:] == ("net/es/", "block") and got[3] == ("x.net", "", None, "allow")
     assert got[4] == got[5] == ("", "", None, "allow") and got[6][3] == "block"
 
 
+def test_url_filter_is_exact_on_a_random_list(spark):
+    rng = random.Random(12)
+    hosts = [f"h{i}.org" for i in range(500)]
+    listed = set(rng.sample(hosts, 60))
+    urls = [f"https://{rng.choice(hosts)}/{'x' * (100_000 if i == 0 else 5)}" for i in range(2000)]
+    df = spark.createDataFrame([(i, u) for i, u in enumerate(urls + urls[:9])], "page_id long, url string")
+    some = spark.createDataFrame([(h,) for h in [*listed, "other.org", *listed]], "host string")
+    out = urlfilter.judge(df, [], some)
+    for r in out.collect():
+        assert r.verdict == ("block" if r.host in listed else "allow")
+    assert out.count() == 2009 and urlfilter.judge(df.limit(0), [], some).count() == 0 and urlfilter.judge(df, [], some.limit(0)).where("verdict = 'block'").count() == 0
+
+
 # -- PII
 
 
 def test_surrogates(spark):
     rows = ODD + [(1, "Mail Bo.Li@mail.org, bo.li@mail.org; call +1 (337) 555-7349, +1 337 555 7349; 10.2.3.4"), (2, "bo.li@mail.org card 4952935900253052 token " + "0af1" * 10), (3, "Mrs. Anna Smith")]
-    out = {r.doc_id: r for r in pii.replace(docs(spark, rows)).collect()}
+    out = {r.doc_id: r for r in pii.replace(docs(spark, rows), secret="s").collect()}
     assert out[-1].text is None and out[-2].text == "" and out[-5].text == "x " * 30_000 and out[-4].n_entities == 0
     for secret in ("bo.li", "Bo.Li", "555-7349", "10.2.3.4", "4952935900253052", "0af10af1", "Smith"):
         assert secret not in " ".join(r.text or "" for r in out.values())
@@ -278,9 +328,27 @@ def test_surrogates(spark):
     assert out[3].text.startswith("Mrs. ") and out[3].text.split()[1].endswith("na")
 
 
+def test_surrogates_of_long_tokens_telephones_and_numbers(spark):
+    rows = [(1, "a" * 1_000_000), (2, "x@" + "a." * 20_000 + "com"), (3, "call (337) 555-7349 or +1 337 555 7349"), (4, "order 4952935900253 stays"), (4, "order 4952935900253 stays")]
+    began = time.time()
+    out = pii.replace(docs(spark, rows), secret="s").collect()
+    assert time.time() - began < 60 and len(out) == 5
+    got = {r.doc_id: r for r in out}
+    assert got[1].text == rows[0][1] and got[4].text == rows[3][1] and got[4].n_entities == 0
+    first, second = re.findall(r"\(?\d{3}\)?[ -]\d{3}[- ]\d{4}", got[3].text)
+    assert re.sub(r"\D", "", first) == re.sub(r"\D", "", second) != "3375557349" and "+1 " in got[3].text
+    assert pii.replace(docs(spark, rows).limit(0), secret="s").count() == 0
+
+
+def test_surrogates_where_a_format_is_used_up(spark):
+    values = spark.createDataFrame([("phone", f"{i:03d}") for i in range(1000)], "kind string, canon string")
+    got = pii.surrogates(values, "s").collect()
+    assert len({r.surrogate for r in got}) == 1000 and not {r.surrogate for r in got} & {r.canon for r in got}
+
+
 def test_surrogates_are_distinct(spark):
     values = spark.createDataFrame([("ssn", f"{i:09d}") for i in range(2000)] + [("name", f"mr x{i}") for i in range(300)], "kind string, canon string")
-    got = pii.surrogates(values).collect()
+    got = pii.surrogates(values, "s").collect()
     assert len(got) == 2300 and len({(r.kind, r.surrogate) for r in got}) == 2300
     assert not {(r.kind, r.surrogate) for r in got} & {(r.kind, r.canon) for r in got}
 

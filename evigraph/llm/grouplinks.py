@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from .common import Scratch
 
 #: Rounds with one hub a group before `finish`.
-HUB_ROUNDS = 2
+HUB_ROUNDS = 4
 
 
 def components(links: DataFrame, scratch: Scratch | None = None) -> DataFrame:

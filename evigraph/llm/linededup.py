@@ -118,9 +118,14 @@ def _common_runs(lines: DataFrame) -> str | None:
     return f"substring(cast('{marks.decode()}' as binary), cast(x & {BUCKETS - 1} as int) + 1, 1) = X'31'"
 
 
-def _codes(h: str) -> str:
-    """SQL: a string with one character for each word of h, by its place among the pair's words."""
-    return f"decode(unhex(array_join(transform({h}, x -> lpad(hex(65536 + array_position(both, x)), 8, '0')), '')), 'UTF-32')"
+def _codes(places: str) -> str:
+    """SQL: a string with one character for each of the numbers (below 983040)."""
+    return f"decode(unhex(array_join(transform({places}, x -> concat('000', hex(65536 + x))), '')), 'UTF-32')"
+
+
+def _exact(h: str) -> str:
+    """SQL: a character for each word of h, by its place among the words of the pair (both)."""
+    return _codes(f"transform({h}, x -> array_position(both, x) % 983040)")
 
 
 def classes(lines: DataFrame, first: DataFrame, docs: DataFrame, key: str, text: str, scratch: Scratch) -> DataFrame:
@@ -137,13 +142,16 @@ def classes(lines: DataFrame, first: DataFrame, docs: DataFrame, key: str, text:
     marks = scratch.put("marks", _marks(own))
     held = scratch.put("held", held.join(marks.select("id", "mark"), "id"))
 
+    side = lambda k, *c: own.select(F.col("id").alias(k), *[F.col(x).alias(f"{k}_{x}") for x in c])
+    most = _edits("greatest(a_n, b_n)")
+
     def check(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(own.select(F.col("id").alias("a"), F.col("h").alias("ha")), "a").join(own.select(F.col("id").alias("b"), F.col("h").alias("hb")), "b")
-        both = both.withColumn("most", F.expr(_edits("greatest(size(ha), size(hb))")))
-        # an edit changes at most one word of either line
-        both = both.where("size(array_except(ha, hb)) <= most and size(array_except(hb, ha)) <= most")
+        # characters by a part of the hash: equal ones for different words can only bring lines closer
+        near = pairs.join(side("a", "code", "n"), "a").join(side("b", "code", "n"), "b")
+        near = near.where(F.expr(f"abs(a_n - b_n) <= {most} and levenshtein(a_code, b_code, {most}) >= 0")).select("a", "b")
+        both = near.join(side("a", "h", "n"), "a").join(side("b", "h", "n"), "b")
         # bound as a lambda's variable, the words of both are listed once and not for each word
-        apart = f"transform(array(array_distinct(concat(ha, hb))), both -> levenshtein({_codes('ha')}, {_codes('hb')}, most))[0]"
+        apart = f"transform(array(array_distinct(concat(a_h, b_h))), both -> levenshtein({_exact('a_h')}, {_exact('b_h')}, {most}))[0]"
         return both.where(F.expr(f"{apart} >= 0")).select("a", "b")
 
     def finish(named: DataFrame) -> DataFrame:
@@ -156,13 +164,15 @@ def classes(lines: DataFrame, first: DataFrame, docs: DataFrame, key: str, text:
 
 
 def _word_lists(ids: DataFrame, first: DataFrame, docs: DataFrame, key: str, text: str, scratch: Scratch) -> DataFrame:
-    """id and h (hashes of the words) of these lines, from the first place of each."""
+    """id, n, h (hashes of the words) and code (a character for each word) of these lines, from the first
+    place of each."""
     one = first.groupBy("id").agg(F.min("at")["at"].alias("at")).join(ids, "id", "left_semi")
     places = scratch.put("places", one.select(F.xxhash64("at._k", "at._t", "at.pos").alias("_p")))
     places = F.broadcast(places) if places.count() <= BROADCAST_ROWS else places
     own = _texts(docs, key, text).select("_k", "_t", F.posexplode(F.split("_x", "\n", -1)).alias("pos", "line"))
     own = own.withColumn("_p", F.xxhash64("_k", "_t", "pos")).join(places, "_p", "left_semi").select(_once(_words(F.col("line"))).alias("w"))
-    return own.select(F.xxhash64("w").alias("id"), F.transform("w", lambda x: F.xxhash64(x)).alias("h")).dropDuplicates(["id"])
+    own = own.select(F.xxhash64("w").alias("id"), _once(F.transform("w", lambda x: F.xxhash64(x))).alias("h")).dropDuplicates(["id"])
+    return own.select("id", F.size("h").alias("n"), "h", F.expr(_codes("transform(h, x -> pmod(x, 983040))")).alias("code"))
 
 
 def _marks(own: DataFrame) -> DataFrame:

@@ -311,7 +311,12 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
         return decided(pairs.join(side("a"), "a").join(side("b"), "b").where(_allowed("a_n", "b_n", "a_p", "b_p")).select("a", "b"))
 
     def finish(named: DataFrame) -> DataFrame:
-        return decided(pairs_across(named.join(nodes.select(F.col("node").alias("id"), F.col("parity").alias("p")), "id"), more=_allowed("n", "n2", "p", "p2")))
+        # members carry their bitmap folded to four longs, still an upper bound; pairs that pass meet the whole one
+        folded = [F.expr(f"aggregate(filter(parity, (x, i) -> i % 4 = {k}), 0L, (a, x) -> a ^ x)").alias(f"p{k}") for k in range(4)]
+        short = nodes.select(F.col("node").alias("id"), *folded)
+        bits = " + ".join(f"bit_count(p{k} ^ p{k}2)" for k in range(4))
+        near = f"{DEN} * least(n, n2) >= {NUM} * greatest(n, n2) and {DEN + NUM} * ({bits}) <= {DEN - NUM} * (n + n2)"
+        return check(scratch.put("across", pairs_across(named.join(short, "id"), more=near)))
 
     # if this is the first common entry, at most what follows it is common
     cap = F.floor((NUM + DEN) * (F.col("n") - F.col("at")) / NUM).cast("long") - F.col("n")

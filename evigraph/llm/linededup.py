@@ -89,18 +89,16 @@ def lines_of(docs: DataFrame, key: str, text: str) -> DataFrame:
     lines = _texts(docs, key, text).select("_k", "_t", F.posexplode_outer(F.split("_x", "\n", -1)).alias("pos", "line"))
     lines = lines.select("_k", "_t", "pos", _once(_words(F.col("line"))).alias("w")).where("size(w) > 0 or pos is null or pos = 0")
     some = F.size("w") > 0
-    order = lambda x: F.shiftrightunsigned(F.xxhash64(x), 2).bitwiseOR(F.when(F.length(x) < COMMON_CHARS, F.lit(1 << 62)).otherwise(F.lit(0)))
     order = f"if(length(x) < {COMMON_CHARS}, shiftrightunsigned(xxhash64(x), 1), xxhash64(x) | shiftleft(1L, 63))"
+    base = lines.select("_k", "_t", "pos", F.when(some, F.xxhash64("w")).alias("id"), F.when(some, F.hash("w")).alias("chk"), F.size("w").alias("n"), F.expr(f"transform(w, x -> {order})").alias("h"))
+    # steps of their own and no lambda over all runs, so that all but short lines' pairs is compiled code
+    base = base.select("*", F.expr(f"slice(sort_array(array_distinct(h)), 1, {ANCHORS + SPARE})").alias("first"))
     pairs = "zip_with(slice(h, 1, n - 1), slice(h, 2, n - 1), (x, y) -> xxhash64(2, x, y))"
     pairs = f"if(n <= {SHORT}, slice(sort_array(array_distinct({pairs})), 1, {_listed('n')}), cast(array() as array<bigint>))"
-    runs = f"transform(slice(sort_array(array_distinct(h)), 1, {ANCHORS + SPARE}), x -> xxhash64({RUN}, slice(h, cast(array_position(h, x) as int), {RUN})))"
-    runs = f"if(n >= {BOTH}, {runs}, cast(array() as array<bigint>))"
-    made = f"named_struct('pairs', {pairs}, 'runs', {runs})"
-    # bound as a lambda's variable, h is computed once
-    made = f"if(n >= {MIN_WORDS}, transform(array(transform(w, x -> {order})), h -> {made})[0], null)"
-    base = lines.select("_k", "_t", "pos", F.when(some, F.xxhash64("w")).alias("id"), F.when(some, F.hash("w")).alias("chk"), F.size("w").alias("n"), "w")
-    base = base.select("_k", "_t", "pos", "id", "chk", "n", _once(F.expr(made)).alias("m"))
-    return base.select("_k", "_t", "pos", "id", "chk", "n", "m.pairs", "m.runs")
+    runs = ", ".join(f"xxhash64({RUN}, slice(h, cast(array_position(h, get(first, {i})) as int), {RUN}))" for i in range(ANCHORS + SPARE))
+    runs = f"if(n >= {BOTH}, slice(array({runs}), 1, size(first)), cast(array() as array<bigint>))"
+    made = [F.expr(f"if(n >= {MIN_WORDS}, {x}, null)").alias(name) for name, x in (("pairs", pairs), ("runs", runs))]
+    return base.select("_k", "_t", "pos", "id", "chk", "n", *made)
 
 
 def _common_runs(lines: DataFrame) -> str | None:

@@ -9,6 +9,7 @@ lost and the classes are those of all links.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -18,6 +19,13 @@ from .common import Scratch
 
 #: Rounds with one hub a group before `finish`.
 HUB_ROUNDS = 4
+#: Rows (a few longs each) for which one task is enough; larger tables are dealt out.
+TASK_ROWS = 500_000
+
+
+def _dealt(table: DataFrame) -> DataFrame:
+    """A written table in as few partitions as its counted rows call for: with one, nothing is shuffled."""
+    return table.coalesce(math.ceil(table.count() / TASK_ROWS) or 1)
 
 
 def components(links: DataFrame, scratch: Scratch | None = None) -> DataFrame:
@@ -30,9 +38,9 @@ def components(links: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     each replaces that of the round before.
     """
     scratch = scratch or Scratch(links.sparkSession)
-    edges = scratch.put("edges", links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    edges = _dealt(scratch.put("edges", links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()))
     names = edges.select(F.explode(F.array("a", "b")).alias("id")).distinct().withColumn("comp", F.col("id"))
-    names = scratch.put("names", names)
+    names = _dealt(scratch.put("names", names))
     turn = 0
     while not edges.isEmpty():
         turn += 1
@@ -40,13 +48,13 @@ def components(links: DataFrame, scratch: Scratch | None = None) -> DataFrame:
         chance = F.xxhash64(F.lit(turn), "a").bitwiseAND(F.lit(0xFFFFFFFF))
         ranks = both.groupBy("a").agg(F.count("*").alias("d")).select("a", (F.shiftleft("d", 32) + chance).alias("r"))
         seen = both.join(ranks.select(F.col("a").alias("b"), F.col("r").alias("rb")), "b").groupBy("a").agg(F.max("rb").alias("rb"), F.max_by("b", "rb").alias("to"))
-        move = scratch.put("move", seen.join(ranks, "a").where("rb > r").select("a", "to"))
+        move = _dealt(scratch.put("move", seen.join(ranks, "a").where("rb > r").select("a", "to")))
         to_a, to_b = move.select("a", F.col("to").alias("ta")), move.select(F.col("a").alias("b"), F.col("to").alias("tb"))
         edges = edges.join(to_a, "a", "left").join(to_b, "b", "left")
         edges = edges.select(F.coalesce("ta", "a").alias("a"), F.coalesce("tb", "b").alias("b")).where("a <> b")
-        edges = scratch.put("edges", edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        edges = _dealt(scratch.put("edges", edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()))
         names = names.join(move.withColumnRenamed("a", "comp"), "comp", "left").select("id", F.coalesce("to", "comp").alias("comp"))
-        names = scratch.put("names", names)
+        names = _dealt(scratch.put("names", names))
     scratch.drop("edges", "move")
     return names
 
@@ -91,9 +99,9 @@ def link_groups(
             new = check(pairs.select(F.least("id", "hub.id").alias("a"), F.greatest("id", "hub.id").alias("b")).distinct())
         else:
             new = finish(named)
-        new = scratch.put("links", new)
+        new = _dealt(scratch.put("links", new))
         if not new.isEmpty() or comps is None:
-            comps = scratch.put("comps", _merged(comps, new, scratch))
+            comps = _dealt(scratch.put("comps", _merged(comps, new, scratch)))
         held = named.drop("comp")
     scratch.drop_all(but=("comps",))
     return comps

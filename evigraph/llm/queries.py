@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audit, htmltext, licenses, linededup, mixing, ngramjoin, packing, pii, quality, topk, urlfilter
+from . import audit, htmltext, licenses, linededup, mixing, ngramjoin, packing, pii, quality, topk, trie, urlfilter
 
 #: A public tokenizer's file; a parameter of the packing query.
 TOKENIZER = "word_bpe_49k.json"
@@ -91,6 +91,10 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_exact_topk": op2_exact_topk,
@@ -103,6 +107,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_line_dedup": op10_line_dedup,
     "op12_filter_audit": op12_filter_audit,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 _HOST = "translate(regexp_extract(regexp_extract(url, '(?s)^.*?://(.*)$', 1), '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -186,5 +191,41 @@ SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) A
   CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
   CAST(sum(removed) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley
 FROM r
+""",
+    "op13_prefix_trie": r"""
+WITH t AS (
+  SELECT conv_id AS c, coalesce(role, '') AS r, coalesce(text, '') AS x,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(CAST(strlen(coalesce(role, '')) AS VARCHAR) || ':' || coalesce(role, '') || coalesce(text, ''))) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL
+), ids AS (
+  SELECT c, c - c % 5 AS base, (xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], list_transform(range(8 * strlen(CAST(c AS VARCHAR))),
+      lambda i: CAST((ascii(CAST(c AS VARCHAR)[i // 8 + 1]) >> CAST(i % 8 AS INT)) & 1 AS BIGINT))),
+      lambda a, b: xor(a >> 1, 3988292384 * (xor(a, b) & 1))), 4294967295)) % 9 AS h
+  FROM (SELECT DISTINCT c FROM t)
+), turns AS (
+  SELECT ids.c, t.pos AS k, 0 AS own, t.r, t.x FROM ids JOIN t ON t.c = ids.base AND t.pos <= ids.h
+  UNION ALL SELECT ids.c, t.pos, 1, t.r, t.x FROM ids JOIN t ON t.c = ids.c AND t.pos > ids.h
+), seqs AS (
+  SELECT ids.c, list({'r': turns.r, 'x': turns.x} ORDER BY own, k) FILTER (WHERE turns.c IS NOT NULL) AS s
+  FROM ids LEFT JOIN turns ON turns.c = ids.c GROUP BY ids.c
+), seq AS (SELECT c, coalesce(s, []) AS s FROM seqs),
+pre AS (SELECT c, len(s) AS n, unnest(range(len(s) + 1)) AS d, s FROM seq),
+marked AS (SELECT c, n, d, s, md5(CAST(s[1:d] AS VARCHAR) || d) AS node, md5(CAST(s[1:d - 1] AS VARCHAR) || (d - 1)) AS up FROM pre),
+node AS (
+  SELECT node, any_value(d) AS d, any_value(up) AS up, min(c) AS conv_id, count(*) AS n_convs, any_value(strlen(s[d].x)) AS b,
+    list(c ORDER BY c) FILTER (WHERE n = d) AS ends
+  FROM marked GROUP BY node
+), kids AS (SELECT up, count(*) AS n FROM node WHERE d > 0 GROUP BY up),
+full_node AS (
+  SELECT a.*, p.conv_id AS parent, coalesce(kids.n, 0) AS n_children, CASE WHEN a.d = 0 THEN 0 ELSE (a.n_convs - 1) * a.b END AS saved
+  FROM node a LEFT JOIN node p ON p.node = a.up AND a.d > 0 LEFT JOIN kids ON kids.up = a.node
+), above AS (
+  SELECT u.node AS low, m.node AS high FROM full_node u JOIN marked m ON m.c = u.conv_id AND m.d <= u.d
+), sums AS (
+  SELECT high, sum(CASE WHEN u.n_children = 0 THEN 1 ELSE 0 END) AS leaves, sum(u.saved) AS saved FROM above JOIN full_node u ON u.node = above.low GROUP BY high
+)
+SELECT f.conv_id, CAST(f.d AS BIGINT) AS depth, f.parent AS parent_conv_id, f.n_convs, CAST(f.n_children AS BIGINT) AS n_children,
+  CAST(s.leaves AS BIGINT) AS n_leaves, CAST(s.saved AS BIGINT) AS saved_tokens, sha256(coalesce(array_to_string(f.ends, ','), '')) AS ends_sha256
+FROM full_node f JOIN sums s ON s.high = f.node
 """,
 }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audit, htmltext, licenses, linededup, mixing, ngramjoin, packing, pii, quality, topk, trie, urlfilter
+from . import audit, classifier, htmltext, licenses, linededup, mixing, ngramjoin, packing, pii, quality, topk, trie, urlfilter
 
 #: A public tokenizer's file; a parameter of the packing query.
 TOKENIZER = "word_bpe_49k.json"
@@ -87,6 +87,10 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(cut)
 
 
+def op11_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -106,6 +110,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_line_dedup": op10_line_dedup,
+    "op11_quality_classifier": op11_quality_classifier,
     "op12_filter_audit": op12_filter_audit,
     "op13_prefix_trie": op13_prefix_trie,
 }

@@ -87,3 +87,55 @@ LATIN = Lexicon(
     negative=(" not ", " nicht ", " pas "),
     positive=(" is ", " ist ", " est "),
 )
+
+
+@dataclass(frozen=True)
+class BookRules:
+    """How a language's books are laid out. headings: pattern with two groups, level, kind, what joins the groups in a title."""
+
+    headings: tuple[tuple[str, int, str, str], ...]
+    toc_titles: tuple[str, ...]
+    toc_line: str
+    noise: tuple[str, ...]
+    list_entry: str
+    closing: str
+    window_title: str
+    untitled: str
+    window_label: str
+    page_label: tuple[str, str]
+    joiner: str = ""
+    squeeze: bool = True
+
+
+# Headings and lines of Chinese textbooks.
+ZH_BOOK = BookRules(
+    headings=(
+        ("^(绪论)()$", 1, "chapter", " "), ("^(第[一二三四五六七八九十百0-9]+章)(.*)$", 1, "chapter", " "),
+        ("^(第[一二三四五六七八九十百0-9]+节)(.*)$", 2, "section", " "), ("^([一二三四五六七八九十]+)、(.{2,32})$", 3, "section", "、"),
+    ),
+    toc_titles=("目录",),
+    toc_line=r"^(绪论|第[一二三四五六七八九十百0-9]+[章节篇]|[一二三四五六七八九十]+、).*\d{1,4}$",
+    noise=("本章数字资源", "扫描图片", "体验AR", "本章思维导图"),
+    list_entry=r"^(\d+\.|[（(][一二三四五六七八九十0-9]+[）)]|[一二三四五六七八九十]+、)",
+    closing="。；：！？）」”",
+    window_title="第[一二三四五六七八九十百0-9]+[章节篇]|^[一二三四五六七八九十]+[、.．]|^(绪论|目录|前言)$",
+    untitled="正文 page ",
+    window_label="页 ",
+    page_label=("第 ", " 页"),
+)
+
+#: Layout of Latin-script text without marks: short lines are headings by their number of words.
+LATIN_BOOK = BookRules(
+    headings=((r"^([^ ]+ [^ ]+)()$", 1, "chapter", " "), (r"^([^ ]+)()$", 2, "section", " "), (r"^([^ ]+ [^ ]+ [^ ]+)()$", 3, "section", " ")),
+    toc_titles=("Contents",),
+    toc_line=r"^[^ ].* \d{1,4}$",
+    noise=("end!",),
+    list_entry=r"^(\d+\.|[-*])",
+    closing=".!?:;)",
+    window_title="^[A-Z]",
+    untitled="page ",
+    window_label="pages ",
+    page_label=("page ", ""),
+    joiner=" ",
+    squeeze=False,
+)

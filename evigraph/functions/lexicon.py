@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 
 @dataclass(frozen=True)
@@ -23,6 +23,10 @@ class Lexicon:
     stop_tokens: tuple[str, ...] = ()
     negative: tuple[str, ...] = ()
     positive: tuple[str, ...] = ()
+    bad_verbs: tuple[str, ...] = ()
+    particle: str = "的"
+    #: What a question says, and what a sentence that answers it says.
+    quote_markers: list[tuple[tuple[str, ...], tuple[str, ...]]] = field(default_factory=list)
 
 
 # The Chinese medical pack.
@@ -63,6 +67,11 @@ ZH_MEDICAL = Lexicon(
     stop_tokens=("章节", "内容", "核心", "概念", "定义", "功能", "结构", "过程", "机制"),
     negative=("不是", "不属于", "不能", "无", "非"),
     positive=("是", "属于", "可以", "有", "能"),
+    bad_verbs=("研究", "应用", "编著", "激励", "提供", "进行", "记录", "认为", "学习", "掌握", "成为", "导致", "转化", "表达", "丧失", "推动", "解释"),
+    quote_markers=[
+        (("前", "先", "预备", "基础"), ("基础", "前提", "依赖", "需要先")), (("为什么", "导致", "引起", "造成"), ("导致", "引起", "因为", "由于", "影响")),
+        (("关系", "区别", "对比", "不同"), ("关系", "不同", "区别", "引起", "导致", "构成", "基础", "属于")),
+    ],
 )
 
 #: The pack for Latin-script text; words are those of the tables it is run on.
@@ -86,6 +95,9 @@ LATIN = Lexicon(
     stop_fragments=("ingthe",),
     negative=(" not ", " nicht ", " pas "),
     positive=(" is ", " ist ", " est "),
+    bad_verbs=("stoni", "ering"),
+    particle="the",
+    quote_markers=[(("thati", "enst"), (" the ", " in ", " is ")), (("ou", "er"), (" and ", " of "))],
 )
 
 

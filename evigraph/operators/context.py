@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from . import graph as G
+from .scratch import Tables
 
 # Groups of relations as a node's detail shows them, and the order of actions.
 GROUPS = {
@@ -112,22 +113,24 @@ def relation_groups(edges: DataFrame) -> DataFrame:
     return ends.select("e.*").groupBy("node", "grp").agg(F.count("*").alias("n"))
 
 
-def section_tree(sections: DataFrame, most: int = 16) -> DataFrame:
-    """sections (id, parent, seq) with depth (roots 0) and path, by which siblings sort by seq.
+def section_tree(sections: DataFrame) -> DataFrame:
+    """sections (id, parent, seq) with depth (roots 0) and path, the numbers from the root on, by which siblings sort.
 
-    A section whose parent is none of the sections is a root. Levels are joined one by one.
+    A section whose parent is none of the sections is a root. Levels are joined one by one, each from the
+    table of the one above, until one is empty; sections of a circle have no root and are left out.
     """
-    at = F.lpad(F.col("seq").cast("string"), 8, "0")
+    tables = Tables(sections.sparkSession)
     ids = sections.select(F.col("id").alias("parent")).distinct()
-    level = sections.join(ids, "parent", "left_anti").select("id", F.lit(0).alias("depth"), at.alias("path"))
-    levels = []
-    for depth in range(most):
-        levels.append(level)
+    seq = F.array(F.col("seq").cast("long"))
+    level = tables.write("level0", sections.join(ids, "parent", "left_anti").select("id", F.lit(0).alias("depth"), seq.alias("path")))
+    levels = [level]
+    while True:
+        depth = len(levels)
         above = level.select(F.col("id").alias("parent"), F.col("path").alias("up"))
-        level = sections.join(above, "parent").select("id", F.lit(depth + 1).alias("depth"), F.concat_ws("/", "up", at).alias("path"))
+        level = tables.write(f"level{depth}", sections.join(above, "parent").select("id", F.lit(depth).alias("depth"), F.concat("up", seq).alias("path")))
         if level.isEmpty():
-            break
-    return reduce(DataFrame.unionByName, levels)
+            return reduce(DataFrame.unionByName, levels)
+        levels.append(level)
 
 
 def singleton_drafts(nodes: DataFrame, members: DataFrame, conflicts: DataFrame) -> DataFrame:

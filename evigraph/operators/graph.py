@@ -35,8 +35,10 @@ def good_term(name: Column, pack: Lexicon) -> Column:
         ends = ends | F.endswith(name, F.lit(p))
     n = F.length(name)
     long_ok = (n <= 18) | name.rlike("[A-Za-z]")
+    particles = (n - F.length(F.replace(name, F.lit(pack.particle), F.lit("")))) / len(pack.particle)
+    sentence_like = ((n > 8) & T.contains_any(name, pack.bad_verbs)) | ((n > 10) & (particles >= 2))
     return (
-        n.between(2, 40) & ~name.rlike(r"^\d{1,4}$") & ~starts & ~ends & ~T.contains_any(name, pack.bad_fragments)
+        n.between(2, 40) & ~name.rlike(r"^\d{1,4}$") & ~starts & ~ends & ~T.contains_any(name, pack.bad_fragments) & ~sentence_like
         & ~name.rlike("[。！？；;，,]") & long_ok & name.rlike("[\\u4e00-\\u9fffA-Za-z]")
     )
 

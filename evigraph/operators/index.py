@@ -114,12 +114,19 @@ def top_k(scored: DataFrame, k: int, qkey: str = "question_id", key: str = "chun
     return ranked.withColumn("relevance", F.round(F.least(F.lit(1.0), F.col("score") / best), 4))
 
 
-def best_quote(pairs: DataFrame, terms: DataFrame, qkey: str, key: str, text: str, limit: int = 180) -> DataFrame:
-    """qkey, key, quote: the first sentence with the most of the question's terms, cut to `limit`."""
+def best_quote(
+    pairs: DataFrame, terms: DataFrame, qkey: str, key: str, text: str, limit: int = 180, question: str | None = None,
+    markers: list[tuple[tuple[str, ...], tuple[str, ...]]] | None = None,
+) -> DataFrame:
+    """qkey, key, quote: the first of the sentences that score most, cut to `limit`. A term of the question in the sentence
+    scores 5; so does 2 each marker of the first row whose words the question has (markers: its words, the sentence's)."""
     own = terms.groupBy(qkey).agg(F.collect_set("term").alias("terms"))
-    said = pairs.join(own, qkey).select(qkey, key, "terms", F.posexplode(T.sentences(F.col(text))).alias("pos", "sentence"))
-    hits = F.size(F.filter("terms", lambda t: F.contains(F.col("sentence"), t)))
-    ranked = said.withColumn("r", F.row_number().over(Window.partitionBy(qkey, key).orderBy(hits.desc(), "pos")))
+    wanted = F.array().cast("array<string>")
+    for asked, said in reversed(markers or []):
+        wanted = F.when(T.contains_any(F.col(question), asked), F.array(*[F.lit(m) for m in said])).otherwise(wanted)
+    said = pairs.join(own, qkey).select(qkey, key, "terms", wanted.alias("wanted"), F.posexplode(T.sentences(F.col(text))).alias("pos", "sentence"))
+    has = lambda m: F.size(F.filter(m, lambda t: F.contains(F.col("sentence"), t)))
+    ranked = said.withColumn("r", F.row_number().over(Window.partitionBy(qkey, key).orderBy((5 * has("terms") + 2 * has("wanted")).desc(), "pos")))
     return ranked.where("r = 1").select(qkey, key, F.substring("sentence", 1, limit).alias("quote"))
 
 

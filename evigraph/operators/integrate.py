@@ -9,7 +9,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .components import _checkpointed
+from ..functions import text as T
+from .ordered import carry
+from .scratch import Tables
 
 RATIO, MIN_NEED, MIN_CHARS, FORCE_RETAIN = 0.30, 48, 12, 4.5
 
@@ -38,7 +40,7 @@ def evict(drafts: DataFrame, limits: DataFrame, group: str, order: list[str], ne
     total = drafts.groupBy(group).agg(F.sum(need).alias("_total"))
     flagged = drafts.withColumn("_last", F.when(F.col(evictable), 0).otherwise(1)).withColumn("_free", F.when(F.col(evictable), F.col(need)).otherwise(0))
     # ranges of the order, written so that they stay as they are; a large group is many of them
-    dealt = _checkpointed(flagged.repartitionByRange(group, "_last", *order).withColumn("_range", F.spark_partition_id()))
+    dealt = Tables(drafts.sparkSession).write("dealt", flagged.repartitionByRange(group, "_last", *order).withColumn("_range", F.spark_partition_id()))
     sums = dealt.groupBy(group, "_range").agg(F.sum("_free").alias("_sum"))
     earlier = Window.partitionBy(group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select(group, "_range", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_before"))
@@ -102,6 +104,35 @@ def _shares(batches: Iterator[pa.RecordBatch], group: str, key: str, least: int)
         yield pa.RecordBatch.from_arrays([*own, pa.array(chars, pa.int64())], [group, key, "chars"])
 
 
+def shrink(drafts: DataFrame, limits: DataFrame, group: str, order: list[str], text: str, least: int = MIN_CHARS) -> DataFrame:
+    """drafts with their texts cut until each group's characters meet its limit, from the last draft of the order on.
+
+    First no text is cut below `least` characters, then none below one. How much a draft gives is what
+    the later ones leave over, that is a sum from the end, carried over ranges of the order. A cut text loses
+    its closing marks too, which does not lower what the others have to give in the same pass. limits: group, limit.
+    A null text has no characters; groups without a limit are left out. Drafts are told apart by group and order.
+    """
+    tables = Tables(drafts.sparkSession)
+    rows = drafts.repartitionByRange(group, *order).withColumn("_range", F.spark_partition_id())
+    rows = tables.write("rows", rows)
+    limits = limits.select(group, F.col("limit").cast("long").alias("_limit"))
+    over = rows.groupBy(group).agg(F.coalesce(F.sum(F.length(text)), F.lit(0)).alias("_all")).join(limits, group).select(group, F.greatest(F.lit(0), F.col("_all") - F.col("_limit")).alias("_over"))
+    for name, floor in (("first", least), ("second", 1)):
+        free = F.greatest(F.lit(0), F.coalesce(F.length(text), F.lit(0)) - floor).cast("long")
+        placed = carry(rows.withColumn("_free", free), [group], "_range", order, sums={"_upto": F.col("_free")})
+        # the totals meet the ranges, so that no rows are dealt by group alone
+        whole = placed.groupBy(group, "_range").agg(F.sum("_free").alias("_part"))
+        totals = whole.groupBy(group).agg(F.sum("_part").alias("_sum")).join(over, group)
+        ranges = whole.select(group, "_range").join(totals, group)
+        gives = F.greatest(F.lit(0), F.least(F.col("_free"), F.col("_over") - (F.col("_sum") - F.col("_upto"))))
+        cut = placed.join(ranges, [group, "_range"]).withColumn("_gives", gives)
+        done = cut.withColumn(text, F.when(F.col("_gives") > 0, T.truncate(F.col(text), (F.length(text) - F.col("_gives")).cast("int"))).otherwise(F.col(text)))
+        rows = tables.write(name, done.select(*drafts.columns, "_range"))
+        over = tables.write(f"over_{name}", totals.select(group, F.greatest(F.lit(0), F.col("_over") - F.col("_sum")).alias("_over")))
+    tables.drop("rows", "first", "over_first", "over_second")
+    return rows.drop("_range")
+
+
 def compression_stats(decisions: DataFrame, group: str, original: str = "original", retained: str = "retained") -> DataFrame:
     """Counts by action and the share of characters kept of each group."""
     n = lambda a: F.count_if(F.col("action") == a).alias(f"n_{a}")

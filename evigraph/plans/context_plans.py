@@ -70,7 +70,7 @@ def section_tree(spark: SparkSession, sf: str) -> DataFrame:
     top = table(spark, sf, "region").select(node("r", "r_regionkey").alias("id"), F.lit(None).cast("string").alias("parent"), F.col("r_regionkey").alias("seq"))
     mid = table(spark, sf, "nation").select(node("n", "n_nationkey"), node("r", "n_regionkey"), "n_nationkey")
     low = table(spark, sf, "supplier").select(node("s", "s_suppkey"), node("n", "s_nationkey"), "s_suppkey")
-    return X.section_tree(top.union(mid).union(low))
+    return X.section_tree(top.union(mid).union(low)).withColumn("path", F.array_join("path", "/"))
 
 
 def _named(spark: SparkSession, sf: str) -> DataFrame:
@@ -166,8 +166,8 @@ SELECT DISTINCT a.start, source, target, greatest(a.depth, b.depth) AS depth FRO
     "chunk_order": f"WITH {_CHUNKS} SELECT source, doc_id, chunk_no, row_number() OVER (PARTITION BY source ORDER BY doc_id, chunk_no) - 1 AS order_index FROM chunks JOIN documents d USING (doc_id)".replace("SELECT source,", "SELECT d.source,").replace("BY source ORDER", "BY d.source ORDER"),
     "section_tree": """WITH RECURSIVE s AS (SELECT 'r' || r_regionkey AS id, CAST(NULL AS VARCHAR) AS parent, r_regionkey AS seq FROM region
   UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey, n_nationkey FROM nation UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey, s_suppkey FROM supplier),
-t AS (SELECT id, 0 AS depth, lpad(CAST(seq AS VARCHAR), 8, '0') AS path FROM s WHERE parent IS NULL OR parent NOT IN (SELECT id FROM s)
-  UNION ALL SELECT s.id, depth + 1, path || '/' || lpad(CAST(seq AS VARCHAR), 8, '0') FROM s JOIN t ON s.parent = t.id)
+t AS (SELECT id, 0 AS depth, CAST(seq AS VARCHAR) AS path FROM s WHERE parent IS NULL OR parent NOT IN (SELECT id FROM s)
+  UNION ALL SELECT s.id, depth + 1, path || '/' || seq FROM s JOIN t ON s.parent = t.id)
 SELECT id, depth, path FROM t""",
     "singleton_drafts": f"""WITH {_CLUSTERED} SELECT node_id, 'keep' AS action, importance, p_size = 1 AS conflict_guarded, p_size = 1 OR importance >= 4.5 AS force_retain FROM clustered WHERE n = 1""",
     "cluster_drafts": f"""WITH {_CLUSTERED} SELECT cluster, CASE WHEN max(p_size) - min(p_size) >= 20 THEN 'refine' ELSE 'merge' END AS action,

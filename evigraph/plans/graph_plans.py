@@ -5,18 +5,21 @@ The foreign keys of the star schema stand in for concept edges where a query is
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.lexicon import LATIN
 from ..operators import ask as A
 from ..operators import chunking as C
+from ..operators import display as D
 from ..operators import graph as G
 from ..operators.components import connected_components
 from .tables import table
 
 TERM_LIMIT = 12
+#: Nodes shown of a graph.
+SHOWN = 60
 
 
 def _terms(spark: SparkSession, sf: str) -> DataFrame:
@@ -126,6 +129,30 @@ def edge_scores(spark: SparkSession, sf: str) -> DataFrame:
     return G.edge_scores(edges, weights).select("l_partkey", "l_suppkey", "relation", F.round("score", 6).alias("score"))
 
 
+def _brand_graphs(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """One graph for each brand: its parts, linked where a supplier's order lines of the brand follow each other."""
+    part = table(spark, sf, "part")
+    nodes = part.select(F.col("p_brand").alias("graph"), F.col("p_partkey").alias("node_id"), F.col("p_name").alias("name"), (2.24 + F.least("p_size", F.lit(10)) * 0.7).alias("base"))
+    lines = table(spark, sf, "lineitem").join(part.select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("graph")), "l_partkey")
+    follow = Window.partitionBy("graph", "l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_returnflag", "l_quantity")
+    lines = lines.withColumn("target", F.lead("l_partkey").over(follow)).where("target is not null and target <> l_partkey")
+    edges = lines.groupBy("graph", F.col("l_partkey").alias("source"), "target", "l_returnflag").agg(F.count("*").alias("n_evidence"), F.max("l_quantity").alias("q"))
+    relation = F.when(F.col("l_returnflag") == "A", "CAUSES").when(F.col("l_returnflag") == "N", "CONTAINS").otherwise("MENTIONED_IN")
+    edges = edges.withColumn("relation", relation).withColumn("confidence", F.col("q") / 50).withColumn("contextual", F.col("l_returnflag") == "R").withColumn("verified", F.col("q") > 25)
+    weights = spark.createDataFrame([("CAUSES", 2.3), ("CONTAINS", 1.4), ("MENTIONED_IN", 0.45)], "relation string, weight double")
+    seq = (F.col("source") * 10**9 + F.col("target")) * 3 + F.when(F.col("l_returnflag") == "A", 0).when(F.col("l_returnflag") == "N", 1).otherwise(2)
+    return nodes, G.edge_scores(edges, weights).select("graph", seq.cast("long").alias("seq"), "source", "target", F.round("score", 6).alias("score"), "contextual")
+
+
+def shown_nodes(spark: SparkSession, sf: str) -> DataFrame:
+    """The part of each brand's graph that is shown with 60 nodes; held against a walk in tests, as its choices are sequential."""
+    return D.display(*_brand_graphs(spark, sf), SHOWN)[0]
+
+
+def shown_edges(spark: SparkSession, sf: str) -> DataFrame:
+    return D.display(*_brand_graphs(spark, sf), SHOWN)[1].drop("contextual")
+
+
 def _star_scored(spark: SparkSession, sf: str) -> DataFrame:
     weights = spark.createDataFrame([("PART_OF", 0.9), ("CONTAINS", 0.7), ("IS_A", 0.8)], "relation string, weight double")
     edges = _star(spark, sf).withColumns({"contextual": F.col("relation") == "CONTAINS", "verified": F.col("confidence") > 0.6, "n_evidence": F.lit(1)})
@@ -169,7 +196,7 @@ def layer_summary(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        term_filter, section_terms, ground_evidence, keyword_edges, node_merge, edge_first_wins, context_hub, context_adjacent, next_previous, node_degree,
+        shown_nodes, shown_edges, term_filter, section_terms, ground_evidence, keyword_edges, node_merge, edge_first_wins, context_hub, context_adjacent, next_previous, node_degree,
         orphan_rollup, neighbour_top3, bfs_depth, shortest_path, components, edge_scores, display_nodes, display_edges, node_details, evidence_edges, layer_summary,
     )
 }
@@ -194,8 +221,11 @@ def _good(name: str) -> str:
     starts = " OR ".join(f"starts_with({name}, '{p}')" for p in LATIN.bad_prefixes)
     ends = " OR ".join(f"ends_with({name}, '{p}')" for p in LATIN.bad_endings)
     frags = " OR ".join(f"contains({name}, '{p}')" for p in LATIN.bad_fragments)
+    verbs = " OR ".join(f"contains({name}, '{v}')" for v in LATIN.bad_verbs)
+    particles = f"length({name}) - length(replace({name}, '{LATIN.particle}', ''))"
     return (
-        f"(length({name}) BETWEEN 2 AND 40 AND NOT regexp_matches({name}, '^[0-9]{{1,4}}$') AND NOT ({starts}) AND NOT ({ends}) AND NOT ({frags}) "
+        f"(NOT (length({name}) > 8 AND ({verbs})) AND NOT (length({name}) > 10 AND {particles} >= {2 * len(LATIN.particle)}) AND "
+        f"length({name}) BETWEEN 2 AND 40 AND NOT regexp_matches({name}, '^[0-9]{{1,4}}$') AND NOT ({starts}) AND NOT ({ends}) AND NOT ({frags}) "
         f"AND NOT regexp_matches({name}, '[。！？；;，,]') AND (length({name}) <= 18 OR regexp_matches({name}, '[A-Za-z]')) AND regexp_matches({name}, '[一-鿿A-Za-z]'))"
     )
 

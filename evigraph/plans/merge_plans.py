@@ -116,6 +116,15 @@ def allocate_budget(spark: SparkSession, sf: str) -> DataFrame:
     return N.allocate(_drafts(spark, sf), _limits(spark, sf, N.RATIO), "source", "doc_id")
 
 
+def shrink_budget(spark: SparkSession, sf: str) -> DataFrame:
+    """Openings of documents as definitions, for which sources have 60 characters each, or 9, which is below the least of the first pass."""
+    docs = table(spark, sf, "documents")
+    drafts = docs.select("source", "doc_id", F.round(-F.length("text") / 1000, 4).alias("order"), T.truncate(F.col("text"), 120).alias("definition"))
+    limits = docs.groupBy("source").agg((F.count("*") * F.when(F.ascii(F.substring("source", -1, 1)) % 2 == 0, 60).otherwise(9)).alias("limit"))
+    out = N.shrink(drafts, limits, "source", ["order", "doc_id"], "definition")
+    return out.select("source", "doc_id", F.length("definition").alias("chars"), F.md5("definition").alias("md5"))
+
+
 def compression_stats(spark: SparkSession, sf: str) -> DataFrame:
     n = F.length("text")
     action = F.when(n < 300, "remove").when(n < 900, "merge").when(n < 2500, "keep").when(n < 6000, "refine").otherwise("conflict")
@@ -192,7 +201,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         align_signals, align_candidates, align_clusters, cluster_confidence, canonical_name, alias_rows, importance, representative, evict_budget, allocate_budget,
-        compression_stats, integration_decisions, intent_class, action_from_text, node_hits, evidence_rerank, decision_override, props_json, upload_missing, graph_answers,
+        shrink_budget, compression_stats, integration_decisions, intent_class, action_from_text, node_hits, evidence_rerank, decision_override, props_json, upload_missing, graph_answers,
     )
 }
 
@@ -236,7 +245,18 @@ def _case(text: str, table_: list, other: str) -> str:
 
 _DRAFTS = "drafts AS (SELECT source, doc_id, length(text) AS length, least(length(text), 48) AS need, round(length(text) / 1000, 4) AS importance, length(text) < 4500 AS evictable FROM documents)"
 
+_CUT = "CASE WHEN length({0}) <= {1} THEN {0} ELSE regexp_replace(substr({0}, 1, {1} - 1), '[ ，,；;。]+$', '') || '…' END"
+
 ORACLE_SQL = {
+    "shrink_budget": f"""WITH lim AS (SELECT source, count(*) * CASE WHEN ascii(right(source, 1)) % 2 = 0 THEN 60 ELSE 9 END AS lim FROM documents GROUP BY source),
+d AS (SELECT source, doc_id, -round(length(text) / 1000, 4) AS o, {_CUT.format('text', 120)} AS t FROM documents),
+a AS (SELECT *, greatest(0, length(t) - 12) AS free, greatest(0, sum(length(t)) OVER (PARTITION BY source) - lim) AS over_all FROM d JOIN lim USING (source)),
+b AS (SELECT *, CAST(greatest(0, least(free, over_all - coalesce(sum(free) OVER (PARTITION BY source ORDER BY o DESC, doc_id DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))) AS BIGINT) AS gives,
+  CAST(greatest(0, over_all - sum(free) OVER (PARTITION BY source)) AS BIGINT) AS over_rest FROM a),
+c AS (SELECT source, doc_id, o, over_rest, CASE WHEN gives = 0 THEN t ELSE {_CUT.format('t', '(length(t) - gives)')} END AS t FROM b),
+e AS (SELECT *, CAST(greatest(0, least(greatest(0, length(t) - 1), over_rest - coalesce(sum(greatest(0, length(t) - 1)) OVER (PARTITION BY source ORDER BY o DESC, doc_id DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))) AS BIGINT) AS gives FROM c),
+f AS (SELECT source, doc_id, CASE WHEN gives = 0 THEN t ELSE {_CUT.format('t', '(length(t) - gives)')} END AS t FROM e)
+SELECT source, doc_id, CAST(length(t) AS INTEGER) AS chars, md5(t) AS md5 FROM f""",
     "align_signals": f"WITH {_SIGNALS} SELECT l, r, s_name, s_alias, round(s_definition, 4) AS s_definition, round(s_context, 4) AS s_context, round(s_neighbour, 4) AS s_neighbour, round(s_embedding, 4) AS s_embedding FROM sig",
     "align_candidates": f"WITH {_CANDS} SELECT l, r, confidence, relation, needs_review FROM cands",
     # align_clusters, cluster_confidence: recursion over whole classes is too slow; tests hold them against brute force

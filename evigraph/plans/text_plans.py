@@ -97,8 +97,8 @@ def best_quote(spark: SparkSession, sf: str) -> DataFrame:
     chunks = _chunks(spark, sf)
     top = I.top_k(_scored(spark, sf), 1).select("question_id", "chunk_id").join(chunks.select("chunk_id", "chunk"), "chunk_id")
     # sentences of this pack end with a stop
-    said = top.withColumn("chunk", F.regexp_replace("chunk", r"\.", "；"))
-    return I.best_quote(said, I.query_terms(questions, "question_id", "question", LATIN), "question_id", "chunk_id", "chunk")
+    said = top.withColumn("chunk", F.regexp_replace("chunk", r"\.", "；")).join(questions, "question_id")
+    return I.best_quote(said, I.query_terms(questions, "question_id", "question", LATIN), "question_id", "chunk_id", "chunk", question="question", markers=LATIN.quote_markers)
 
 
 def vector_topk(spark: SparkSession, sf: str) -> DataFrame:
@@ -244,6 +244,8 @@ rep AS (
   SELECT source, line FROM (SELECT source, line, count(*) AS c FROM (SELECT DISTINCT source, doc_id, line FROM body WHERE length(line) <= 40 AND (r <= 2 OR r > n - 2)) GROUP BY ALL)
   JOIN pages USING (source) WHERE c >= greatest(3, floor(pages / 4)))"""
 
+_WANTED = "CASE " + " ".join(f"WHEN {' OR '.join(f'contains(question, {chr(39)}{a}{chr(39)})' for a in asked)} THEN {list(said)}" for asked, said in LATIN.quote_markers) + " ELSE [] END"
+
 ORACLE_SQL = {
     "doc_lines": f"WITH {_LINES} SELECT * FROM lines",
     "doc_sections": f"""WITH {_LINES}, marked AS (
@@ -276,7 +278,8 @@ FROM turns WHERE question_id NOT IN (SELECT question_id FROM scored)""",
     SELECT question_id, chunk_id, list_filter(list_transform(regexp_extract_all(replace(chunk, '.', '；'), '[^。！？!?；;]*[。！？!?；;]|[^。！？!?；;]+$'), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '') AS s
     FROM ranked JOIN chunks USING (chunk_id))
 ), counted AS (
-  SELECT s.question_id, chunk_id, sentence, pos, (SELECT count(*) FROM qtf q WHERE q.question_id = s.question_id AND contains(s.sentence, q.term)) AS hits FROM said s)
+  SELECT s.question_id, chunk_id, sentence, pos, 5 * (SELECT count(*) FROM qtf q WHERE q.question_id = s.question_id AND contains(s.sentence, q.term))
+    + 2 * len(list_filter({_WANTED}, lambda m: contains(s.sentence, m))) AS hits FROM said s JOIN questions USING (question_id))
 SELECT question_id, chunk_id, substring(sentence, 1, 180) AS quote FROM counted
 QUALIFY row_number() OVER (PARTITION BY question_id, chunk_id ORDER BY hits DESC, pos) = 1""",
     "vector_topk": """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings)

@@ -5,7 +5,7 @@ Part names by brand stand in for the concepts of several books; documents for th
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -15,6 +15,7 @@ from ..operators import ask as A
 from ..operators import graph as G
 from ..operators import index as I
 from ..operators import integrate as N
+from ..operators import uploads as U
 from .tables import table
 from .text_plans import _rag, _ranked, _tf, _tokens, _vector
 
@@ -188,6 +189,29 @@ def upload_missing(spark: SparkSession, sf: str) -> DataFrame:
     return N.upload_progress(parts, sessions, "l_orderkey").withColumn("missing", F.array_join(F.col("missing").cast("array<string>"), ","))
 
 
+def _uploads(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Each order is a file sent as its lines, 12 bytes a part but for the last; some parts are empty, too long or sent twice, and
+    some files announce a digest or a size that is not theirs."""
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
+    lines = table(spark, sf, "lineitem").withColumn("part_no", F.row_number().over(order) - 1).withColumn("total", F.count("*").over(Window.partitionBy("l_orderkey")))
+    body = F.concat(F.lpad(F.col("l_partkey").cast("string"), 9, "0"), "l_returnflag", "l_linestatus", F.lit("|"))
+    sent = F.when(F.col("l_quantity") == 1, F.lit("")).when(F.col("l_quantity") == 2, F.concat(body, F.lit("+"))).when((F.col("l_quantity") == 3) & (F.col("part_no") == F.col("total") - 1), F.lit("end")).otherwise(body)
+    parts = lines.select(F.col("l_orderkey").alias("session_id"), "part_no", F.lit(1).alias("seq"), sent.alias("content"))
+    again = lines.where("l_quantity = 4").select("l_orderkey", "part_no", F.lit(2), F.lit("again-again-"))
+    keys = lines.groupBy(F.col("l_orderkey").alias("session_id")).agg(F.count("*").alias("total_parts"), F.sum(F.length(sent)).alias("bytes"))
+    sessions = keys.select("session_id", "total_parts", F.lit(12).alias("part_bytes"), (F.col("bytes") + F.when(F.col("session_id") % 11 == 0, 1).otherwise(0)).alias("total_bytes"), F.when(F.col("session_id") % 7 == 0, F.sha2(F.lit("other"), 256)).alias("sha256"))
+    return sessions, parts.union(again).withColumn("content", F.col("content").cast("binary"))
+
+
+def upload_assembly(spark: SparkSession, sf: str) -> DataFrame:
+    return U.assemble(*_uploads(spark, sf))
+
+
+def upload_errors(spark: SparkSession, sf: str) -> DataFrame:
+    judged = U.judged_parts(*_uploads(spark, sf))
+    return judged.groupBy(F.coalesce("error", F.lit("taken")).alias("error")).agg(F.count("*").alias("n"))
+
+
 def graph_answers(spark: SparkSession, sf: str) -> DataFrame:
     """What the best passage of the benchmark says to each document title, or the refusal."""
     titles = table(spark, sf, "part").select(F.col("p_partkey").alias("question_id"), F.col("p_type").alias("question"))
@@ -201,7 +225,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         align_signals, align_candidates, align_clusters, cluster_confidence, canonical_name, alias_rows, importance, representative, evict_budget, allocate_budget,
-        shrink_budget, compression_stats, integration_decisions, intent_class, action_from_text, node_hits, evidence_rerank, decision_override, props_json, upload_missing, graph_answers,
+        shrink_budget, compression_stats, integration_decisions, intent_class, action_from_text, node_hits, evidence_rerank, decision_override, props_json, upload_missing, upload_assembly, upload_errors, graph_answers,
     )
 }
 
@@ -245,9 +269,22 @@ def _case(text: str, table_: list, other: str) -> str:
 
 _DRAFTS = "drafts AS (SELECT source, doc_id, length(text) AS length, least(length(text), 48) AS need, round(length(text) / 1000, 4) AS importance, length(text) < 4500 AS evictable FROM documents)"
 
+_UPLOADS = """numbered AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) - 1 AS part_no, count(*) OVER (PARTITION BY l_orderkey) AS total,
+  lpad(CAST(l_partkey AS VARCHAR), 9, '0') || l_returnflag || l_linestatus || '|' AS body FROM lineitem),
+sent AS (SELECT l_orderkey AS session_id, part_no, total, l_quantity, CASE WHEN l_quantity = 1 THEN '' WHEN l_quantity = 2 THEN body || '+' WHEN l_quantity = 3 AND part_no = total - 1 THEN 'end' ELSE body END AS content FROM numbered),
+sessions AS (SELECT session_id, count(*) AS total_parts, sum(length(content)) + CASE WHEN session_id % 11 = 0 THEN 1 ELSE 0 END AS total_bytes FROM sent GROUP BY session_id),
+writes AS (SELECT session_id, part_no, total, 1 AS seq, content FROM sent UNION ALL SELECT session_id, part_no, total, 2, 'again-again-' FROM sent WHERE l_quantity = 4),
+judged AS (SELECT *, CASE WHEN content = '' THEN 'empty' WHEN length(content) > 12 THEN 'too_large' WHEN part_no < total - 1 AND length(content) <> 12 THEN 'size' ELSE 'taken' END AS error FROM writes),
+taken AS (SELECT session_id, part_no, last(content ORDER BY seq) AS content FROM judged WHERE error = 'taken' GROUP BY ALL)"""
 _CUT = "CASE WHEN length({0}) <= {1} THEN {0} ELSE regexp_replace(substr({0}, 1, {1} - 1), '[ ，,；;。]+$', '') || '…' END"
 
 ORACLE_SQL = {
+    "upload_errors": f"WITH {_UPLOADS} SELECT error, count(*) AS n FROM judged GROUP BY error",
+    "upload_assembly": f"""WITH {_UPLOADS}, got AS (SELECT session_id, count(*) AS n_parts, sum(length(content)) AS received, sha256(string_agg(content, '' ORDER BY part_no)) AS digest FROM taken GROUP BY session_id),
+state AS (SELECT s.*, coalesce(n_parts, 0) AS n_parts, CAST(coalesce(received, 0) AS BIGINT) AS received, digest, total_parts - coalesce(n_parts, 0) AS n_missing FROM sessions s LEFT JOIN got USING (session_id)),
+named AS (SELECT *, CASE WHEN n_missing > 0 THEN 'missing' WHEN received <> total_bytes THEN 'size_mismatch' WHEN session_id % 7 = 0 THEN 'sha256_mismatch' ELSE 'assembled' END AS status FROM state)
+SELECT session_id, n_parts, n_missing, received, CAST(CASE WHEN total_bytes > 0 THEN least(100, floor(received / total_bytes * 100)) ELSE 0 END AS INTEGER) AS progress, status,
+  CASE WHEN status = 'assembled' THEN digest END AS digest, CASE WHEN status = 'assembled' THEN 'upload_' || substr(digest, 1, 16) END AS file_id FROM named""",
     "shrink_budget": f"""WITH lim AS (SELECT source, count(*) * CASE WHEN ascii(right(source, 1)) % 2 = 0 THEN 60 ELSE 9 END AS lim FROM documents GROUP BY source),
 d AS (SELECT source, doc_id, -round(length(text) / 1000, 4) AS o, {_CUT.format('text', 120)} AS t FROM documents),
 a AS (SELECT *, greatest(0, length(t) - 12) AS free, greatest(0, sum(length(t)) OVER (PARTITION BY source) - lim) AS over_all FROM d JOIN lim USING (source)),

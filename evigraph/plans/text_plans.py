@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -9,10 +11,14 @@ from ..functions import text as T
 from ..functions.lexicon import LATIN
 from ..operators import chunking as C
 from ..operators import index as I
+from ..operators.scratch import shared_folder
+from ..operators.store import Store
 from .tables import table
 
 #: Lines of at most so many characters open a section in these queries, as the texts have no marks.
 SHORT_LINE = 24
+#: Files that the search of the stored index is about.
+SCOPE = ["src0", "src3", "src5", "src8", "src13"]
 
 
 def _docs(spark: SparkSession, sf: str) -> DataFrame:
@@ -79,6 +85,18 @@ def bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
     return I.top_k(scored, 5).select("question_id", "chunk_id", "rank", F.round("bm25", 4).alias("bm25"), F.round("coverage", 4).alias("coverage"))
 
 
+def stored_topk(spark: SparkSession, sf: str) -> DataFrame:
+    """Search of five files in a stored index: built in two batches, then every seventh document goes, and half of these come again."""
+    chunks = C.chunks(_docs(spark, sf), ("doc_id", "source")).withColumn("chunk_id", F.concat_ws("-", "doc_id", "chunk_no"))
+    store = Store(spark, f"{shared_folder(spark)}/index-{uuid.uuid4().hex}")
+    for part in ("doc_id % 3 = 0", "doc_id % 3 <> 0"):
+        store.add(chunks.where(part), "chunk_id", "source", "chunk")
+    store.remove(chunks.where("doc_id % 7 = 0"), "chunk_id")
+    store.add(chunks.where("doc_id % 14 = 0"), "chunk_id", "source", "chunk")
+    out = store.search(_questions(spark, sf), LATIN, 5, SCOPE)
+    return out.select("question_id", F.col("key").alias("chunk_id"), "rank", F.round("bm25", 4).alias("bm25"), F.round("coverage", 4).alias("coverage"))
+
+
 def hybrid_topk(spark: SparkSession, sf: str) -> DataFrame:
     out = I.top_k(_scored(spark, sf), 5)
     return out.select("question_id", "chunk_id", "rank", F.round("score", 4).alias("score"), F.round("vector", 4).alias("vector"), "relevance")
@@ -143,7 +161,7 @@ def truncated_text(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        doc_lines, doc_sections, doc_chunks, chunk_locators, token_tf, term_df, index_stats, hash_embedding, bm25_topk, hybrid_topk, refusal_gate,
+        doc_lines, doc_sections, doc_chunks, chunk_locators, token_tf, term_df, index_stats, hash_embedding, bm25_topk, stored_topk, hybrid_topk, refusal_gate,
         best_quote, vector_topk, locator_coverage, repeated_header_filter, row_windows_40, file_ids, sentence_stats, truncated_text,
     )
 }
@@ -266,6 +284,10 @@ FROM w JOIN spans s ON s.doc_id = w.doc_id AND s.char_start < w.char_end AND s.c
     "index_stats": f"WITH {_CHUNKS} SELECT lang, count(*) AS n_chunks, round(avg(CASE WHEN dl > 0 THEN dl END), 4) AS avgdl FROM (SELECT lang, len({_tokens('chunk')}) AS dl FROM chunks) GROUP BY ROLLUP (lang)",
     "hash_embedding": f"WITH {_tf('tf', 'documents', 'doc_id', 'text')}, {_vector('vec', 'tf', 'doc_id', None)} SELECT doc_id, bucket, round(w, 5) AS w FROM vec WHERE round(w, 5) <> 0",
     "bm25_topk": f"{_RAG}, {_ranked('bm25', 5)} SELECT question_id, chunk_id, rank, round(bm25, 4) AS bm25, round(coverage, 4) AS coverage FROM ranked",
+    "stored_topk": f"""WITH final_docs AS (SELECT * FROM documents WHERE doc_id % 7 <> 0 OR doc_id % 14 = 0),
+chunks AS (SELECT *, doc_id || '-' || chunk_no AS chunk_id FROM ({_windows('final_docs', 'doc_id, source')})), {_QUESTIONS}, {_rag('questions', 'chunks')}
+SELECT question_id, chunk_id, CAST(row_number() OVER (PARTITION BY question_id ORDER BY round(bm25, 6) DESC, chunk_id) AS INTEGER) AS rank, round(bm25, 4) AS bm25, round(coverage, 4) AS coverage
+FROM scored JOIN (SELECT chunk_id, source FROM chunks) USING (chunk_id) WHERE source IN ({', '.join(f"'{x}'" for x in SCOPE)}) QUALIFY rank <= 5""",
     "hybrid_topk": f"""{_RAG}, {_ranked('score', 5)} SELECT question_id, chunk_id, rank, round(score, 4) AS score, round(vector, 4) AS vector,
   round(least(1.0, score / max(score) OVER (PARTITION BY question_id)), 4) AS relevance FROM ranked""",
     "refusal_gate": f"""WITH turns AS (SELECT p_partkey AS question_id, p_name AS question FROM part),

@@ -74,6 +74,21 @@ def idf(n: Column, df: Column) -> Column:
     return F.log(1 + (n - df + 0.5) / (df + 0.5))
 
 
+def term_worth(tf: DataFrame, literal: DataFrame, counts: DataFrame, lengths: DataFrame, stats: DataFrame, key: str) -> DataFrame:
+    """key, term, worth, bonus (and what else lengths has): what a term adds to a record's score for each time that a question has it,
+    and once for a literal match. It is the same for every question, so it is reckoned before questions are joined.
+
+    tf: key, term, tf; literal: key, term; counts: term, df; lengths: key, dl; stats: one row with n_docs and avgdl.
+    """
+    both = tf.join(literal.withColumn("literal", F.lit(True)), [key, "term"], "full")
+    rows = both.join(counts, "term", "left").join(lengths, key).join(F.broadcast(stats))
+    times, length = F.coalesce("tf", F.lit(0)), F.greatest(F.col("dl"), F.lit(1))
+    gain = times * (K1 + 1) / (times + K1 * (1 - B + B * length / F.when(F.col("avgdl") > 0, F.col("avgdl")).otherwise(1.0)))
+    worth = idf(F.col("n_docs"), F.coalesce("df", F.lit(1))) * gain
+    rest = [c for c in lengths.columns if c not in (key, "dl")]
+    return rows.select(key, *rest, "term", worth.alias("worth"), F.when(F.col("literal"), LITERAL_BONUS).otherwise(0.0).alias("bonus"))
+
+
 def score(questions: DataFrame, records: DataFrame, pack: Lexicon, qkey: str = "question_id", question: str = "question", key: str = "chunk_id", text: str = "chunk", vectors: bool = True) -> DataFrame:
     """qkey, key, bm25, vector, score, coverage of every pair that shares a term.
 
@@ -81,26 +96,22 @@ def score(questions: DataFrame, records: DataFrame, pack: Lexicon, qkey: str = "
 
     Corpus statistics are those of all records, whatever is filtered later.
     """
-    tf = term_counts(records, key, text)
     terms = query_terms(questions, qkey, question, pack)
+    # only the questions' terms are grouped; lengths and their mean are counts within each record
+    found = records.select(key, F.explode(T.tokens(F.col(text))).alias("term")).join(terms.select("term").distinct(), "term", "left_semi")
+    tf = found.groupBy(key, "term").agg(F.count("*").alias("tf"))
     weight = terms.groupBy(qkey).agg(F.sum("qc").alias("qsum"))
-    lengths = tf.groupBy(key).agg(F.sum("tf").alias("dl"))
-    stats = index_stats(tf, records, key)
-    hits = terms.join(tf, "term").select(qkey, key, "term", "qc", "tf")
-    literal = terms.join(literal_matches(terms, records, key, text), "term").select(qkey, key, "term", "qc", F.lit(True).alias("literal"))
-    both = hits.withColumn("literal", F.lit(False)).unionByName(literal.withColumn("tf", F.lit(0).cast("long")))
-    pairs = both.groupBy(qkey, key, "term").agg(F.max("qc").alias("qc"), F.max("tf").alias("tf"), F.max("literal").alias("literal"))
-    pairs = pairs.join(document_frequencies(tf), "term", "left").join(lengths, key, "left").join(F.broadcast(stats))
-    length = F.greatest(F.coalesce("dl", F.lit(0)), F.lit(1))
-    gain = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * length / F.when(F.col("avgdl") > 0, F.col("avgdl")).otherwise(1.0)))
-    part = idf(F.col("n_docs"), F.coalesce("df", F.lit(1))) * gain * F.col("qc") + F.when(F.col("literal"), LITERAL_BONUS).otherwise(0.0)
-    lexical = pairs.groupBy(qkey, key).agg(F.sum(part).alias("bm25"), F.sum("qc").alias("matched"))
+    lengths = records.select(key, F.size(T.tokens(F.col(text))).cast("long").alias("dl"))
+    stats = lengths.agg(F.count("*").alias("n_docs"), F.coalesce(F.avg(F.when(F.col("dl") > 0, F.col("dl"))), F.lit(0.0)).alias("avgdl"))
+    literal = literal_matches(terms, records, key, text)
+    worth = term_worth(tf, literal, document_frequencies(tf), lengths, stats, key)
+    lexical = terms.join(worth, "term").groupBy(qkey, key).agg(F.sum(F.col("worth") * F.col("qc") + F.col("bonus")).alias("bm25"), F.sum("qc").alias("matched"))
     lexical = lexical.join(weight, qkey).withColumn("coverage", F.col("matched") / F.greatest(F.col("qsum"), F.lit(1)))
     gated = lexical.where(F.col("coverage") >= MIN_COVERAGE)
     if not vectors:
         return gated.select(qkey, key, "bm25", F.lit(0.0).alias("vector"), F.col("bm25").alias("score"), "coverage").where("score > 0")
     qvec = hash_embedding(terms.withColumnRenamed("qc", "tf"), qkey).withColumnRenamed("w", "qw")
-    dots = gated.select(qkey, key).join(hash_embedding(tf, key), key).join(qvec, [qkey, "bucket"]).groupBy(qkey, key).agg(F.sum(F.col("w") * F.col("qw")).alias("dot"))
+    dots = gated.select(qkey, key).join(hash_embedding(term_counts(records, key, text), key), key).join(qvec, [qkey, "bucket"]).groupBy(qkey, key).agg(F.sum(F.col("w") * F.col("qw")).alias("dot"))
     out = gated.join(dots, [qkey, key], "left").withColumn("vector", F.greatest(F.lit(0.0), F.coalesce("dot", F.lit(0.0))))
     return out.select(qkey, key, "bm25", "vector", (F.col("bm25") + VECTOR_WEIGHT * F.col("vector")).alias("score"), "coverage").where("score > 0")
 

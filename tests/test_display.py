@@ -5,6 +5,7 @@ import random
 import pytest
 
 from evigraph.operators import display as D
+from evigraph.plans import graph_plans
 
 
 def walk(nodes, edges, n):
@@ -73,3 +74,17 @@ def test_display_matches_a_walk(spark, n):
         want = walk([x[1:] for x in nodes if x[0] == g], [x[1:] for x in edges if x[0] == g], n)
         assert shown[g][0] == want[0], g
         assert shown[g][1] == want[1], g
+
+
+def test_shown_graphs_of_all_brands_match_a_walk(spark, monkeypatch):
+    monkeypatch.setattr(graph_plans, "SHOWN", 30)  # smaller than the given graphs
+    nodes, edges = (df.collect() for df in graph_plans._brand_graphs(spark, "/root/testdata/sf0.01"))
+    shown = {}
+    for r in sorted(graph_plans.shown_nodes(spark, "/root/testdata/sf0.01").collect(), key=lambda r: r.rank):
+        shown.setdefault(r.graph, ([], []))[0].append(r.node_id)
+    for r in sorted(graph_plans.shown_edges(spark, "/root/testdata/sf0.01").collect(), key=lambda r: r.place):
+        shown[r.graph][1].append(r.seq)
+    assert len(shown) == 25
+    for g, found in shown.items():
+        want = walk([(r.node_id, r.name, r.base) for r in nodes if r.graph == g], [(r.seq, r.source, r.target, r.score, r.contextual) for r in edges if r.graph == g], 30)
+        assert found == (want[0], want[1]), g

@@ -3,7 +3,14 @@
 import collections
 import random
 
+from pyspark.sql import functions as F
+
+from evigraph.functions import text as T
+from evigraph.operators import graph as G
 from evigraph.operators import linking as L
+from evigraph.plans import graph_plans, linking_plans
+
+SF = "/root/testdata/sf0.001"
 
 
 def walk(rows):
@@ -66,3 +73,11 @@ def test_endpoints_are_found_in_the_section_then_in_the_book_so_far(spark):
     }
     assert {r.book: (r.n_drafts, r.n_skipped) for r in L.misses(out).collect()} == {"b": (6, 4), "c": (1, 1)}
     assert L.resolved_edges(out).count() == 2
+
+
+def test_context_union_of_all_documents_matches_a_walk(spark):
+    source = {r.doc_id: r.source for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    grounded = G.ground(graph_plans._terms(spark, SF), graph_plans._chunks(spark, SF), "doc_id").withColumn("key", T.normalize_name(F.col("name"))).collect()
+    rows = [(source[r.doc_id], r.doc_id, r.key, r.pos, r.chunk_id) for r in grounded]
+    got = {(r.book, r.source, r.target, r.relation): (r.kind, r.section) for r in linking_plans.context_union(spark, SF).collect()}
+    assert got == walk(rows)

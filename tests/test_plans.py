@@ -9,7 +9,8 @@ SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 # those that take long even here are held against SQL by the driver at sf0.01
 # SQL is too slow over whole classes: test_whole_jobs.py has these against brute force
-NO_SQL = {"components", "align_clusters", "cluster_confidence"}
+# choices under caps are sequential: test_linking.py and test_display.py have these against walks
+NO_SQL = {"components", "align_clusters", "cluster_confidence", "context_union", "shown_nodes", "shown_edges"}
 QUICK = sorted(set(catalog.QUERIES) - NO_SQL - {"best_quote", "hybrid_topk", "layer_summary"})
 
 

@@ -12,7 +12,6 @@ from ..functions import text as T
 from ..functions.lexicon import LATIN
 from ..operators import align as L
 from ..operators import ask as A
-from ..operators import graph as G
 from ..operators import index as I
 from ..operators import integrate as N
 from ..operators import uploads as U

@@ -4,18 +4,21 @@ A tolerant tokenizer cuts the page into blocks of text with their place in the e
 classifier turns what is known of a block (elements and names above it, links, length, punctuation)
 into log-odds of being content, which are the capacities to the two terminals. Neighbours in page
 order and blocks under one parent are tied by smoothness capacities, larger the closer they are in
-the tree. The minimum cut, found by maximum flow in whole numbers, parts content from boilerplate.
+the tree; none is tied across the bounds of an advert, a notice or another element of that kind. The
+minimum cut, found by maximum flow in whole numbers, parts content from boilerplate. The work is linear
+in the page up to the flow, however deep its elements are nested.
 
 Nulls: null or empty html gives an empty text; a null key or url is kept. Empty tables give empty
 results. Broken markup is read as far as it goes: unclosed elements end with the page. Repeated rows
-are read each on its own. Pages of any length are read whole.
+are read each on its own. Pages of any length are read whole. Only the key, the url and the html are
+read, so other columns of any name can't clash and are not returned.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -29,12 +32,13 @@ TOKEN = re.compile(
 ATTRIBUTE = re.compile(r"""([^\s=/"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 
 # Elements of HTML by their role for the reader.
-UNSEEN = {"script", "style", "template", "noscript", "svg", "math", "head", "title", "iframe", "object", "canvas", "textarea", "select", "audio", "video"}
-RAW = {"script", "style", "textarea", "title", "iframe", "noscript"}
+UNSEEN = {"script", "style", "template", "noscript", "svg", "head", "title", "annotation", "annotation-xml", "iframe", "object", "canvas", "textarea", "select", "audio", "video"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {
     "a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q",
     "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var",
+    "math", "mi", "mn", "mo", "ms", "mtext", "mspace", "mrow", "mfrac", "msqrt", "mroot", "msub", "msup", "msubsup", "munder", "mover", "munderover",
+    "mtable", "mtr", "mtd", "mstyle", "mpadded", "mphantom", "menclose", "merror", "mmultiscripts", "mprescripts", "semantics",
 }
 ASIDE_TAGS = {"nav", "footer", "aside", "form", "menu", "dialog", "button", "fieldset"}
 MAIN_TAGS = {"article", "main"}
@@ -47,11 +51,22 @@ ASIDE_NAMES = {
     "recommendations", "pager", "pagination", "login", "search", "copyright", "toolbar", "tagcloud", "hidden", "topbar", "disclaimer",
     "complementary", "contentinfo", "form", "dialog",
 }
+#: Names of reader comments, and elements that never hold a page's article, however much of its text they hold.
+COMMENT_NAMES = {"comment", "comments", "commentlist", "disqus", "reply", "replies", "respond"}
+NEVER_WRAP = {"nav", "footer", "aside"}
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+#: As the id of a section in an article these are titles of the article's own.
+SECTION_IDS = {"discussion", "search", "navigation", "menu", "form", "dialog", "notification", "alert", "advertising", "promotion", "subscription", "copyright", "disclaimer", "login", "social"}
 HEAD_NAMES = {"header"}
 MAIN_NAMES = {"article", "content", "main", "post", "entry", "story", "maincontent", "articlebody", "body", "text"}
+#: Parts that may stand beside those in the name of an article.
+MAIN_PARTS = MAIN_NAMES | {"page", "wrapper", "container", "inner", "area", "blog", "single", "column", "primary", "full"}
+#: Elements that new list items, cells and the like close, and new elements of other kinds.
+BOUNDS = {"ul", "ol", "table", "dl", "article", "section", "div", "aside", "nav", "select"}
+P_BOUNDS = {"article", "section", "div", "aside", "nav", "td", "li", "table"}
 
 #: Parts of a name that say something of a page's state or layout, not of what the element is.
-STATE_NAMES = {"no", "not", "without", "has", "with", "is", "enabled", "disabled", "on", "off", "layout"}
+STATE_NAMES = {"no", "not", "without", "has", "with", "is", "enabled", "disabled", "on", "off", "open", "closed", "free", "layout"}
 #: Log-odds of the classifier, in hundredths (capacities are whole numbers): by kind of element around a
 #: block, and by the block itself. W_PLAIN is added where a page marks no article at all.
 W_ASIDE, W_NAMED, W_MAIN, W_HEADER, W_LINKS, W_LONG, W_SHORT, W_SENTENCE, W_TEXTUAL, W_BASE, W_PLAIN = -900, -650, 400, -500, -400, 120, -60, 80, 60, -40, 110
@@ -63,13 +78,18 @@ LONG_CHARS = 80
 
 
 class _Element:
-    """An element with the weights of its own tag and names; `held` is the text in it, in characters."""
+    """An element with the marks of its own tag and names.
 
-    __slots__ = ("tag", "parent", "aside", "main", "header", "held")
+    `near` has the open elements of each kind that a new element may close, up to the next bound.
+    `odds`, `inside` and `held` (its characters) are set once the page is read: see `_weigh`.
+    """
+
+    __slots__ = ("tag", "parent", "aside", "main", "header", "fixed", "in_main", "near", "depth", "held", "odds", "bar", "head", "inside")
 
     def __init__(self, tag: str, parent: _Element | None, attributes: str):
         self.tag, self.parent, self.held = tag, parent, 0
-        names: set[str] = set()
+        self.depth = parent.depth + 1 if parent else 0
+        tokens: list[tuple[str, list[str]]] = []
         hidden = False
         if attributes and tag not in ("html", "body"):
             for name, x, y, z in ATTRIBUTE.findall(attributes):
@@ -77,37 +97,61 @@ class _Element:
                 if name in ("class", "id", "role"):
                     for token in value.split():
                         parts = re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", token).lower())
-                        if not STATE_NAMES.intersection(parts):
-                            names.update(parts)
+                        if parts and not STATE_NAMES.intersection(parts):
+                            tokens.append((name, parts))
                 elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
                     hidden = True
+        within = parent.in_main if parent else False
+        if tag in HEADINGS:  # named after what it says
+            tokens = []
+        elif within and (tag == "section" or any(parts == ["section"] for _, parts in tokens)):
+            tokens = [(name, parts) for name, parts in tokens if name != "id" or not SECTION_IDS.intersection(parts)]
+        names = {part for _, parts in tokens for part in parts}
         self.aside = W_ASIDE if hidden or tag in ASIDE_TAGS else W_NAMED if names & ASIDE_NAMES else 0
-        self.main = tag in MAIN_TAGS or bool(names & MAIN_NAMES)
+        # a name marks an article only as a whole: sidebar-content is no content
+        self.main = not self.aside and (tag in MAIN_TAGS or any(MAIN_NAMES.intersection(parts) and MAIN_PARTS.issuperset(parts) for _, parts in tokens))
         self.header = tag == "header" or bool(names & HEAD_NAMES)
-
-    def odds(self, page: int) -> tuple[int, bool]:
-        """What the elements from this one up say of their text, and whether one marks an article.
-
-        An element that wraps the page counts for nothing but a mark; a header inside an article is its head.
-        """
-        aside = header = 0
-        main = False
-        e: _Element | None = self
-        while e is not None:
-            main = main or e.main
-            if e.held <= WRAPS * page or e.tag in ("nav", "footer"):
-                aside = min(aside, e.aside)
-                header = W_HEADER if e.header and not main and not _in_main(e) else header
+        self.fixed = tag in NEVER_WRAP or bool(names & COMMENT_NAMES)
+        self.in_main = within or self.main
+        if tag in BOUNDS or parent is None:
+            self.near: dict[str, _Element] = {}
+        else:
+            self.near = {**parent.near, tag: self} if tag in CLOSES else parent.near
+
+
+def _weigh(blocks: list[Block]) -> None:
+    """Sets what the elements from the root down say of their text.
+
+    An element that holds most of the page's text wraps the page and is no aside, whatever its name;
+    comments and the like never wrap it, and their text counts for no other. A header inside an article
+    is its head. `inside` is the innermost aside or header around a text, and no tie crosses its bounds.
+    """
+    seen: set[_Element] = set()
+    for b in blocks:
+        e: _Element | None = b.element
+        while e is not None and e not in seen:
+            seen.add(e)
             e = e.parent
-        return aside + header + W_MAIN * main, main
-
-
-def _in_main(e: _Element | None) -> bool:
-    while e is not None:
-        if e.main:
-            return True
-        e = e.parent
-    return False
+    order = sorted(seen, key=lambda e: e.depth)
+    fixed = {}
+    for e in order:
+        fixed[e] = e.fixed or (e.parent is not None and fixed[e.parent])
+    for b in blocks:
+        b.element.held += 0 if fixed[b.element] else len(b.text)
+    for e in reversed(order):
+        if e.parent is not None:
+            e.parent.held += e.held
+    page = order[0].held if order else 0
+    for e in order:
+        up = e.parent
+        bar, head, e.inside = (up.bar, up.head, up.inside) if up else (0, 0, None)
+        if not 0 < WRAPS * page < e.held or e.fixed:
+            if e.aside:
+                bar, e.inside = min(bar, e.aside), e
+            if e.header and not e.in_main:
+                head, e.inside = W_HEADER, e
+        e.bar, e.head = bar, 0 if e.main else head
+        e.odds = bar + e.head + W_MAIN * (e.in_main and not bar)
 
 
 class Block:
@@ -116,12 +160,12 @@ class Block:
     def __init__(self, text: str, element: _Element, linked: int):
         self.text, self.element, self.linked = text, element, linked
 
-    def odds(self, page: int, plain: bool) -> int:
+    def odds(self, plain: bool) -> int:
         n = len(self.text)
         share = self.linked / n
         odds = W_BASE + (W_LONG if n >= LONG_CHARS else W_SHORT) + W_PLAIN * plain
-        odds += self.element.odds(page)[0]
-        odds += int(W_LINKS * share) if share > 0.3 else 0
+        odds += self.element.odds
+        odds += int(W_LINKS * share) if share > 0.3 and not self.element.in_main else 0
         odds += W_SENTENCE if self.text[-1] in ".!?…:;\"'”»。！？" else 0
         odds += W_TEXTUAL if self.element.tag in ("p", "h1", "h2", "h3", "h4", "blockquote", "pre", "td", "dd", "figcaption") else 0
         return odds
@@ -133,6 +177,7 @@ def blocks_of(page: str) -> list[Block]:
     here = _Element("html", None, "")
     text: list[tuple[str, bool]] = []
     in_link = False
+    opened: Counter[str] = Counter()
     pos, end = 0, len(page)
 
     def flush() -> None:
@@ -140,21 +185,34 @@ def blocks_of(page: str) -> list[Block]:
             words = " ".join("".join(entities.unescape(t) for t, _ in text).split())
             if words:
                 linked = sum(len(entities.unescape(t).strip()) for t, link in text if link)
-                e: _Element | None = here
-                while e is not None:
-                    e.held += len(words)
-                    e = e.parent
                 out.append(Block(words, here, min(linked, len(words))))
             text.clear()
 
-    def close(tags: set[str], stop: set[str]) -> None:
+    def leave(e: _Element) -> None:
         nonlocal here
-        e: _Element | None = here
-        while e is not None and e.parent is not None and e.tag not in stop:
-            if e.tag in tags:
-                here = e.parent
-                return
-            e = e.parent
+        while here is not e:
+            opened[here.tag] -= 1
+            here = here.parent
+        opened[here.tag] -= 1
+        here = here.parent
+
+    def close(tag: str) -> None:
+        if opened[tag]:
+            e = here
+            while e.tag != tag:
+                e = e.parent
+            leave(e)
+
+    def before(tag: str) -> None:
+        """Closes what the start of this element ends."""
+        if tag in CLOSES:
+            found = [here.near[t] for t in CLOSES[tag] if t in here.near]
+            if found:
+                leave(max(found, key=lambda e: e.depth))
+        else:
+            e = here.near.get("p")
+            if e is not None and not any(t in here.near and here.near[t].depth > e.depth for t in P_BOUNDS):
+                leave(e)
 
     while pos < end:
         m = TOKEN.search(page, pos)
@@ -184,19 +242,19 @@ def blocks_of(page: str) -> list[Block]:
         flush()
         in_link = False
         if m[1]:
-            close({tag}, set())
+            close(tag)
         elif tag not in VOID:
-            if tag in CLOSES:
-                close(CLOSES[tag], {"ul", "ol", "table", "dl", "article", "section", "div", "aside", "nav", "select"})
-            else:
-                close({"p"}, {"article", "section", "div", "aside", "nav", "td", "li", "table"})
+            before(tag)
             if tag not in ("html", "body") and not m[3].endswith("/"):
                 here = _Element(tag, here, m[3])
+                opened[tag] += 1
     flush()
     return out
 
 
 def _tie(a: _Element, b: _Element) -> int:
+    if a.inside is not b.inside:
+        return 0
     if a is b or a.parent is b.parent:
         return TIE_PARENT
     near = a.parent is b or b.parent is a or (a.parent and b.parent and a.parent.parent is b.parent.parent)
@@ -268,16 +326,16 @@ def content(blocks: list[Block]) -> list[Block]:
     flow = Flow(n + 2)
     source, sink = n, n + 1
     last: dict[_Element | None, int] = {}
-    page = sum(len(b.text) for b in blocks)
-    plain = not any(b.element.odds(page)[1] for b in blocks)
+    _weigh(blocks)
+    plain = not any(b.element.in_main for b in blocks)
     for i, b in enumerate(blocks):
-        odds = b.odds(page, plain)
+        odds = b.odds(plain)
         flow.tie(source, i, odds) if odds > 0 else flow.tie(i, sink, -odds)
         if i:
             tie = _tie(blocks[i - 1].element, b.element)
             flow.tie(i - 1, i, tie, tie)
         before = last.get(b.element.parent)
-        if before is not None and before != i - 1:  # siblings with something else between them
+        if before is not None and before != i - 1 and blocks[before].element.inside is b.element.inside:  # siblings with something else between them
             flow.tie(before, i, TIE_NEAR, TIE_NEAR)
         last[b.element.parent] = i
     side = flow.source_side(source, sink)

@@ -245,9 +245,8 @@ def test_html_names_do_not_veto_and_stray_quotes_are_no_text(page, want):
 def test_html_cut_differs_from_the_signs_of_single_blocks():
     page = f"<div><p>{LONG}</p><div>and so</div><p>{LONG}</p></div><nav>Menu</nav><article></article>"
     blocks = htmltext.blocks_of(page)
-    size = sum(len(b.text) for b in blocks)
-    signs = [b.odds(size, False) > 0 for b in blocks]
     kept = htmltext.content(blocks)
+    signs = [b.odds(False) > 0 for b in blocks]
     assert [b.text for b in kept] == [LONG, "and so", LONG] and signs == [True, False, True, False]
 
 

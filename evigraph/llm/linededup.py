@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from .common import Scratch
 from .grouplinks import link_groups, pairs_across, shared
 
-MIN_WORDS, SIMILARITY = 5, 0.8
+MIN_WORDS, SIMILARITY = 4, 0.8
 #: Lines of up to SHORT words list pairs of words, those of BOTH words or more runs of RUN at anchors.
 SHORT, BOTH, ANCHORS, RUN = 14, 11, 10, 4
 #: Runs in reserve for those that very many lines list.

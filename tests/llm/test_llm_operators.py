@@ -481,7 +481,7 @@ def test_fuzzy_links_of_short_lines_match_edit_distance(spark):
     for i, j in itertools.combinations(range(len(rows)), 2):
         a, b = rows[i], rows[j]
         longest = max(len(a), len(b))
-        if a == b or min(len(a), len(b)) >= 5 and 5 * word_distance(a, b) <= longest:
+        if a == b or min(len(a), len(b)) >= 4 and 5 * word_distance(a, b) <= longest:
             at[max(find(i), find(j))] = min(find(i), find(j))
     df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(rows)], "doc_id long, text string")
     kept = {r.doc_id for r in linededup.dedup(df).collect()}

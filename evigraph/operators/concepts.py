@@ -7,8 +7,8 @@ clusters: cluster, name, confidence. candidates: candidate (id), l, r, relation,
 A cluster may hold any share of all nodes, so nothing is listed a cluster: members, redundant texts and
 decisions of a concept are tables of their own, one row each, and what a draft says of them is bounded (two
 supplements, two reasons, the number of redundant nodes). Ids of clusters' decisions and concepts are made from the cluster, those of
-single nodes from name and node. Nodes that members or candidates name but that do not exist are left out, as
-are clusters with fewer than two nodes; null names and texts are empty. Empty tables give empty results.
+single nodes from name and node. Ids of nodes are unique, and a node is in one cluster at most; nodes without an id are left out, as are nodes that members or candidates name but that do not exist, and
+clusters with fewer than two nodes. Null names and texts are empty. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -67,9 +67,15 @@ ZH = Wording(
 REDUNDANT_CHARS, LEAST_CONFIDENCE, MOST_CONFIDENCE, OTHER_CONFIDENCE = 80, 0.55, 0.86, 0.72
 
 
+def _known(nodes: DataFrame) -> DataFrame:
+    """Nodes with an id; null names and texts as empty ones."""
+    empty = {c: F.coalesce(c, F.lit("")) for c in ("name", "text")}
+    return nodes.where("node_id is not null").withColumns(empty)
+
+
 def conflicts(candidates: DataFrame, nodes: DataFrame, words: Wording = ZH) -> DataFrame:
     """A decision for each conflicting candidate whose nodes both exist: both texts stay until a teacher decides."""
-    side = lambda k: nodes.select(F.col("node_id").alias(k), *[F.col(c).alias(f"{k}_{c}") for c in ("group", "name", "n_chunks", "n_locators")])
+    side = lambda k: _known(nodes).select(F.col("node_id").alias(k), *[F.col(c).alias(f"{k}_{c}") for c in ("group", "name", "n_chunks", "n_locators")])
     met = candidates.where("relation = 'CONFLICTS_WITH'").join(side("l"), "l").join(side("r"), "r")
     return met.select(
         F.col("l_group").alias("group"), T.stable_id("integration_decision", F.lit("conflict"), F.col("candidate")).alias("decision_id"), "l", "r",
@@ -104,7 +110,7 @@ def placed_members(nodes: DataFrame, members: DataFrame, candidates: DataFrame,
     longest text, then the highest degree (weights: node_id, degree), then most evidence, then the first name and id.
     """
     degrees = nodes.select("node_id", F.lit(0).alias("degree")) if weights is None else weights
-    rows = members.select("cluster", "node_id", "pos").dropDuplicates(["cluster", "node_id"]).join(nodes, "node_id").join(degrees, "node_id", "left")
+    rows = members.select("cluster", "node_id", "pos").dropDuplicates(["cluster", "node_id"]).join(_known(nodes), "node_id").join(degrees, "node_id", "left")
     side = lambda c: members.select(F.col("node_id").alias(c), F.col("cluster").alias("cluster")).distinct()
     refined = candidates.where("relation = 'REFINES'").join(side("l"), "l").join(side("r"), ["r", "cluster"]).select("cluster").distinct()
     order = F.struct((-F.length("text")).alias("o1"), (-F.coalesce("degree", F.lit(0))).alias("o2"), (-F.col("n_chunks")).alias("o3"), "name", "node_id", "text")
@@ -129,7 +135,7 @@ def cluster_drafts(placed: DataFrame, clusters: DataFrame, candidates: DataFrame
     per = placed.join(mark, "node_id", "left").groupBy("group", "cluster", "action", "rep", "n_members").agg(
         F.round(F.sum("importance"), 4).alias("importance"), F.sum("n_chunks").alias("n_chunks"), F.sum("n_locators").alias("n_locators"), F.coalesce(F.bool_or("_g"), F.lit(False)).alias("guarded"),
     )
-    out = per.join(clusters, "cluster").join(adds, "cluster", "left").join(said, "cluster", "left")
+    out = per.join(clusters.withColumn("name", F.coalesce("name", F.lit(""))), "cluster").join(adds, "cluster", "left").join(said, "cluster", "left")
     refines = F.col("action") == "refine"
     why = F.when(F.length("said") > 0, F.col("said")).when(refines, words.refine_without).otherwise(words.merge_without)
     parts = (F.col("name"), F.col("rep.name"), (F.col("n_members") - 1).cast("string"), why)
@@ -143,7 +149,7 @@ def cluster_drafts(placed: DataFrame, clusters: DataFrame, candidates: DataFrame
 
 def single_drafts(nodes: DataFrame, placed: DataFrame, guarded: DataFrame, words: Wording = ZH) -> DataFrame:
     """A draft to keep for each node that no cluster covers; ends of conflicts and important nodes stay whatever the budget."""
-    alone = nodes.join(placed.select("node_id").distinct(), "node_id", "left_anti").join(guarded.withColumn("_g", F.lit(True)), "node_id", "left")
+    alone = _known(nodes).join(placed.select("node_id").distinct(), "node_id", "left_anti").join(guarded.withColumn("_g", F.lit(True)), "node_id", "left")
     held = F.coalesce("_g", F.lit(False))
     keeps = F.format_string(words.keep_reason, F.col("name"), F.col("importance").cast("double"), F.col("frequency").cast("long"))
     return alone.select(

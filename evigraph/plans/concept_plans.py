@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import concepts as C
+from ..operators.scratch import Tables
 from .tables import table
 from .text_plans import _tokens
 
@@ -30,6 +31,7 @@ class _Integration(NamedTuple):
 
 
 def _integration(spark: SparkSession, sf: str) -> _Integration:
+    tables = Tables(spark)  # what several steps read is made once
     labels = table(spark, sf, "labels").select("doc_id", "quality", "toxic")
     docs = table(spark, sf, "documents").select("doc_id", F.coalesce("lang", F.lit("")).alias("group"), T.collapse(F.col("text")).alias("whole")).join(labels, "doc_id", "left")
     docs = docs.withColumn("name", F.regexp_extract("whole", "^[^ ]*", 0))
@@ -48,9 +50,10 @@ def _integration(spark: SparkSession, sf: str) -> _Integration:
         F.concat_ws("-", "l_id", "r_id").alias("candidate"), F.col("l_id").cast("string").alias("l"), F.col("r_id").cast("string").alias("r"), "relation", F.lit(0.7).alias("confidence"),
         F.concat(F.col("l_id"), F.lit("/"), F.col("r_id"), F.lit(".")).alias("reason"), (F.col("l_id") * 100 + F.col("step")).alias("rank"),
     )
-    conflicts = C.conflicts(candidates, nodes)
+    candidates = tables.write("candidates", candidates)
+    conflicts = tables.write("conflicts", C.conflicts(candidates, nodes))
     guarded = C.guarded_nodes(conflicts)
-    placed = C.placed_members(nodes, members, candidates)
+    placed = tables.write("placed", C.placed_members(nodes, members, candidates))
     drafts = C.cluster_drafts(placed, clusters, candidates, guarded).unionByName(C.single_drafts(nodes, placed, guarded))
     return _Integration(nodes, candidates, conflicts, placed, drafts, nodes.groupBy("group").agg(F.sum("size").alias("original")))
 

@@ -33,16 +33,18 @@ class _Integration(NamedTuple):
 def _integration(spark: SparkSession, sf: str) -> _Integration:
     tables = Tables(spark)  # what several steps read is made once
     labels = table(spark, sf, "labels").select("doc_id", "quality", "toxic")
-    docs = table(spark, sf, "documents").select("doc_id", F.coalesce("lang", F.lit("")).alias("group"), T.collapse(F.col("text")).alias("whole")).join(labels, "doc_id", "left")
-    docs = docs.withColumn("name", F.regexp_extract("whole", "^[^ ]*", 0))
+    docs = table(spark, sf, "documents").select("doc_id", F.coalesce("lang", F.lit("")).alias("group"), T.collapse(F.col("text")).alias("whole"))
+    # whole texts stay where they are read: only openings and sizes are joined
+    docs = docs.select("doc_id", "group", F.regexp_extract("whole", "^[^ ]*", 0).alias("name"), T.truncate(F.col("whole"), CHARS).alias("text"), F.length("whole").alias("size"))
+    docs = tables.write("docs", tables.write("texts", docs).join(labels, "doc_id", "left"))
     nodes = docs.select(
-        "group", F.col("doc_id").cast("string").alias("node_id"), "name", T.truncate(F.col("whole"), CHARS).alias("text"), (F.floor(F.length("whole") / 100) / 10).alias("importance"),
+        "group", F.col("doc_id").cast("string").alias("node_id"), "name", "text", (F.floor(F.col("size") / 100) / 10).alias("importance"),
         F.lit(1).alias("frequency"), F.when(F.col("quality") == 1, 0.8).otherwise(0.5).alias("confidence"), F.lit(1).alias("n_chunks"),
-        F.when(F.col("toxic") == 1, 0).otherwise(1).alias("n_locators"), F.length("whole").alias("size"),
+        F.when(F.col("toxic") == 1, 0).otherwise(1).alias("n_locators"), "size",
     )
     members = docs.select(F.concat_ws("|", "group", "name").alias("cluster"), F.col("doc_id").cast("string").alias("node_id"), F.col("doc_id").alias("pos"))
     clusters = docs.select(F.concat_ws("|", "group", "name").alias("cluster"), "name", F.lit(0.9).alias("confidence")).distinct()
-    side = lambda p: docs.select(F.col("doc_id").alias(f"{p}_id"), *[F.col(c).alias(f"{p}_{c}") for c in ("group", "name", "quality")], F.length("whole").alias(f"{p}_n"))
+    side = lambda p: docs.select(F.col("doc_id").alias(f"{p}_id"), *[F.col(c).alias(f"{p}_{c}") for c in ("group", "name", "quality")], F.col("size").alias(f"{p}_n"))
     near = side("l").withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(NEAR)))).withColumn("r_id", F.col("l_id") + F.col("step")).join(side("r"), "r_id").where("l_group = r_group")
     long_, short = F.greatest("l_n", "r_n"), F.greatest(F.lit(1), F.least("l_n", "r_n"))
     relation = F.when((F.col("step") == 1) & (F.col("l_quality") != F.col("r_quality")), "CONFLICTS_WITH").when(F.col("l_name") == F.col("r_name"), F.when(long_ / short >= 1.55, "REFINES").otherwise("SAME_AS"))

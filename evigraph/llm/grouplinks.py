@@ -23,9 +23,9 @@ HUB_ROUNDS = 4
 TASK_ROWS = 500_000
 
 
-def _dealt(table: DataFrame) -> DataFrame:
-    """A written table in as few partitions as its counted rows call for: with one, nothing is shuffled."""
-    return table.coalesce(math.ceil(table.count() / TASK_ROWS) or 1)
+def _dealt(table: DataFrame, rows: int) -> DataFrame:
+    """A written table in as few partitions as its rows call for: with one, nothing is shuffled."""
+    return table.coalesce(math.ceil(rows / TASK_ROWS) or 1)
 
 
 def components(links: DataFrame, scratch: Scratch | None = None) -> DataFrame:
@@ -38,23 +38,30 @@ def components(links: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     each replaces that of the round before.
     """
     scratch = scratch or Scratch(links.sparkSession)
-    edges = _dealt(scratch.put("edges", links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()))
-    names = edges.select(F.explode(F.array("a", "b")).alias("id")).distinct().withColumn("comp", F.col("id"))
-    names = _dealt(scratch.put("names", names))
+    edges = scratch.put("edges", links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    # each round is few jobs: only edges are counted anew, and they bound what moves
+    left = edges.count()
+    edges = _dealt(edges, left)
+    names = scratch.put("names", edges.select(F.explode(F.array("a", "b")).alias("id")).distinct().withColumn("comp", F.col("id")))
+    nodes = names.count()
+    names = _dealt(names, nodes)
     turn = 0
-    while not edges.isEmpty():
+    while left:
         turn += 1
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        chance = F.xxhash64(F.lit(turn), "a").bitwiseAND(F.lit(0xFFFFFFFF))
+        # as a string the turn is no part of compiled code, which all turns then share
+        chance = F.xxhash64(F.lit(str(turn)), "a").bitwiseAND(F.lit(0xFFFFFFFF))
         ranks = both.groupBy("a").agg(F.count("*").alias("d")).select("a", (F.shiftleft("d", 32) + chance).alias("r"))
         seen = both.join(ranks.select(F.col("a").alias("b"), F.col("r").alias("rb")), "b").groupBy("a").agg(F.max("rb").alias("rb"), F.max_by("b", "rb").alias("to"))
-        move = _dealt(scratch.put("move", seen.join(ranks, "a").where("rb > r").select("a", "to")))
+        move = _dealt(scratch.put("move", seen.join(ranks, "a").where("rb > r").select("a", "to")), min(nodes, 2 * left))
         to_a, to_b = move.select("a", F.col("to").alias("ta")), move.select(F.col("a").alias("b"), F.col("to").alias("tb"))
         edges = edges.join(to_a, "a", "left").join(to_b, "b", "left")
         edges = edges.select(F.coalesce("ta", "a").alias("a"), F.coalesce("tb", "b").alias("b")).where("a <> b")
-        edges = _dealt(scratch.put("edges", edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()))
+        edges = scratch.put("edges", edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        left = edges.count()
+        edges = _dealt(edges, left)
         names = names.join(move.withColumnRenamed("a", "comp"), "comp", "left").select("id", F.coalesce("to", "comp").alias("comp"))
-        names = _dealt(scratch.put("names", names))
+        names = _dealt(scratch.put("names", names), nodes)
     scratch.drop("edges", "move")
     return names
 
@@ -71,37 +78,41 @@ def shared(members: DataFrame, cap: Column) -> DataFrame:
 
 
 def link_groups(
-    held: DataFrame, check: Callable[[DataFrame], DataFrame], finish: Callable[[DataFrame], DataFrame], scratch: Scratch, max_bits: str = "64"
-) -> DataFrame:
+    held: DataFrame, check: Callable[[DataFrame], DataFrame], finish: Callable[[DataFrame], DataFrame], scratch: Scratch, max_bits: str = "64",
+    comps: DataFrame | None = None, rounds: int = HUB_ROUNDS,
+) -> DataFrame:
     """held: key, id, n, cap, mark (long) -> id, comp of all ids with a link.
 
     Two members of a key can only link if the n of each is at most the cap of the other; where there is
     no such bound, give 0 for both. Marks that differ in more than max_bits bits rule a link out;
     max_bits is SQL with {0} and {1} for the n of both. check takes distinct pairs (a < b) and returns
     those that are links. finish takes the members (with comp) of groups that still hold several
-    classes and returns all links (a, b) between members of one key and of different classes.
+    classes and returns all links (a, b) between members of one key and of different classes. comps:
+    classes known before, if any, written as "comps" in scratch; they are in the result. rounds: with a
+    hub, before `finish`.
     """
-    comps = None
     own = Window.partitionBy("key")
     member = F.struct("id", "n", "cap", "mark", "comp")
-    for turn in range(HUB_ROUNDS + 1):
+    for turn in range(rounds + 1):
         named = held.withColumn("comp", F.col("id")) if comps is None else held.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-        if turn:
+        if comps is not None:
             named = named.withColumns({"_c0": F.min("comp").over(own), "_c1": F.max("comp").over(own)}).where("_c0 < _c1").drop("_c0", "_c1")
             named = scratch.put("held", named)
             if named.isEmpty():
                 break
-        if turn < HUB_ROUNDS:
+        if turn < rounds:
             # the member with the most room is the likeliest partner of the others
-            choice = F.col("cap") if turn == 0 else F.xxhash64(F.lit(turn), "id")
+            choice = F.col("cap") if turn == 0 else F.xxhash64(F.lit(str(turn)), "id")
             pairs = named.withColumn("hub", F.max_by(member, choice).over(own))
             pairs = pairs.where(f"comp <> hub.comp and n <= hub.cap and hub.n <= cap and bit_count(mark ^ hub.mark) <= {max_bits.format('n', 'hub.n')}")
             new = check(pairs.select(F.least("id", "hub.id").alias("a"), F.greatest("id", "hub.id").alias("b")).distinct())
         else:
             new = finish(named)
-        new = _dealt(scratch.put("links", new))
-        if not new.isEmpty() or comps is None:
-            comps = _dealt(scratch.put("comps", _merged(comps, new, scratch)))
+        new = scratch.put("links", new)
+        found = new.count()
+        if found or comps is None:
+            comps = scratch.put("comps", _merged(comps, _dealt(new, found), scratch))
+            comps = _dealt(comps, comps.count())
         held = named.drop("comp")
     scratch.drop_all(but=("comps",))
     return comps

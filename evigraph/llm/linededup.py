@@ -17,8 +17,9 @@ bits can't take the place of these runs: lines at this similarity differ in some
 average, and no blocks select by that (README).
 
 Parity bitmaps of the words, of which an edit flips at most two bits, rule out most other candidates
-before they are listed; `grouplinks` turns candidates into classes without all pairs of a group. Words
-are compared by 64-bit hashes; of each class the first occurrence, by doc_id and position, stays.
+before they are listed, so that only lines of the others are read again for their words. Small groups
+are compared in all pairs; `grouplinks` turns large ones into classes without these. Words are compared
+by 64-bit hashes; of each class the first occurrence, by doc_id and position, stays.
 
 Lines are named by a 64-bit hash of their words, and copies must also agree in a second hash. Nulls: a
 null text has no lines; a null doc_id comes first in the order. Lines without a word are never
@@ -31,11 +32,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch
-from .grouplinks import link_groups, pairs_across, shared
+from .grouplinks import components, link_groups, pairs_across, shared
 
 MIN_WORDS, SIMILARITY = 4, 0.8
 #: Lines of up to SHORT words list pairs of words, those of BOTH words or more runs of RUN at anchors.
@@ -46,12 +47,12 @@ SPARE = 6
 COMMON_CHARS = 4
 #: Buckets of runs that are counted (one byte each goes into the plan).
 BUCKETS = 1 << 16
-#: Longs of the wider parity bitmap.
-WIDE = 4
+#: Ids of a run up to which all its pairs are compared at once; larger groups go by hubs, so many rounds.
+SMALL, ROUNDS = 24, 2
 #: Copies of one line above which only its first occurrence lists runs; at most 1 / HEAVY of all lines.
 HEAVY = 1000
-#: Places of lines (one long each) that may be sent to every executor; above, the join is dealt by place.
-BROADCAST_ROWS = 2_000_000
+#: Lines or pairs (two longs each) that may be sent to every executor; above, the join is dealt out.
+BROADCAST_ROWS = 1_000_000
 
 
 def _words(line: Column) -> Column:
@@ -85,7 +86,8 @@ def _listed(n: str) -> str:
 
 def lines_of(docs: DataFrame, key: str, text: str) -> DataFrame:
     """_k, _t, pos, id, chk (hashes of the words), n (words), pairs and runs (that it lists, runs with some
-    in reserve) of every line with a word; a text without one has one row with a null id."""
+    in reserve), m0 and m1 (parity bitmaps of the words) of every line with a word; a text without one has
+    one row with a null id, and of each text exactly one row has position 0 or none."""
     lines = _texts(docs, key, text).select("_k", "_t", F.posexplode_outer(F.split("_x", "\n", -1)).alias("pos", "line"))
     lines = lines.select("_k", "_t", "pos", _once(_words(F.col("line"))).alias("w")).where("size(w) > 0 or pos is null or pos = 0")
     some = F.size("w") > 0
@@ -97,7 +99,9 @@ def lines_of(docs: DataFrame, key: str, text: str) -> DataFrame:
     pairs = f"if(n <= {SHORT}, slice(sort_array(array_distinct({pairs})), 1, {_listed('n')}), cast(array() as array<bigint>))"
     runs = ", ".join(f"xxhash64({RUN}, slice(h, cast(array_position(h, get(first, {i})) as int), {RUN}))" for i in range(ANCHORS + SPARE))
     runs = f"if(n >= {BOTH}, slice(array({runs}), 1, size(first)), cast(array() as array<bigint>))"
-    made = [F.expr(f"if(n >= {MIN_WORDS}, {x}, null)").alias(name) for name, x in (("pairs", pairs), ("runs", runs))]
+    # the lowest bit of a word's hash is its bitmap, the six bits below the highest are its place there
+    bits = [f"aggregate(h, 0L, (a, x) -> a ^ shiftleft({side} & 1L, cast(shiftrightunsigned(x, 57) & 63L as int)))" for side in ("x", "~x")]
+    made = [F.expr(f"if(n >= {MIN_WORDS}, {x}, null)").alias(name) for name, x in (("pairs", pairs), ("runs", runs), ("m0", bits[0]), ("m1", bits[1]))]
     return base.select("_k", "_t", "pos", "id", "chk", "n", *made)
 
 
@@ -116,6 +120,10 @@ def _common_runs(lines: DataFrame) -> str | None:
     return f"substring(cast('{marks.decode()}' as binary), cast(x & {BUCKETS - 1} as int) + 1, 1) = X'31'"
 
 
+#: SQL: the number of the character that stands for a word's hash x.
+CODE = "cast(pmod(x, 983040) as int)"
+
+
 def _codes(places: str) -> str:
     """SQL: a string with one character for each of the numbers (below 983040)."""
     return f"decode(unhex(array_join(transform({places}, x -> concat('000', hex(65536 + x))), '')), 'UTF-32')"
@@ -126,59 +134,79 @@ def _exact(h: str) -> str:
     return _codes(f"transform({h}, x -> array_position(both, x) % 983040)")
 
 
+def _place() -> Column:
+    """A hash of the place of a line."""
+    return F.xxhash64("_k", "_t", "pos")
+
+
+def _sent(df: DataFrame, rows: int) -> DataFrame:
+    """df, to be sent to every executor if it has few rows."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
+def _near_pairs(small: DataFrame, meet: str) -> DataFrame:
+    """The pairs (a, b) within each key that meet allows; of the other member, columns end in 2."""
+    columns = [c for c in small.columns if c != "key"]
+    lists = small.groupBy("key").agg(F.collect_list(F.struct(*columns)).alias("all"))
+    both = lists.select(F.explode("all").alias("x"), "all").select("x.*", F.explode("all").alias("y"))
+    both = both.select(*columns, *[F.col("y")[c].alias(f"{c}2") for c in columns]).where("id < id2 and n <= cap2 and n2 <= cap").where(meet)
+    return both.select(F.col("id").alias("a"), F.col("id2").alias("b")).distinct()
+
+
 def classes(lines: DataFrame, first: DataFrame, docs: DataFrame, key: str, text: str, scratch: Scratch) -> DataFrame:
-    """id, comp of the lines with a fuzzy link. lines as `lines_of` gives them, first: id and its first place."""
+    """id, comp of the lines with a fuzzy link. lines as `lines_of` gives them, first: a row for each id."""
     long_ = lines.where("pairs is not null")
-    heavy = first.where(F.col("c") > F.greatest(F.lit(HEAVY), F.col("total") / F.lit(HEAVY))).select("id", "chk", F.col("at").alias("_at"))
-    place = F.struct("_k", "_t", "pos")
-    long_ = long_.join(F.broadcast(heavy), ["id", "chk"], "left").where(F.col("_at").isNull() | (F.col("_at.at") == place))
+    heavy = first.where(F.col("c") > F.greatest(F.lit(HEAVY), F.col("total") / F.lit(HEAVY))).select("id", "chk", F.col("p").alias("_p0"))
+    long_ = long_.join(F.broadcast(heavy), ["id", "chk"], "left").where(F.col("_p0").isNull() | (F.col("_p0") == _place()))
     common = _common_runs(lines)
     runs = "runs" if common is None else f"concat(filter(runs, x -> not ({common})), filter(runs, x -> {common}))"
     members = long_.select("id", "n", F.explode(F.concat("pairs", F.expr(f"slice({runs}, 1, {ANCHORS})"))).alias("key"))
-    held = scratch.put("held", shared(members, F.floor(F.col("n") / SIMILARITY + 1e-9)))
-    own = scratch.put("own", _word_lists(held.select("id").distinct(), first, docs, key, text, scratch))
-    marks = scratch.put("marks", _marks(own))
-    held = scratch.put("held", held.join(marks.select("id", "mark"), "id"))
+    held = shared(members, F.floor(F.col("n") / SIMILARITY + 1e-9)).withColumn("ids", F.count("*").over(Window.partitionBy("key")))
+    marks = first.where("m0 is not null").select("id", F.col("m0").alias("mark"), "m1").dropDuplicates(["id"])
+    held = scratch.put("shared", held.join(marks, "id"))
 
-    side = lambda k, *c: own.select(F.col("id").alias(k), *[F.col(x).alias(f"{k}_{x}") for x in c])
     most = _edits("greatest(a_n, b_n)")
+    bits = f"2 * {_edits('greatest({0}, {1})')}"
+    both_marks = f"bit_count(mark ^ mark2) + bit_count(m1 ^ m12) <= {bits.format('n', 'n2')}"
+    pairs = scratch.put("pairs", _near_pairs(held.where(f"ids <= {SMALL}").drop("ids"), both_marks))
+    large = scratch.put("large", held.where(f"ids > {SMALL}").drop("ids"))
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).unionByName(large.select("id")).distinct()
+    own = scratch.put("own", _word_lists(ids, first, docs, key, text, scratch))
+
+    def sides(pairs: DataFrame, *columns: str) -> DataFrame:
+        """The written pairs with these columns of both lines; of the lines only those needed are dealt out."""
+        ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        needed = own.join(_sent(ids, pairs.count()), "id", "left_semi")
+        for k in "ab":
+            pairs = pairs.join(needed.select(F.col("id").alias(k), *[F.col(c).alias(f"{k}_{c}") for c in columns]), k)
+        return pairs
 
     def check(pairs: DataFrame) -> DataFrame:
         # characters by a part of the hash: equal ones for different words can only bring lines closer
-        near = pairs.join(side("a", "code", "n"), "a").join(side("b", "code", "n"), "b")
+        near = sides(scratch.put("asked", pairs), "code", "n")
         near = near.where(F.expr(f"abs(a_n - b_n) <= {most} and levenshtein(a_code, b_code, {most}) >= 0")).select("a", "b")
-        both = near.join(side("a", "h", "n"), "a").join(side("b", "h", "n"), "b")
-        # bound as a lambda's variable, the words of both are listed once and not for each word
-        apart = f"transform(array(array_distinct(concat(a_h, b_h))), both -> levenshtein({_exact('a_h')}, {_exact('b_h')}, {most}))[0]"
-        return both.where(F.expr(f"{apart} >= 0")).select("a", "b")
+        # bound as a lambda's variable, the words of both are listed once and not for each word; where no
+        # two of these have one character, the distance is right already
+        both = sides(scratch.put("close", near), "h", "n")
+        single = f"size(both) = size(array_distinct(transform(both, x -> {CODE})))"
+        apart = f"if({single}, 0, levenshtein({_exact('a_h')}, {_exact('b_h')}, {most}))"
+        return both.where(F.expr(f"transform(array(array_distinct(concat(a_h, b_h))), both -> {apart})[0] >= 0")).select("a", "b")
 
     def finish(named: DataFrame) -> DataFrame:
-        apart = " + ".join(f"bit_count(w{i} ^ w{i}2)" for i in range(WIDE))
-        near = pairs_across(named.join(marks.drop("mark"), "id"), bits, f"{apart} <= {bits.format('n', 'n2')}")
-        return check(scratch.put("near", near))
+        return check(pairs_across(named, bits, both_marks))
 
-    bits = f"2 * {_edits('greatest({0}, {1})')}"
-    return link_groups(held, check, finish, scratch, bits)
+    comps = scratch.put("comps", components(check(pairs), scratch))
+    return link_groups(large, check, finish, scratch, bits, comps, ROUNDS)
 
 
 def _word_lists(ids: DataFrame, first: DataFrame, docs: DataFrame, key: str, text: str, scratch: Scratch) -> DataFrame:
-    """id, n, h (hashes of the words) and code (a character for each word) of these lines, from the first
-    place of each."""
-    one = first.groupBy("id").agg(F.min("at")["at"].alias("at")).join(ids, "id", "left_semi")
-    places = scratch.put("places", one.select(F.xxhash64("at._k", "at._t", "at.pos").alias("_p")))
-    places = F.broadcast(places) if places.count() <= BROADCAST_ROWS else places
+    """id, n, h (hashes of the words) and code (a character for each word) of these lines, from a place of
+    each."""
+    places = scratch.put("places", first.join(ids, "id", "left_semi").select("id", F.col("p").alias("_p")))
     own = _texts(docs, key, text).select("_k", "_t", F.posexplode(F.split("_x", "\n", -1)).alias("pos", "line"))
-    own = own.withColumn("_p", F.xxhash64("_k", "_t", "pos")).join(places, "_p", "left_semi").select(_once(_words(F.col("line"))).alias("w"))
-    own = own.select(F.xxhash64("w").alias("id"), _once(F.transform("w", lambda x: F.xxhash64(x))).alias("h")).dropDuplicates(["id"])
-    return own.select("id", F.size("h").alias("n"), "h", F.expr(_codes("transform(h, x -> pmod(x, 983040))")).alias("code"))
-
-
-def _marks(own: DataFrame) -> DataFrame:
-    """id, mark and w0 to w3: parity bits of the words of each line, in one long and in WIDE of them."""
-    bit = lambda at: F.expr(f"shiftleft(1L, cast(shiftrightunsigned(x, {at}) & 63 as int))")
-    part = F.shiftrightunsigned("x", 12).bitwiseAND(F.lit(WIDE - 1))
-    wide = [F.bit_xor(F.when(part == i, bit(6)).otherwise(F.lit(0))).alias(f"w{i}") for i in range(WIDE)]
-    return own.select("id", F.explode("h").alias("x")).groupBy("id").agg(F.bit_xor(bit(0)).alias("mark"), *wide)
+    own = own.withColumn("_p", _place()).join(_sent(places, places.count()), "_p").select("id", "line").dropDuplicates(["id"])
+    own = own.select("id", _once(_words(F.col("line"))).alias("w")).select("id", _once(F.transform("w", lambda x: F.xxhash64(x))).alias("h"))
+    return own.select("id", F.size("h").alias("n"), "h", F.expr(_codes(f"transform(h, x -> {CODE})")).alias("code"))
 
 
 def removals(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -186,20 +214,22 @@ def removals(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     scratch = Scratch(docs.sparkSession)
     lines = scratch.put("lines", lines_of(docs, key, text))
     held = lines.where("id is not null")
-    # a null key comes first
-    at = F.struct(F.col("_k").isNotNull().alias("known"), F.struct("_k", "_t", "pos").alias("at"))
-    first = held.groupBy("id", "chk").agg(F.count("*").alias("c"), F.min(at).alias("at"))
+    # numbers only, so that it is summed up by hash; m0 and m1 are the same for all copies
+    first = held.groupBy("id", "chk").agg(F.count("*").alias("c"), F.min(_place()).alias("p"), F.min("m0").alias("m0"), F.min("m1").alias("m1"))
     total = lines.groupBy().agg(F.count("*").alias("total"))
     first = scratch.put("first", first.join(F.broadcast(total)))
     comps = classes(lines, first, docs, key, text, Scratch(docs.sparkSession))
     # only classes with two occurrences or more lose any
     cls = F.struct(F.coalesce("comp", "id").alias("cls"), F.when(F.col("comp").isNull(), F.col("chk")).alias("chk"))
-    named = first.join(comps, "id", "left").where("comp is not null or c > 1").select("id", "chk", "at", cls.alias("cls"))
-    kept = named.groupBy("cls").agg(F.min("at")["at"].alias("kept"))
-    named = named.join(kept, "cls").select("id", "chk", "kept")
-    gone = held.select("_k", "_t", "pos", "id", "chk").join(named, ["id", "chk"]).where(F.struct("_k", "_t", "pos") != F.col("kept"))
+    named = first.join(comps, "id", "left").where("comp is not null or c > 1").select("id", "chk", cls.alias("cls"))
+    found = scratch.put("found", held.select("_k", "_t", "pos", "id", "chk").join(named, ["id", "chk"]).select("_k", "_t", "pos", "cls"))
+    # a null key comes first
+    at = F.struct(F.col("_k").isNotNull().alias("known"), F.struct("_k", "_t", "pos").alias("at"))
+    kept = found.groupBy("cls").agg(F.min(at)["at"].alias("kept"))
+    gone = found.join(kept, "cls").where(F.struct("_k", "_t", "pos") != F.col("kept"))
     gone = gone.groupBy("_k", "_t").agg(F.sort_array(F.collect_set("pos")).alias("removed"))
-    counts = lines.groupBy("_k", "_t").agg(F.count_distinct(F.when(F.col("id").isNotNull(), F.col("pos"))).alias("n_lines"))
+    # rows equal in key and text have the same lines and one row each that starts the text
+    counts = lines.groupBy("_k", "_t").agg(F.expr("count(id) div count_if(coalesce(pos, 0) = 0)").alias("n_lines"))
     own = gone.select(F.col("_k").alias("_k2"), F.col("_t").alias("_t2"), "removed")
     out = counts.join(own, F.col("_k").eqNullSafe(F.col("_k2")) & (F.col("_t") == F.col("_t2")), "left")
     out = out.select("_k", "_t", "n_lines", F.coalesce("removed", F.array().cast("array<int>")).alias("removed"))

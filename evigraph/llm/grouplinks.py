@@ -10,7 +10,8 @@ lost and the classes are those of all links.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,6 +22,8 @@ from .common import Scratch
 HUB_ROUNDS = 4
 #: Rows (a few longs each) for which one task is enough; larger tables are dealt out.
 TASK_ROWS = 500_000
+#: What a round compares of a member.
+MEMBER = ("id", "n", "cap", "mark", "comp")
 
 
 def _dealt(table: DataFrame, rows: int) -> DataFrame:
@@ -77,9 +80,19 @@ def shared(members: DataFrame, cap: Column) -> DataFrame:
     return seen.where("_lo < _hi").withColumn("cap", cap).where("cap >= _least").drop("_lo", "_hi", "_least").dropDuplicates(["key", "id"])
 
 
+def hub(choice: Column) -> Column:
+    """The member of a group in which choice is greatest, as the partner of all others."""
+    return F.max_by(F.struct(*MEMBER), choice).over(Window.partitionBy("key"))
+
+
+def before(order: Column) -> Column:
+    """The member of a group that comes before each in this order, as its partner."""
+    return F.lag(F.struct(*MEMBER)).over(Window.partitionBy("key").orderBy(order))
+
+
 def link_groups(
     held: DataFrame, check: Callable[[DataFrame], DataFrame], finish: Callable[[DataFrame], DataFrame], scratch: Scratch, max_bits: str = "64",
-    comps: DataFrame | None = None, rounds: int = HUB_ROUNDS,
+    comps: DataFrame | None = None, rounds: Sequence[Sequence[Column]] | None = None,
 ) -> DataFrame:
     """held: key, id, n, cap, mark (long) -> id, comp of all ids with a link.
 
@@ -88,24 +101,24 @@ def link_groups(
     max_bits is SQL with {0} and {1} for the n of both. check takes distinct pairs (a < b) and returns
     those that are links. finish takes the members (with comp) of groups that still hold several
     classes and returns all links (a, b) between members of one key and of different classes. comps:
-    classes known before, if any, written as "comps" in scratch; they are in the result. rounds: with a
-    hub, before `finish`.
+    classes known before, if any, written as "comps" in scratch; they are in the result. rounds: the
+    partners (`hub`, `before`) that each member is checked against in each round before `finish`.
     """
+    if rounds is None:
+        # the member with the most room is the likeliest partner of the others
+        rounds = [[hub(F.col("cap") if turn == 0 else F.xxhash64(F.lit(str(turn)), "id"))] for turn in range(HUB_ROUNDS)]
     own = Window.partitionBy("key")
-    member = F.struct("id", "n", "cap", "mark", "comp")
-    for turn in range(rounds + 1):
+    for turn in range(len(rounds) + 1):
         named = held.withColumn("comp", F.col("id")) if comps is None else held.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
         if comps is not None:
             named = named.withColumns({"_c0": F.min("comp").over(own), "_c1": F.max("comp").over(own)}).where("_c0 < _c1").drop("_c0", "_c1")
             named = scratch.put("held", named)
             if named.isEmpty():
                 break
-        if turn < rounds:
-            # the member with the most room is the likeliest partner of the others
-            choice = F.col("cap") if turn == 0 else F.xxhash64(F.lit(str(turn)), "id")
-            pairs = named.withColumn("hub", F.max_by(member, choice).over(own))
-            pairs = pairs.where(f"comp <> hub.comp and n <= hub.cap and hub.n <= cap and bit_count(mark ^ hub.mark) <= {max_bits.format('n', 'hub.n')}")
-            new = check(pairs.select(F.least("id", "hub.id").alias("a"), F.greatest("id", "hub.id").alias("b")).distinct())
+        if turn < len(rounds):
+            meet = f"comp <> hub.comp and n <= hub.cap and hub.n <= cap and bit_count(mark ^ hub.mark) <= {max_bits.format('n', 'hub.n')}"
+            pairs = [named.withColumn("hub", x).where(meet).select(F.least("id", "hub.id").alias("a"), F.greatest("id", "hub.id").alias("b")) for x in rounds[turn]]
+            new = check(reduce(DataFrame.unionByName, pairs).distinct())
         else:
             new = finish(named)
         new = scratch.put("links", new)

@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch
-from .grouplinks import components, link_groups, pairs_across, shared
+from .grouplinks import before, components, hub, link_groups, pairs_across, shared
 
 MIN_WORDS, SIMILARITY = 4, 0.8
 #: Lines of up to SHORT words list pairs of words, those of BOTH words or more runs of RUN at anchors.
@@ -47,8 +47,8 @@ SPARE = 6
 COMMON_CHARS = 4
 #: Buckets of runs that are counted (one byte each goes into the plan).
 BUCKETS = 1 << 16
-#: Ids of a run up to which all its pairs are compared at once; larger groups go by hubs, so many rounds.
-SMALL, ROUNDS = 24, 2
+#: Ids of a run up to which all its pairs are compared at once; larger groups go by hubs.
+SMALL = 24
 #: Copies of one line above which only its first occurrence lists runs; at most 1 / HEAVY of all lines.
 HEAVY = 1000
 #: Lines or pairs (two longs each) that may be sent to every executor; above, the join is dealt out.
@@ -122,6 +122,8 @@ def _common_runs(lines: DataFrame) -> str | None:
 
 #: SQL: the number of the character that stands for a word's hash x.
 CODE = "cast(pmod(x, 983040) as int)"
+#: SQL: 16 bits for place i (from 0) of sorted hashes s, x the one there: they tell its occurrences apart.
+PART = "cast(pmod(xxhash64(x, i + 1 - array_position(s, x)), 65536) - 32768 as smallint)"
 
 
 def _codes(places: str) -> str:
@@ -153,6 +155,16 @@ def _near_pairs(small: DataFrame, meet: str) -> DataFrame:
     return both.select(F.col("id").alias("a"), F.col("id2").alias("b")).distinct()
 
 
+def _partners() -> list[Column]:
+    """Whom each member of a large group is checked against at first.
+
+    Lines that hold one passage are nearest to the one with the least else; where a class has very many
+    links to another, a few members in any order will show one.
+    """
+    chance = [F.xxhash64(F.lit(str(i)), "id") for i in range(2)]
+    return [hub(F.col("cap")), hub(F.struct(-F.col("n"), "id")), before(F.struct("n", "id")), *map(before, chance)]
+
+
 def classes(lines: DataFrame, first: DataFrame, docs: DataFrame, key: str, text: str, scratch: Scratch) -> DataFrame:
     """id, comp of the lines with a fuzzy link. lines as `lines_of` gives them, first: a row for each id."""
     long_ = lines.where("pairs is not null")
@@ -193,20 +205,24 @@ def classes(lines: DataFrame, first: DataFrame, docs: DataFrame, key: str, text:
         return both.where(F.expr(f"transform(array(array_distinct(concat(a_h, b_h))), both -> {apart})[0] >= 0")).select("a", "b")
 
     def finish(named: DataFrame) -> DataFrame:
-        return check(pairs_across(named, bits, both_marks))
+        # an edit takes at most one word from either line; on long lines bitmaps are too full to tell
+        lacks = f"greatest(size(words), size(words2)) - size(array_intersect(words, words2)) <= {_edits('greatest(n, n2)')}"
+        named = named.join(own.select("id", "words"), "id")
+        return check(pairs_across(named, bits, f"{both_marks} and {lacks}"))
 
     comps = scratch.put("comps", components(check(pairs), scratch))
-    return link_groups(large, check, finish, scratch, bits, comps, ROUNDS)
+    return link_groups(large, check, finish, scratch, bits, comps, [_partners()])
 
 
 def _word_lists(ids: DataFrame, first: DataFrame, docs: DataFrame, key: str, text: str, scratch: Scratch) -> DataFrame:
-    """id, n, h (hashes of the words) and code (a character for each word) of these lines, from a place of
-    each."""
+    """id, n, h (hashes of the words), code (a character for each word) and words (16 bits for each
+    occurrence of a word, once) of these lines, from a place of each."""
     places = scratch.put("places", first.join(ids, "id", "left_semi").select("id", F.col("p").alias("_p")))
     own = _texts(docs, key, text).select("_k", "_t", F.posexplode(F.split("_x", "\n", -1)).alias("pos", "line"))
     own = own.withColumn("_p", _place()).join(_sent(places, places.count()), "_p").select("id", "line").dropDuplicates(["id"])
     own = own.select("id", _once(_words(F.col("line"))).alias("w")).select("id", _once(F.transform("w", lambda x: F.xxhash64(x))).alias("h"))
-    return own.select("id", F.size("h").alias("n"), "h", F.expr(_codes(f"transform(h, x -> {CODE})")).alias("code"))
+    words = f"transform(array(sort_array(h)), s -> array_distinct(transform(s, (x, i) -> {PART})))[0]"
+    return own.select("id", F.size("h").alias("n"), "h", F.expr(_codes(f"transform(h, x -> {CODE})")).alias("code"), F.expr(words).alias("words"))
 
 
 def removals(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -59,3 +59,50 @@ def test_repeated_rows_and_null_keys_count_once(spark):
     out = linededup.removals(spark.createDataFrame(rows, "doc_id long, text string"))
     got = {(r._k, r.n_lines, tuple(r.removed)) for r in out.collect()}
     assert got == {(None, 3, (2,)), (2, 1, (0,)), (3, 0, ()), (4, 0, ())}
+
+
+def compared(monkeypatch):
+    """The pairs of large groups that are left for the last comparison of words."""
+    found = []
+    held = linededup.pairs_across
+    monkeypatch.setattr(linededup, "pairs_across", lambda *a: found.append(held(*a).count()) or held(*a))
+    return found
+
+
+def test_long_lines_that_only_share_a_passage_are_not_compared(spark, monkeypatch):
+    rnd = random.Random(7)
+    word = lambda: "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(8))
+    passage = [word() for _ in range(160)]
+    # a third of the words differ, which bitmaps of 128 bits can't tell from a fifth
+    lines = [" ".join([*(word() for _ in range(40)), *passage, *(word() for _ in range(40))]) for _ in range(80)]
+    found = compared(monkeypatch)
+    kept = linededup.dedup(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string"))
+    assert kept.count() == 80
+    assert sum(found) <= 80
+
+
+def test_lines_around_a_passage_against_all_pairs(spark, monkeypatch):
+    rnd = random.Random(8)
+    passage = [f"passage{i}" for i in range(40)]
+    own = lambda: [f"own{rnd.randrange(10**6)}" for _ in range(rnd.randrange(9))]
+    lines = [[*own(), *passage, *own()] for _ in range(90)]
+
+    def apart(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row = row, [i]
+            for j, y in enumerate(b, 1):
+                row.append(min(row[-1] + 1, last[j] + 1, last[j - 1] + (x != y)))
+        return row[-1]
+
+    comp, links = list(range(len(lines))), 0
+    for i in range(len(lines)):
+        for j in range(i):
+            if 5 * apart(lines[i], lines[j]) <= max(len(lines[i]), len(lines[j])):
+                links += 1
+                x, y = sorted((comp[i], comp[j]))
+                comp = [x if c == y else c for c in comp]
+    found = compared(monkeypatch)
+    kept = linededup.dedup(spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(lines)], "doc_id long, text string"))
+    assert {r.doc_id for r in kept.collect()} == set(comp)
+    assert links > 1000 and sum(found) <= links / 10

@@ -18,7 +18,8 @@ average, and no blocks select by that (README).
 
 Parity bitmaps of the words, of which an edit flips at most two bits, rule out most other candidates
 before they are listed, so that only lines of the others are read again for their words. Small groups
-are compared in all pairs; `grouplinks` turns large ones into classes without these. Words are compared
+are compared in all pairs; `grouplinks` turns large ones into classes, and there the words of two lines,
+each as often as it occurs, rule out most of what bitmaps let pass. Words are compared
 by 64-bit hashes; of each class the first occurrence, by doc_id and position, stays.
 
 Lines are named by a 64-bit hash of their words, and copies must also agree in a second hash. Nulls: a

@@ -64,44 +64,43 @@ def allocate(drafts: DataFrame, limits: DataFrame, group: str, key: str, weight:
     items = drafts.select(
         group, (-F.col(weight)).cast("double").alias("_o"), F.col(key), F.greatest(F.lit(1.0), F.col(weight)).cast("double").alias("_w"), F.col(length).cast("long").alias("_n")
     ).join(limits.select(group, F.col("limit").cast("long").alias("_limit")), group)
-    ordered = lambda df: df.repartition(group).sortWithinPartitions(group, "_o", key, "_w", "_n")
-    totals = ordered(items).mapInArrow(lambda batches: _weights(batches, group), f"`{group}` {types[group]}, _weight double, _rest long")
-    return ordered(items.join(totals, group)).mapInArrow(lambda batches: _shares(batches, group, key, least), f"`{group}` {types[group]}, `{key}` {types[key]}, chars long")
+    # grouped, as only then the plan has to keep a group's rows together: a map over partitions may read them split
+    ordered = lambda df: df.repartition(group).sortWithinPartitions(group, F.asc_nulls_last("_o"), key, "_w", "_n").groupBy(group)
 
+    def weights(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _weights(batches, group)
 
-def _weights(batches: Iterator[pa.RecordBatch], group: str) -> Iterator[pa.RecordBatch]:
-    """group, _weight, _rest (number of drafts) of rows sorted by group."""
-    at, weight, n, kind = None, 0.0, 0, None
+    def shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _shares(batches, group, key, least)
+
+    totals = ordered(items).applyInArrow(weights, f"`{group}` {types[group]}, _weight double, _rest long")
+    return ordered(items.join(totals, group)).applyInArrow(shares, f"`{group}` {types[group]}, `{key}` {types[key]}, chars long")
 
-    def row() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([at], kind), pa.array([weight], pa.float64()), pa.array([n], pa.int64())], [group, "_weight", "_rest"])
 
+def _weights(batches: Iterator[pa.RecordBatch], group: str) -> Iterator[pa.RecordBatch]:
+    """group, _weight, _rest (number of drafts) of the sorted rows of a group."""
+    own, weight, n = None, 0.0, 0
     for batch in batches:
-        kind = batch.column(group).type
-        for g, w in zip(batch.column(group).to_pylist(), batch.column("_w").to_pylist()):
-            if n and g != at:
-                yield row()
-                weight, n = 0.0, 0
-            at, weight, n = g, weight + w, n + 1
-    if n:
-        yield row()
+        own = batch.column(group).slice(0, 1) if own is None else own
+        for w in batch.column("_w").to_pylist():
+            weight, n = weight + w, n + 1
+    yield pa.RecordBatch.from_arrays([own, pa.array([weight], pa.float64()), pa.array([n], pa.int64())], [group, "_weight", "_rest"])
 
 
 def _shares(batches: Iterator[pa.RecordBatch], group: str, key: str, least: int) -> Iterator[pa.RecordBatch]:
-    """group, key, chars of rows sorted by group and order."""
-    at, left, weight, rest = None, 0, 0.0, 0
+    """group, key, chars of the sorted rows of a group."""
+    left, weight, rest = None, 0.0, 0
     for batch in batches:
-        own, chars = [batch.column(c) for c in (group, key)], []
-        columns = (batch.column(c).to_pylist() for c in (group, "_w", "_n", "_limit", "_weight", "_rest"))
-        for g, w, n, limit, total, count in zip(*columns):
-            if rest == 0 or g != at:
-                at, left, weight, rest = g, limit, total, count
+        chars = []
+        if left is None:
+            left, weight, rest = (batch.column(c)[0].as_py() for c in ("_limit", "_weight", "_rest"))
+        for w, n in zip(batch.column("_w").to_pylist(), batch.column("_n").to_pylist()):
             rest -= 1
             most = min(max(least, math.floor(left * w / weight)), left - least * rest) if rest else left
             used = max(1, most) if n is None else min(max(1, most), n)
             left, weight = left - used, weight - w
             chars.append(used)
-        yield pa.RecordBatch.from_arrays([*own, pa.array(chars, pa.int64())], [group, key, "chars"])
+        yield pa.RecordBatch.from_arrays([batch.column(group), batch.column(key), pa.array(chars, pa.int64())], [group, key, "chars"])
 
 
 def shrink(drafts: DataFrame, limits: DataFrame, group: str, order: list[str], text: str, least: int = MIN_CHARS) -> DataFrame:

@@ -6,6 +6,8 @@ import random
 
 import duckdb
 
+from evigraph.operators import questions as Q
+from evigraph.operators.context import ACTIONS
 from evigraph.plans import catalog
 
 
@@ -43,3 +45,68 @@ def test_allocation_keeps_groups_whole_when_a_join_is_read_by_its_mappers(spark,
         out = catalog.QUERIES["allocate_budget"](spark, str(tmp_path))
         got = sorted(repr(tuple(r)) for r in out.select(*columns).collect())
     assert got == want and len(got) == len(texts)
+
+
+def joined_rows(spark, run):
+    """The most rows that a join makes while `run` runs."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsCount()
+    run()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    most, held = 0, store.executionsList()
+    for i in range(int(before), held.size()):
+        at = held.apply(i).executionId()
+        values, nodes = store.executionMetrics(at), store.planGraph(at).allNodes()
+        for n in range(nodes.size()):
+            metrics = nodes.apply(n).metrics() if "Join" in nodes.apply(n).name() else None
+            for m in range(metrics.size() if metrics else 0):
+                found = values.get(metrics.apply(m).accumulatorId())
+                if metrics.apply(m).name() == "number of output rows" and found.isDefined():
+                    most = max(most, int(found.get().replace(",", "")))
+    return most
+
+
+def test_decisions_of_a_node_are_not_joined_to_every_question_on_it(spark):
+    rng, n, k = random.Random(3), 400, 3
+    words = ["alpha", "beta", "gamma", "delta"]
+    made = [(i, rng.choice(ACTIONS), rng.sample(["x", "y", "z"], rng.randrange(3)), [f"{rng.choice(words)} {rng.choice(words)}"]) for i in range(n)]
+    asked = [(q, rng.sample(ACTIONS, rng.randrange(3)), rng.random() < 0.4) for q in range(n)]
+    found = [(q, x) for q in range(n) for x in rng.sample(["x", "y", "z", "none"], rng.randrange(4))]
+    terms = [(q, i, rng.choice([*words, "Alpha Beta", "eta", "other"])) for q in range(n) for i in range(rng.randrange(3))]
+    want = set()
+    for q, actions, review in asked:
+        nodes, said = {x for p, x in found if p == q}, {t.lower().replace(" ", "") for p, _, t in terms if p == q}
+        scored = []
+        for d, action, ids, names in made:
+            score = 5 * (action in actions) + 4 * bool(nodes & set(ids)) + 3 * any(t in x.replace(" ", "") for t in said for x in names)
+            score += bool(review and (actions or score))
+            if score:
+                scored.append((-score, action, d))
+        want |= {(q, i, d, action, -s) for i, (s, action, d) in enumerate(sorted(scored)[:k], 1)}
+    df = lambda rows, schema: spark.createDataFrame(rows, schema)
+    got = set()
+
+    def run():
+        out = Q.question_decisions(
+            df([(q,) for q in range(n)], "question_id long"), df(asked, "question_id long, actions array<string>, review boolean"), df(terms, "question_id long, rank int, term string"),
+            df(found, "question_id long, node_id string"), df(made, "decision_id long, action string, node_ids array<string>, names array<string>"), k,
+        )
+        got.update(tuple(r) for r in out.collect())
+
+    assert joined_rows(spark, run) < 50 * n  # three nodes, five actions, k of each
+    assert got == want
+
+
+def test_paths_do_not_list_the_leaves_of_a_hub_for_each_pair(spark):
+    n = 400
+    edges = [(f"e{i}", f"l{i}", f"h{i % 2}", "IS_A", 0.5) for i in range(n)] + [("x", "h0", "r", "PART_OF", 0.9), ("y", "r", "h1", "PART_OF", 0.9), ("z", "h0", "s", "PART_OF", 0.8), ("w", "s", "h1", "PART_OF", 0.8)]
+    pairs = [(f"l{i}", "h1") for i in range(0, n, 2)] + [("h0", f"l{i}") for i in range(1, n, 2)] + [("l0", "l1"), ("l0", "l2"), ("l0", "h0"), ("s", "r"), ("l0", "absent")]
+    df = spark.createDataFrame([(*e, None) for e in edges], "edge_id string, source string, target string, relation string, confidence double, description string")
+    got = {}
+
+    def run():
+        got.update({(r.a, r.b): [s.edge_id for s in r.path] for r in Q.pair_paths(spark.createDataFrame(pairs, "a string, b string"), df, 4).collect()})
+
+    assert joined_rows(spark, run) < 10 * n
+    want = {(f"l{i}", "h1"): [f"e{i}", "x", "y"] for i in range(0, n, 2)} | {("h0", f"l{i}"): ["x", "y", f"e{i}"] for i in range(1, n, 2)}
+    assert got == want | {("l0", "l1"): ["e0", "x", "y", "e1"], ("l0", "l2"): ["e0", "e2"], ("l0", "h0"): ["e0"], ("s", "r"): ["w", "y"]}

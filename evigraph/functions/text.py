@@ -6,6 +6,8 @@ expressions serve both.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -76,6 +78,16 @@ def tokens(text: Column) -> Column:
     return F.when(has_cjk, F.concat(latin_words(text), cjk_grams(text))).otherwise(latin_words(text))
 
 
+def token_list(text: str | None) -> list[str]:
+    """What `tokens` gives, for one text in Python."""
+    text = text or ""
+    out = re.findall("[a-zA-Z0-9_]{2,}", text.lower())
+    for run in re.findall(f"[{CJK}]{{2,}}", text):
+        out += [run[i : i + n] for n in (2, 3) for i in range(len(run) - n + 1)]
+        out += [run] if len(run) <= 8 else []
+    return out
+
+
 def sentences(text: Column) -> Column:
     """Non-empty sentences, cut after 。！？!?；; and trimmed."""
     parts = F.split(F.coalesce(text, F.lit("")), f"(?<=[{SENTENCE_END}])", -1)

@@ -76,8 +76,8 @@ def hash_embedding(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("doc_id", "bucket", F.round("w", 5).alias("w")).where("w <> 0")
 
 
-def _scored(spark: SparkSession, sf: str) -> DataFrame:
-    return I.score(_questions(spark, sf), _chunks(spark, sf), LATIN)
+def _scored(spark: SparkSession, sf: str, k: int) -> DataFrame:
+    return I.score(_questions(spark, sf), _chunks(spark, sf), LATIN, k=k)
 
 
 def bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
@@ -98,7 +98,7 @@ def stored_topk(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def hybrid_topk(spark: SparkSession, sf: str) -> DataFrame:
-    out = I.top_k(_scored(spark, sf), 5)
+    out = I.top_k(_scored(spark, sf, 5), 5)
     return out.select("question_id", "chunk_id", "rank", F.round("score", 4).alias("score"), F.round("vector", 4).alias("vector"), "relevance")
 
 
@@ -113,7 +113,7 @@ def refusal_gate(spark: SparkSession, sf: str) -> DataFrame:
 def best_quote(spark: SparkSession, sf: str) -> DataFrame:
     questions = _questions(spark, sf)
     chunks = _chunks(spark, sf)
-    top = I.top_k(_scored(spark, sf), 1).select("question_id", "chunk_id").join(chunks.select("chunk_id", "chunk"), "chunk_id")
+    top = I.top_k(_scored(spark, sf, 1), 1).select("question_id", "chunk_id").join(chunks.select("chunk_id", "chunk"), "chunk_id")
     # sentences of this pack end with a stop
     said = top.withColumn("chunk", F.regexp_replace("chunk", r"\.", "；")).join(questions, "question_id")
     return I.best_quote(said, I.query_terms(questions, "question_id", "question", LATIN), "question_id", "chunk_id", "chunk", question="question", markers=LATIN.quote_markers)

@@ -6,6 +6,11 @@ import random
 
 import duckdb
 
+from pyspark.sql import functions as F
+
+from evigraph.functions import text as T
+from evigraph.functions.lexicon import LATIN
+from evigraph.operators import index
 from evigraph.operators import questions as Q
 from evigraph.operators.context import ACTIONS
 from evigraph.plans import catalog
@@ -110,3 +115,20 @@ def test_paths_do_not_list_the_leaves_of_a_hub_for_each_pair(spark):
     assert joined_rows(spark, run) < 10 * n
     want = {(f"l{i}", "h1"): [f"e{i}", "x", "y"] for i in range(0, n, 2)} | {("h0", f"l{i}"): ["x", "y", f"e{i}"] for i in range(1, n, 2)}
     assert got == want | {("l0", "l1"): ["e0", "x", "y", "e1"], ("l0", "l2"): ["e0", "e2"], ("l0", "h0"): ["e0"], ("s", "r"): ["w", "y"]}
+
+
+def test_best_records_are_those_of_all_scores_without_joining_terms(spark):
+    rng = random.Random(8)
+    words = ["gene", "cells", "cell", "of", "ab", "细胞凋亡", "凋亡的机制", "Kinase", "x_1", "genes", "protein", "a"]
+    texts = [(f"r{i}", " ".join(rng.choices(words, k=rng.randrange(0, 30)))) for i in range(700)] + [("null", None), ("cut", "subgenes")]
+    asked = [(q, " ".join(rng.choices(words, k=rng.randrange(1, 6)))) for q in range(30)] + [(99, None)]
+    records, questions = spark.createDataFrame(texts, "chunk_id string, chunk string").repartition(3).persist(), spark.createDataFrame(asked, "question_id long, question string")
+    both = spark.createDataFrame([(x,) for _, x in texts], "t string").select("t", T.tokens(F.col("t")).alias("k")).collect()
+    assert all(T.token_list(r.t) == r.k for r in both)
+    for vectors in (False, True):
+        every = index.score(questions, records, LATIN, vectors=vectors)
+        got = []
+        most = joined_rows(spark, lambda v=vectors: got.append(index.top_k(index.score(questions, records, LATIN, vectors=v, k=4), 4).collect()))
+        rounded = lambda rows: sorted((r.question_id, r["rank"], r.chunk_id, round(r.score, 6), round(r.coverage, 6)) for r in rows)
+        assert rounded(got[0]) == rounded(index.top_k(every, 4).collect())
+        assert vectors or most < len(texts)

@@ -81,7 +81,7 @@ def _scored(spark: SparkSession, sf: str, k: int) -> DataFrame:
 
 
 def bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
-    scored = I.score(_questions(spark, sf), _chunks(spark, sf), LATIN, vectors=False)
+    scored = I.score(_questions(spark, sf), _chunks(spark, sf), LATIN, vectors=False, k=5)
     return I.top_k(scored, 5).select("question_id", "chunk_id", "rank", F.round("bm25", 4).alias("bm25"), F.round("coverage", 4).alias("coverage"))
 
 

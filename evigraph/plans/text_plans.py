@@ -11,7 +11,7 @@ from ..functions import text as T
 from ..functions.lexicon import LATIN
 from ..operators import chunking as C
 from ..operators import index as I
-from ..operators.scratch import shared_folder
+from ..operators.scratch import Tables, shared_folder
 from ..operators.store import Store
 from .tables import table
 
@@ -113,7 +113,9 @@ def refusal_gate(spark: SparkSession, sf: str) -> DataFrame:
 def best_quote(spark: SparkSession, sf: str) -> DataFrame:
     questions = _questions(spark, sf)
     chunks = _chunks(spark, sf)
-    top = I.top_k(_scored(spark, sf, 1), 1).select("question_id", "chunk_id").join(chunks.select("chunk_id", "chunk"), "chunk_id")
+    # a table of few rows, so that chunks are not dealt by key to meet it
+    best = Tables(spark).write("best", I.top_k(_scored(spark, sf, 1), 1).select("question_id", "chunk_id"))
+    top = best.join(chunks.select("chunk_id", "chunk"), "chunk_id")
     # sentences of this pack end with a stop
     said = top.withColumn("chunk", F.regexp_replace("chunk", r"\.", "；")).join(questions, "question_id")
     return I.best_quote(said, I.query_terms(questions, "question_id", "question", LATIN), "question_id", "chunk_id", "chunk", question="question", markers=LATIN.quote_markers)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.lexicon import Lexicon
+from .scratch import Tables
 
 HUB_CAP, ADJACENT_CAP, CHUNK_CAP = 8, 10, 8
 CONFIDENCE = {"node": 0.62, "edge": 0.55, "hub": 0.48, "adjacent": 0.46, "chunk": 0.50, "section": 0.38}
@@ -160,15 +161,24 @@ def shortest_paths(edges: DataFrame, pairs: DataFrame, depth: int) -> DataFrame:
         edges.select(F.col("target").alias("source"), F.col("source").alias("target"), "prio", "confidence")
     )
     both = first_wins(both, ["source", "target"], ["prio", F.desc("confidence")])
+    # a node with a single neighbour is inside no path, so it is met only as a goal
+    through = both.groupBy("source").agg(F.count("*").alias("n")).where("n > 1").select(F.col("source").alias("target"))
+    tables = Tables(edges.sparkSession)
+    both, through = tables.write("both", both), tables.write("through", through)
+    inner, ends = both.join(through, "target", "left_semi"), both.join(through, "target", "left_anti")
     front = pairs.select("start", "goal", F.array("start").alias("path"), F.array().cast("array<int>").alias("prios"))
     seen = pairs.select("start", "goal", F.col("start").alias("at"))
     found = None
     for hops in range(1, depth + 1):
-        step = front.withColumn("at", F.element_at("path", -1)).join(both, F.col("at") == F.col("source"))
+        last = front.withColumn("at", F.element_at("path", -1))
+        columns = [*last.columns, "source", "target", "prio"]
+        step = last.join(inner, F.col("at") == F.col("source")).select(columns)
+        step = step.unionByName(last.join(ends, (F.col("at") == F.col("source")) & (F.col("goal") == F.col("target"))).select(columns))
         step = step.select("start", "goal", F.concat("path", F.array("target")).alias("path"), F.concat("prios", F.array("prio")).alias("prios"), F.col("target").alias("at"))
         step = step.join(seen, ["start", "goal", "at"], "left_anti")
         order = Window.partitionBy("start", "goal", "at").orderBy("prios", "path")
         step = step.withColumn("r", F.row_number().over(order)).where("r = 1").drop("r")
+        step = tables.write(f"step{hops}", step)
         done = step.where("at = goal").select("start", "goal", F.lit(hops).alias("hops"), "path")
         found = done if found is None else found.unionByName(done)
         front = step.join(done.select("start", "goal"), ["start", "goal"], "left_anti").drop("at")

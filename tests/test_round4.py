@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from evigraph.functions import text as T
 from evigraph.functions.lexicon import LATIN
-from evigraph.operators import index
+from evigraph.operators import graph, index
 from evigraph.operators import questions as Q
 from evigraph.operators.context import ACTIONS
 from evigraph.plans import catalog
@@ -132,3 +132,18 @@ def test_best_records_are_those_of_all_scores_without_joining_terms(spark):
         rounded = lambda rows: sorted((r.question_id, r["rank"], r.chunk_id, round(r.score, 6), round(r.coverage, 6)) for r in rows)
         assert rounded(got[0]) == rounded(index.top_k(every, 4).collect())
         assert vectors or most < len(texts)
+
+
+def test_shortest_paths_do_not_list_the_leaves_of_a_hub(spark):
+    n = 300
+    edges = [(f"s{i}", f"h{i % 2}", 8, 0.5) for i in range(n)] + [("h0", "r", 5, 0.9), ("r", "h1", 5, 0.9), ("h1", "goal", 5, 0.9)]
+    pairs = [(f"s{i}", "goal") for i in range(n)] + [("s0", "s1"), ("s0", "s2"), ("s0", "absent")]
+    got = {}
+
+    def run():
+        out = graph.shortest_paths(spark.createDataFrame(edges, "source string, target string, prio int, confidence double"), spark.createDataFrame(pairs, "start string, goal string"), 4)
+        got.update({(r.start, r.goal): r.path for r in out.collect()})
+
+    assert joined_rows(spark, run) < 10 * n
+    want = {(f"s{i}", "goal"): [f"s{i}", "h0", "r", "h1", "goal"] if i % 2 == 0 else [f"s{i}", "h1", "goal"] for i in range(n)}
+    assert got == want | {("s0", "s1"): ["s0", "h0", "r", "h1", "s1"], ("s0", "s2"): ["s0", "h0", "s2"]}
